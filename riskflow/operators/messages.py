@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from riskflow import schemas as S
 
@@ -11,7 +11,7 @@ _CORRUPT = "_corrupt"
 
 def parse_created(df: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """(transactions, unreadable records): a record that is no valid JSON never stops the reader."""
-    schema = S.MESSAGE_SCHEMA.add(_CORRUPT, "string") if _CORRUPT not in S.MESSAGE_SCHEMA.names else S.MESSAGE_SCHEMA
+    schema = T.StructType([*S.MESSAGE_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
     parsed = df.withColumn(
         "_m", F.from_json(F.col(value).cast("string"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
     bad = F.col("_m").isNull() | F.col(f"_m.{_CORRUPT}").isNotNull()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["record_queries", "feature_queries", "report_queries"]
+MODULES = ["record_queries", "feature_queries", "report_queries", "stream_queries"]
 
 
 def load_all():

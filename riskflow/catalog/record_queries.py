@@ -16,8 +16,14 @@ from riskflow.plans.feature_vector import numeric_features
 from riskflow.sources import files
 from riskflow.sources.derived import derived
 
-_NOW = F.expr("timestamp_ntz'2024-01-28 00:00:00'")
-_STATUS_NOW = F.expr("timestamp_ntz'2024-01-15 00:00:00'")
+
+def _now():
+    return F.expr("timestamp_ntz'2024-01-28 00:00:00'")
+
+
+def _status_now():
+    return F.expr("timestamp_ntz'2024-01-15 00:00:00'")
+
 
 # ---- A: scans and sinks ----
 _SCANS = {
@@ -70,7 +76,7 @@ def a5(spark, sf):
 
 @query("a7_dead_letters_by_topic", "SELECT 'transactions.created' AS topic, count(*) AS dead_letters FROM violations WHERE problems <> ''", ("violations",))
 def a7(spark, sf):
-    checked = validate.validate_transactions(derived(spark, sf, "raw_transactions").drop("event_id"), _NOW)
+    checked = validate.validate_transactions(derived(spark, sf, "raw_transactions").drop("event_id"), _now())
     return validate.dead_letter_counts(validate.dead_letters(validate.split_valid(checked)[1], "transactions.created"))
 
 
@@ -118,7 +124,7 @@ def b1(spark, sf):
 
 
 def _checked(spark, sf):
-    return validate.validate_transactions(derived(spark, sf, "raw_transactions"), _NOW)
+    return validate.validate_transactions(derived(spark, sf, "raw_transactions"), _now())
 
 
 @query("b2_violations", "SELECT event_id, problems FROM violations", ("violations",))
@@ -332,7 +338,7 @@ def g1(spark, sf):
     WHERE status IN ('PENDING_LLM', 'PENDING_EMAIL') AND next_retry_at <= TIMESTAMP '2024-01-15 00:00:00'
     ORDER BY next_retry_at, transaction_id LIMIT 50""", ("tasks",))
 def g4(spark, sf):
-    return outbox.due_tasks(derived(spark, sf, "tasks"), _STATUS_NOW).select("transaction_id", "status", "next_retry_at")
+    return outbox.due_tasks(derived(spark, sf, "tasks"), _status_now()).select("transaction_id", "status", "next_retry_at")
 
 
 @query("g5_latest_model", """
@@ -375,7 +381,7 @@ def h6(spark, sf):
     SELECT transaction_id, 'PENDING_LLM' AS status, 0 AS attempts, TIMESTAMP '2024-01-15 00:00:00' AS next_retry_at
     FROM predictions WHERE risk_level = 'HIGH' AND transaction_id NOT IN (SELECT transaction_id FROM tasks)""", ("predictions", "tasks"))
 def h7(spark, sf):
-    return outbox.enqueue_alerts(predictions(spark, sf), derived(spark, sf, "tasks"), _STATUS_NOW).drop("created_at")
+    return outbox.enqueue_alerts(predictions(spark, sf), derived(spark, sf, "tasks"), _status_now()).drop("created_at")
 
 
 _TRANSITION = """
@@ -394,12 +400,12 @@ _TRANSITION = """
 
 @query("h8_task_transition", _TRANSITION, ("tasks", "outcomes"))
 def h8(spark, sf):
-    return outbox.advance_tasks(derived(spark, sf, "tasks"), derived(spark, sf, "outcomes"), _STATUS_NOW)
+    return outbox.advance_tasks(derived(spark, sf, "tasks"), derived(spark, sf, "outcomes"), _status_now())
 
 
 @query("h8_latest_task_state", f"SELECT n.transaction_id, n.status, n.attempts FROM ({_TRANSITION}) n", ("tasks", "outcomes"))
 def h8_latest(spark, sf):
     tasks = derived(spark, sf, "tasks")
-    before = tasks.withColumn("updated_at", _STATUS_NOW - F.expr("INTERVAL '1' HOUR"))
-    after = outbox.advance_tasks(tasks, derived(spark, sf, "outcomes"), _STATUS_NOW).drop("completed_at").withColumn("updated_at", _STATUS_NOW)
+    before = tasks.withColumn("updated_at", _status_now() - F.expr("INTERVAL '1' HOUR"))
+    after = outbox.advance_tasks(tasks, derived(spark, sf, "outcomes"), _status_now()).drop("completed_at").withColumn("updated_at", _status_now())
     return outbox.latest_state(before.unionByName(after)).select("transaction_id", "status", "attempts")

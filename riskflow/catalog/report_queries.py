@@ -11,7 +11,9 @@ from riskflow.catalog.registry import query
 from riskflow.operators import evaluate, monitor, outbox, quality, quantiles, validate
 from riskflow.sources.derived import derived
 
-_NOW = F.expr("timestamp_ntz'2024-01-28 00:00:00'")
+
+def _now():
+    return F.expr("timestamp_ntz'2024-01-28 00:00:00'")
 
 
 def _eval(spark, sf):
@@ -332,7 +334,7 @@ def k5(spark, sf):
 
 
 def _letters(spark, sf):
-    checked = validate.validate_transactions(derived(spark, sf, "raw_transactions"), _NOW)
+    checked = validate.validate_transactions(derived(spark, sf, "raw_transactions"), _now())
     rejected = validate.split_valid(checked)[1]
     # Amount problems come from the scored topic's reader in this table, the rest from the first one.
     topic = F.when(F.exists("violations", lambda v: v.field == "amount"), "transactions.scored").otherwise("transactions.created")

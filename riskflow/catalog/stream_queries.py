@@ -18,7 +18,11 @@ from riskflow.streaming import aggregates
 from riskflow.streaming.scoring import ScoringStream, start_scoring, velocity_stream
 from riskflow.streaming.store import BatchStore
 
-_NOW = F.expr("timestamp_ntz'2024-02-15 00:00:00'")
+
+def _now():
+    return F.expr("timestamp_ntz'2024-02-15 00:00:00'")
+
+
 _ROUNDS, _DEPTH = 10, 4
 
 
@@ -110,16 +114,15 @@ def g2(spark, sf):
 
 # ---- streams ----
 # Arrivals: the whole table in three deliveries, by time.
-_DELIVERIES = [
-    F.col("creation_date_time") < F.expr("timestamp_ntz'2024-01-11 00:00:00'"),
-    F.col("creation_date_time").between(F.expr("timestamp_ntz'2024-01-11 00:00:00'"), F.expr("timestamp_ntz'2024-01-20 23:59:59.999999'")),
-    F.col("creation_date_time") > F.expr("timestamp_ntz'2024-01-20 23:59:59.999999'"),
-]
+def _deliveries():
+    ts = F.col("creation_date_time")
+    first, second = (F.expr(f"timestamp_ntz'2024-01-{d} 00:00:00'") for d in (11, 21))
+    return [ts < first, (ts >= first) & (ts < second), ts >= second]
 
 
 def _replay(df, path, write, start):
     """Delivers the rows in three parts; after each the stream runs until it has taken all files."""
-    for part in _DELIVERIES:
+    for part in _deliveries():
         write(df.filter(part).write.mode("append"), path)
         start().awaitTermination()
 
@@ -166,7 +169,7 @@ def _scoring(spark, sf) -> BatchStore:
 
     def build(path):
         b = _bundle(spark, sf)
-        settings = ScoringStream(BatchStore(spark, path), dimensions(spark, sf), lambda: b, now=_NOW)
+        settings = ScoringStream(BatchStore(spark, path), dimensions(spark, sf), lambda: b, now=_now())
         rows = transactions(spark, sf).select("creation_date_time", messages.created_value().alias("value"))
         _replay(rows, path + "-in", lambda w, p: w.parquet(p), lambda: start_scoring(
             spark.readStream.schema(rows.schema).parquet(path + "-in"), settings, path + "-state", once=True))

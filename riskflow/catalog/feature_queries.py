@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskflow import schemas as S
 from riskflow.catalog.inputs import (
-    dimensions, feature_table, predictions, rounded, scored, transactions,
+    dimensions, feature_table, predictions, rounded, transaction_table, transactions,
 )
 from riskflow.catalog.registry import query
 from riskflow.functions.scalar import epoch_seconds
@@ -152,7 +152,7 @@ def _velocity_query(name: str, column: str, block: str):
 
     @query(name, f"SELECT transaction_id, {shown} FROM {block}", (block,))
     def run(spark, sf, column=column):
-        return rounded(velocity_features(transactions(spark, sf)).select("transaction_id", column), 2)
+        return rounded(velocity_features(transaction_table(spark, sf)).select("transaction_id", column), 2)
 
 
 _velocity_query("e1_user_count_5min", "user_transaction_count_5min", "velocity")
@@ -193,7 +193,7 @@ def e8_split(spark, sf):
     SELECT transaction_id, user_transaction_count_5min, user_transaction_count_1hour, round(amount_velocity_1hour, 2) AS amount_velocity_1hour,
       distinct_merchant_count_1hour, seconds_since_last_transaction FROM ttl_velocity""", ("ttl_velocity",))
 def e9(spark, sf):
-    return rounded(velocity_features(transactions(spark, sf), ttl_seconds=S.SESSION_TTL_SECONDS), 2)
+    return rounded(velocity_features(transaction_table(spark, sf), ttl_seconds=S.SESSION_TTL_SECONDS), 2)
 
 
 @query("e10_recent_entries", """
@@ -226,7 +226,7 @@ for _id, _name in _F_IDS.items():
 
 @query("f20_feature_vector", f"SELECT transaction_id, {_shown(S.FEATURES)} FROM features", ("features",))
 def f20(spark, sf):
-    return rounded(feature_vector(transactions(spark, sf), dimensions(spark, sf), predictions(spark, sf)), digits=_DIGITS)
+    return rounded(feature_vector(transaction_table(spark, sf), dimensions(spark, sf), predictions(spark, sf)), digits=_DIGITS)
 
 
 @query("f20_serving_feature_vector", """
@@ -237,7 +237,7 @@ def f20(spark, sf):
        ("rows_", "safe_history", "ttl_velocity"))
 def f20_serving(spark, sf):
     """Serving mode: windows end after ten idle minutes, averages take safe rows only."""
-    df = feature_vector(transactions(spark, sf), dimensions(spark, sf), predictions(spark, sf),
+    df = feature_vector(transaction_table(spark, sf), dimensions(spark, sf), predictions(spark, sf),
                         ttl_seconds=S.SESSION_TTL_SECONDS, safe_only=True)
     return rounded(df.select(
         "transaction_id", "user_average_amount", "user_transaction_count_5min", "user_transaction_count_1hour",

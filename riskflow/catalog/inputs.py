@@ -16,6 +16,20 @@ def transactions(spark: SparkSession, sf: str) -> DataFrame:
     return derived(spark, sf, "transactions")
 
 
+def transaction_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The transactions as a written table, for plans that scan them several times.
+
+    Input with fewer splits than cores is spread over them; larger input is written as it comes.
+    """
+
+    def build(path: str) -> None:
+        df = transactions(spark, sf)
+        cores = spark.sparkContext.defaultParallelism
+        (df.repartition(cores) if df.rdd.getNumPartitions() < cores else df).write.parquet(path)
+
+    return spark.read.parquet(once(spark, sf, "transactions", build))
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return derived(spark, sf, "predictions")
 
@@ -43,7 +57,7 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     """All 31 features with ids, label and the transaction's own columns."""
 
     def build(path: str) -> None:
-        df = engineer_features(base_features(transactions(spark, sf), dimensions(spark, sf), predictions(spark, sf)))
+        df = engineer_features(base_features(transaction_table(spark, sf), dimensions(spark, sf), predictions(spark, sf)))
         own = ["transaction_id", "user_id", "card_id", "merchant_id", "device_id", "country_code", "ip_address", "creation_date_time"]
         df.select(*own, *S.FEATURES, "is_fraud").write.parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskflow import schemas as S
-from riskflow.operators.ordered import MAX_GROUP_ROWS, Agg, running_few_groups
+from riskflow.operators.ordered import MAX_GROUP_ROWS, Agg, running
 
 
 def _positive(label: str) -> Column:
@@ -36,9 +36,9 @@ def pr_curve(df: DataFrame, score: str, label: str, *, max_group_rows: int = MAX
         .agg(F.count_if(_positive(label)).alias("_pos"), F.count_if(~_positive(label)).alias("_neg"))
         .withColumns({"_all": F.lit(0), "_down": -F.col("threshold")})
     )
-    sums = running_few_groups(
+    sums = running(
         points, ["_all"], ["_down"],
-        {"_tp": Agg("sum", F.col("_pos")), "_fp": Agg("sum", F.col("_neg"))}, max_group_rows)
+        {"_tp": Agg("sum", F.col("_pos")), "_fp": Agg("sum", F.col("_neg"))}, max_rows=max_group_rows)
     total = points.groupBy("_all").agg(F.sum("_pos").alias("_total"))
     return (
         sums.join(F.broadcast(total), "_all")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskflow import schemas as S
 from riskflow.functions.scalar import epoch_seconds, is_blank
-from riskflow.operators.ordered import MAX_GROUP_ROWS, Agg, running
+from riskflow.operators.ordered import MAX_GROUP_ROWS, Agg, large_groups, running
 
 
 def with_predictions(tx: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -54,11 +54,14 @@ def ip_risk(tx: DataFrame, predictions: DataFrame) -> DataFrame:
 def user_history(
     tx: DataFrame, predictions: DataFrame | None, *, safe_only: bool = False,
     cold_start: float = S.COLD_START_AVERAGE, max_group_rows: int = MAX_GROUP_ROWS,
+    large_users: DataFrame | None | str = "measure",
 ) -> DataFrame:
     """transaction_id with the user's average amount and count over strictly earlier rows.
 
     `safe_only` averages rows whose prediction is marked safe; the count always takes all rows.
     """
+    if isinstance(large_users, str):
+        large_users = large_groups(tx, ["user_id"], max_group_rows)
     rows = tx.select("transaction_id", "user_id", "amount", epoch_seconds(F.col("creation_date_time")).alias("sec"))
     if safe_only:
         rows = with_predictions(rows, predictions.select("transaction_id", F.col("is_marked_as_safe").alias("_safe")))
@@ -72,7 +75,7 @@ def user_history(
             "_sum": Agg("sum", counted),
             "_n": Agg("sum", F.when(F.col("_safe"), 1)),
         },
-        max_rows=max_group_rows,
+        large=large_users, max_rows=max_group_rows,
     )
     average = F.col("_sum").cast("double") / F.col("_n")
     return out.select(
@@ -87,15 +90,14 @@ def ip_history(tx: DataFrame, predictions: DataFrame, *, max_group_rows: int = M
 
     Rows without an address are not here: their risk is 0 and they need no shuffle.
     """
-    rows = with_predictions(
-        tx.filter(~is_blank(F.col("ip_address"))).select(
-            "transaction_id", "ip_address", epoch_seconds(F.col("creation_date_time")).alias("sec")),
-        predictions.select("transaction_id", "risk_level"),
-    )
+    addressed = tx.filter(~is_blank(F.col("ip_address"))).select(
+        "transaction_id", "ip_address", epoch_seconds(F.col("creation_date_time")).alias("sec"))
+    large = large_groups(addressed, ["ip_address"], max_group_rows)
+    rows = with_predictions(addressed, predictions.select("transaction_id", "risk_level"))
     out = running(
         rows, ["ip_address"], ["sec", "transaction_id"],
         {"_n": Agg("sum", F.lit(1)), "_points": Agg("sum", risk_points(F.col("risk_level")))},
-        max_rows=max_group_rows,
+        large=large, max_rows=max_group_rows,
     )
     return out.select("transaction_id", F.coalesce(F.col("_points") / F.col("_n"), F.lit(0.0)).alias("ip_risk_score"))
 

@@ -9,14 +9,20 @@ from riskflow import schemas as S
 _CORRUPT = "_corrupt"
 
 
+def parsed(df: DataFrame, value: str = "value") -> DataFrame:
+    """The transaction columns, the `record` text and whether it was `readable`."""
+    schema = T.StructType([*S.MESSAGE_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
+    text = F.col(value).cast("string")
+    message = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    return df.select(text.alias("record"), message.alias("_m")).select(
+        *[F.col(f"_m.{m}").alias(c) for m, c in S.MESSAGE_COLUMN_NAMES.items()], "record",
+        (F.col("_m").isNotNull() & F.col(f"_m.{_CORRUPT}").isNull()).alias("readable"))
+
+
 def parse_created(df: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """(transactions, unreadable records): a record that is no valid JSON never stops the reader."""
-    schema = T.StructType([*S.MESSAGE_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
-    parsed = df.withColumn(
-        "_m", F.from_json(F.col(value).cast("string"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
-    bad = F.col("_m").isNull() | F.col(f"_m.{_CORRUPT}").isNotNull()
-    good = parsed.filter(~bad).select(*[F.col(f"_m.{m}").alias(c) for m, c in S.MESSAGE_COLUMN_NAMES.items()])
-    return good, parsed.filter(bad).select(F.col(value).cast("string").alias("record"))
+    rows = parsed(df, value)
+    return rows.filter("readable").select(*S.TRANSACTION_SCHEMA.names), rows.filter("NOT readable").select("record")
 
 
 def created_value() -> Column:

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 MAX_GROUP_ROWS = 2_000_000
-MAX_HOT_GROUPS = 10_000
-MAX_CHUNKS = 4096
-_BLOCK = 64
+# Bounds of what the driver takes and the tasks get broadcast: large groups, and pivots in all.
+MAX_LARGE_GROUPS = 100_000
+# Pivots are found in two steps of at most this many comparisons each.
+FAN_OUT = 64
 
 
 @dataclass(frozen=True)
@@ -31,30 +32,63 @@ class Agg:
 
 
 def large_groups(df: DataFrame, keys: list[str], max_rows: int = MAX_GROUP_ROWS) -> DataFrame | None:
-    """Keys holding more than max_rows rows with their size `_n`, or None if there are none.
+    """Keys holding more than max_rows rows, or None if there are none.
 
-    At most MAX_HOT_GROUPS can come back: the limit is raised to total / MAX_HOT_GROUPS where
-    that is larger, and no more than that many groups can exceed it.
+    Comes back with the group's size `_n` and its rows a chunk, `_chunk_rows`. At most
+    MAX_LARGE_GROUPS groups are given: the limit rises to total / MAX_LARGE_GROUPS where that is
+    more, and no more than that many groups can exceed it.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
     if largest is None or largest <= max_rows:
         return None
-    limit = max(max_rows, total // MAX_HOT_GROUPS)
-    rows = sizes.filter(F.col("_n") > limit).collect()
+    limit = max(max_rows, total // MAX_LARGE_GROUPS)
+    rows = sizes.filter(F.col("_n") > limit).withColumn("_chunk_rows", F.lit(limit)).collect()
     if not rows:
         return None
-    return df.sparkSession.createDataFrame(rows, sizes.schema)
+    schema = T.StructType([*sizes.schema.fields, T.StructField("_chunk_rows", T.LongType())])
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
+def _with_chunks(df: DataFrame, keys: list[str], order: list[str], large: DataFrame) -> DataFrame:
+    """Adds `_chunk`, increasing with the order inside a group, and `_split`, true in large groups.
 
-def _chunk_index(pivots: Column, point: Column) -> Column:
-    """Number of sorted pivots <= point: coarse count over every 64th pivot, then one block."""
-    coarse = F.filter(pivots, lambda p, i: (i % _BLOCK == 0) & (p <= point))
-    start = (F.size(coarse) - 1) * _BLOCK
-    block = F.slice(pivots, start + 1, F.lit(_BLOCK))
-    exact = start + F.size(F.filter(block, lambda p: p <= point))
-    return F.when(pivots.isNull() | (F.size(coarse) <= 0), 0).otherwise(exact)
+    Rows whose hash hits the group's stride become its pivots: about one in `_chunk_rows`, and at
+    most FAN_OUT squared a group. In expectation that is at most total / _chunk_rows pivots, so
+    they fit the driver and a broadcast at any table size.
+    """
+    spark = df.sparkSession
+    point = F.struct(*[F.col(c) for c in order])
+    chunks = F.least(F.lit(FAN_OUT * FAN_OUT), F.ceil(F.col("_n") / F.col("_chunk_rows")))
+    stride = F.greatest(F.lit(1), F.floor(F.col("_n") / chunks)).cast("long")
+    sampled = (
+        df.select(*dict.fromkeys([*keys, *order])).join(F.broadcast(large), keys)
+        .filter(F.pmod(F.xxhash64(*order), stride) == 0)
+        .groupBy(*keys).agg(F.sort_array(F.collect_set(point)).alias("_p"))
+    )
+    found = sampled.collect()
+    key_fields = [sampled.schema[k] for k in keys]
+    pivots = T.StructField("_p", sampled.schema["_p"].dataType)
+    width = [max(1, -(-len(r["_p"]) // FAN_OUT)) for r in found]
+    coarse = [(*[r[k] for k in keys], r["_p"][::w], w) for r, w in zip(found, width)]
+    fine = [
+        (*[r[k] for k in keys], i // w + 1, r["_p"][i:i + w])
+        for r, w in zip(found, width) for i in range(0, len(r["_p"]), w)
+    ]
+    top = spark.createDataFrame(coarse, T.StructType([*key_fields, pivots, T.StructField("_w", T.IntegerType())]))
+    leaf = spark.createDataFrame(
+        fine, T.StructType([*key_fields, T.StructField("_block", T.IntegerType()), T.StructField("_f", pivots.dataType)]))
+    # How many of the sorted pivots a row has reached: blocks begun, then pivots inside the last.
+    begun = F.size(F.filter("_p", lambda p: p <= point))
+    inside = F.size(F.filter("_f", lambda p: p <= point))
+    return (
+        df.join(F.broadcast(top), keys, "left")
+        .withColumn("_split", F.col("_p").isNotNull())
+        .withColumn("_block", F.when(F.col("_split"), begun).otherwise(0)).drop("_p")
+        .join(F.broadcast(leaf), [*keys, "_block"], "left")
+        .withColumn("_chunk", F.when(F.col("_f").isNotNull(), (F.col("_block") - 1) * F.col("_w") + inside).otherwise(0))
+        .drop("_f", "_w", "_block")
+    )
 
 
 def _merge(kind: str, local: Column, before: Column) -> Column:
@@ -85,24 +119,9 @@ def running(
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*before)
         return df.select("*", *[a.column().over(w).alias(n) for n, a in aggs.items()])
 
-    spark_order = F.struct(*[F.col(c) for c in order])
-    hot = F.broadcast(large)
-    wanted = F.least(F.lit(MAX_CHUNKS), F.ceil(F.col("_n") / max_rows))
-    stride = F.greatest(F.lit(1), F.col("_n") / wanted).cast("long")
-    pivots = (
-        df.join(hot, keys)
-        .filter(F.pmod(F.xxhash64(*order), stride) == 0)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_set(spark_order)).alias("_pivots"))
-    )
-    # Expected size: rows of large groups / max_rows, and at most MAX_CHUNKS a group.
-    chunked = (
-        df.join(F.broadcast(pivots), keys, "left")
-        .withColumn("_chunk", _chunk_index(F.col("_pivots"), spark_order))
-        .withColumn("_split", F.col("_pivots").isNotNull())
-        .drop("_pivots")
-    )
+    chunked = _with_chunks(df, keys, order, large)
     over_chunks = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*before)
+    # A row per chunk: no more than there are pivots and large groups.
     carried = (
         chunked.filter("_split")
         .groupBy(*keys, "_chunk")
@@ -113,19 +132,10 @@ def running(
         )
     )
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(*before)
-    local = chunked.select("*", *[a.column().over(within).alias(f"_l_{n}") for n, a in aggs.items()])
+    # Stated, since rows already hashed by the keys alone would satisfy the window as they are.
+    local = chunked.repartition(*keys, "_chunk").select(
+        "*", *[a.column().over(within).alias(f"_l_{n}") for n, a in aggs.items()])
     return local.join(F.broadcast(carried), [*keys, "_chunk"], "left").select(
         *df.columns,
         *[_merge(a.kind, F.col(f"_l_{n}"), F.col(f"_b_{n}")).alias(n) for n, a in aggs.items()],
     )
-
-
-def running_few_groups(
-    df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, Agg], max_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
-    """`running` for a handful of groups that may each be huge (one per feature, or a single one).
-
-    The group sizes are planned lazily: there are as few of them as groups, so they broadcast.
-    """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_rows)
-    return running(df, keys, order, aggs, large=sizes, max_rows=max_rows)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskflow import schemas as S
 from riskflow.functions.scalar import hashed_uniform
-from riskflow.operators.ordered import MAX_GROUP_ROWS, Agg, running_few_groups
+from riskflow.operators.ordered import MAX_GROUP_ROWS, Agg, running
 from riskflow.operators.quantiles import median
 
 # --- fixed values: columns of each report ------------------------------------------------------
@@ -108,7 +108,7 @@ def single_feature_auc(df: DataFrame, columns: list[str] = AUC_FEATURES, label:
         long_form(df, columns, label).groupBy("feature", "value")
         .agg(F.count_if("positive").alias("_pos"), F.count_if(~F.col("positive")).alias("_neg"))
     )
-    below = running_few_groups(values, ["feature"], ["value"], {"_below": Agg("sum", F.col("_neg"))}, max_group_rows)
+    below = running(values, ["feature"], ["value"], {"_below": Agg("sum", F.col("_neg"))}, max_rows=max_group_rows)
     wins = F.col("_pos") * (F.coalesce("_below", F.lit(0)) + F.col("_neg") / 2)
     auc = F.col("_w") / (F.col("_p").cast("double") * F.col("_n"))
     return (

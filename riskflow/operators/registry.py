@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from riskflow import schemas as S
 from riskflow.functions.scalar import epoch_seconds
-from riskflow.operators.ordered import Agg, running_few_groups
+from riskflow.operators.ordered import Agg, running
 
 
 def model_objects(releases: DataFrame, prefix: str = S.MODEL_PREFIX) -> DataFrame:
@@ -63,7 +63,7 @@ def _by_time_sweep(events: DataFrame, objects: DataFrame, ts: str, event_id: str
                        F.col("object_name").alias("_id")),
         allowMissingColumns=True)
     release = F.when(F.col("_kind") == 0, F.struct("_at", "_id"))
-    out = running_few_groups(stream, ["_all"], ["_at", "_kind", "_id"], {"_r": Agg("max", release)})
+    out = running(stream, ["_all"], ["_at", "_kind", "_id"], {"_r": Agg("max", release)})
     return out.filter("_kind = 1").select("_event.*", F.col("_r._id").alias("model_version"))
 
 

@@ -128,23 +128,24 @@ def check_contract(df: DataFrame, required: list[str]) -> None:
 
 
 def check_references(
-    tx: DataFrame, users: DataFrame, merchants: DataFrame, cards: DataFrame, devices: DataFrame
+    tx: DataFrame, users: DataFrame, merchants: DataFrame, cards: DataFrame, devices: DataFrame | None
 ) -> DataFrame:
     """Adds `missing_reference`: the first absent of user, merchant, card, device; null if none.
 
-    Each dimension joins on its distinct ids; a blank device is allowed.
+    Each dimension joins on its distinct ids; a blank device is allowed, and `devices=None` leaves
+    devices unchecked.
     """
-    out = tx
-    for name, dim in (("user", users), ("merchant", merchants), ("card", cards), ("device", devices)):
+    dims = {"user": users, "merchant": merchants, "card": cards, **({"device": devices} if devices is not None else {})}
+    out, missing = tx, None
+    for name, dim in dims.items():
         known = dim.select(F.col(f"{name}_id").alias("_id")).distinct().withColumn(f"_has_{name}", F.lit(True))
         key = spread_null_key(F.col(f"{name}_id"), F.col("transaction_id"))
         out = out.join(known, key == F.col("_id"), "left").drop("_id")
-    has = lambda n: F.col(f"_has_{n}").isNotNull()
-    return out.withColumn(
-        "missing_reference",
-        F.when(~has("user"), "user").when(~has("merchant"), "merchant").when(~has("card"), "card")
-        .when(~is_blank(F.col("device_id")) & ~has("device"), "device"),
-    ).drop("_has_user", "_has_merchant", "_has_card", "_has_device")
+        absent = F.col(f"_has_{name}").isNull()
+        if name == "device":
+            absent = absent & ~is_blank(F.col("device_id"))
+        missing = F.when(absent, name) if missing is None else missing.when(absent, name)
+    return out.withColumn("missing_reference", missing).drop(*[f"_has_{n}" for n in dims])
 
 
 def spread_null_key(key: Column, spread_by: Column) -> Column:

@@ -86,17 +86,19 @@ def _merchant_steps(marks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def velocity_features(
-    tx: DataFrame, *, ttl_seconds: int | None = None, max_group_rows: int = MAX_GROUP_ROWS
+    tx: DataFrame, *, ttl_seconds: int | None = None, max_group_rows: int = MAX_GROUP_ROWS,
+    large_users: DataFrame | None | str = "measure",
 ) -> DataFrame:
     """transaction_id with the five velocity features.
 
     `ttl_seconds=None` is a true trailing hour; a number restarts the windows after that long a
-    pause of the user.
+    pause of the user. `large_users` takes a measurement of `tx` the caller already has.
     """
     rows = tx.select(
         "transaction_id", "user_id", "merchant_id", F.col("amount").cast(S.MONEY).alias("amount"),
         epoch_seconds(F.col("creation_date_time")).alias("sec"),
     )
+    large = _large_seconds(rows, large_users, max_group_rows)
     keys = ["user_id"]
     if ttl_seconds is not None:
         rows = rows.join(session_starts(rows, ttl_seconds), ["user_id", "sec"])
@@ -150,8 +152,8 @@ def velocity_features(
             & (F.col("last_before").isNull() | (F.col("last_before") < F.col("sec") - _HOUR))
         ).alias("_candidate"),
     )
-    out = _within_second(rows.join(seconds, [*keys, "sec"]), [*keys, "sec"],
-                         _large_seconds(rows, keys, max_group_rows), max_group_rows)
+    # A session is settled by user and second, so these two alone group the rows of a second.
+    out = _within_second(rows.join(seconds, [*keys, "sec"]), ["user_id", "sec"], large, max_group_rows)
     since = F.coalesce(F.col("sec") - F.col("prev"), F.lit(S.NO_PREVIOUS_SECONDS))
     return out.select(
         "transaction_id",
@@ -163,12 +165,13 @@ def velocity_features(
     )
 
 
-def _large_seconds(rows: DataFrame, keys: list[str], max_rows: int) -> DataFrame | None:
+def _large_seconds(rows: DataFrame, users: DataFrame | None | str, max_rows: int) -> DataFrame | None:
     """Seconds with more rows than a window task should take; looked for only below large users."""
-    users = large_groups(rows.select("user_id"), ["user_id"], max_rows)
+    if isinstance(users, str):
+        users = large_groups(rows.select("user_id"), ["user_id"], max_rows)
     if users is None:
         return None
-    return large_groups(rows.join(F.broadcast(users), "user_id", "left_semi"), [*keys, "sec"], max_rows)
+    return large_groups(rows.join(F.broadcast(users), "user_id", "left_semi"), ["user_id", "sec"], max_rows)
 
 
 def _within_second(rows: DataFrame, group: list[str], large: DataFrame | None, max_rows: int) -> DataFrame:

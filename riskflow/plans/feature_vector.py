@@ -12,7 +12,7 @@ from riskflow.functions.scalar import (
 )
 from riskflow.operators.enrich import enrich
 from riskflow.operators.history import ip_history, user_history
-from riskflow.operators.ordered import MAX_GROUP_ROWS
+from riskflow.operators.ordered import MAX_GROUP_ROWS, large_groups
 from riskflow.operators.velocity import velocity_features
 
 
@@ -33,8 +33,9 @@ def base_features(
     Each history comes as a narrow table keyed by transaction_id, so the wide rows move once.
     Windows, ages and histories use event time.
     """
-    velocity = velocity_features(tx, ttl_seconds=ttl_seconds, max_group_rows=max_group_rows)
-    history = user_history(tx, predictions, safe_only=safe_only, max_group_rows=max_group_rows)
+    sizes = dict(max_group_rows=max_group_rows, large_users=large_groups(tx, ["user_id"], max_group_rows))
+    velocity = velocity_features(tx, ttl_seconds=ttl_seconds, **sizes)
+    history = user_history(tx, predictions, safe_only=safe_only, **sizes)
     address = ip_history(tx, predictions, max_group_rows=max_group_rows)
     rows = enrich(tx, dims.users, dims.merchants, dims.cards, dims.devices)
     ts = F.col("creation_date_time")

@@ -24,7 +24,7 @@ from riskflow.ml.training import Bundle, score
 from riskflow.operators import outbox, validate
 from riskflow.operators.enrich import enrich
 from riskflow.operators.history import risk_points
-from riskflow.operators.messages import parse_created, scored_records
+from riskflow.operators.messages import parsed, scored_records
 from riskflow.operators.ordered import Agg, running
 from riskflow.operators.velocity import velocity_features
 from riskflow.plans.feature_vector import Dimensions, engineer_features
@@ -81,30 +81,36 @@ class ScoringStream:
         """(new transactions of the batch, recent ones before it); the rest goes to side tables."""
         store = self.store
         now = self.now if self.now is not None else F.localtimestamp()
-        good, unreadable = parse_created(messages)
-        valid, rejected = validate.split_valid(validate.validate_transactions(good, now, require_id=True))
-        valid = validate.deduplicate(valid)
+        columns = S.TRANSACTION_SCHEMA.names
+        # The source is read once: everything below works on the written intake.
+        violations = validate.transaction_violations(now, require_id=True)
+        reason = (
+            F.when(~F.col("readable"), "unreadable record")
+            .when(F.size(violations) > 0, validate.violation_message(violations))
+        )
+        intake = store.write(parsed(messages).select(*columns, "record", reason.alias("reason")), "intake", batch)
+
         d = self.dims
-        checked = validate.check_references(valid, d.users, d.merchants, d.cards, d.devices.limit(0))
+        valid = validate.deduplicate(intake.filter("reason IS NULL").select(*columns))
         # An unknown device only lowers trust; unknown users, merchants and cards are refused.
-        refused = F.col("missing_reference").isin("user", "merchant", "card")
-        lost = checked.filter(refused).select(
-            F.lit(TOPIC_CREATED).alias("topic"),
-            F.concat_ws(" ", F.initcap("missing_reference"), F.lit("not found")).alias("reason"),
-            F.to_json(F.struct(*valid.columns)).alias("record"))
-        broken = unreadable.select(
-            F.lit(TOPIC_CREATED).alias("topic"), F.lit("unreadable record").alias("reason"), "record")
-        store.write(validate.dead_letters(rejected, TOPIC_CREATED).unionByName(lost).unionByName(broken), "dead_letters", batch)
-
-        known = checked.filter(~F.coalesce(refused, F.lit(False))).drop("missing_reference").withColumn(
-            "sec", epoch_seconds(F.col("creation_date_time")))
+        checked = validate.check_references(valid, d.users, d.merchants, d.cards, None)
+        limit = None if progress.high_water is None else progress.high_water - self.lateness_seconds
+        checked = store.write(
+            checked.withColumn("sec", epoch_seconds(F.col("creation_date_time")))
+            .withColumn("is_late", F.lit(False) if limit is None else F.col("sec") < limit), "checked", batch)
+
+        topic = F.lit(TOPIC_CREATED).alias("topic")
+        refused = checked.filter("missing_reference IS NOT NULL").select(
+            topic, F.concat_ws(" ", F.initcap("missing_reference"), F.lit("not found")).alias("reason"),
+            F.to_json(F.struct(*columns)).alias("record"))
+        rejected = intake.filter("reason IS NOT NULL").select(topic, "reason", "record")
+        store.write(rejected.unionByName(refused), "dead_letters", batch)
+
+        known = checked.filter("missing_reference IS NULL")
+        store.write(known.filter("is_late").select(*_RECENT.names), "late", batch)
         recent = store.batches("transactions", [b for b, _ in progress.recent], _RECENT)
-        if progress.high_water is not None:
-            limit = progress.high_water - self.lateness_seconds
-            store.write(known.filter(F.col("sec") < limit), "late", batch)
-            known = known.filter(F.col("sec") >= limit)
-        fresh = known.join(recent.select("transaction_id"), "transaction_id", "left_anti").select(*_RECENT.names)
-        return store.write(fresh, "transactions", batch), recent
+        fresh = known.filter("NOT is_late").join(recent.select("transaction_id"), "transaction_id", "left_anti")
+        return store.write(fresh.select(*_RECENT.names), "transactions", batch), recent
 
     def features(self, fresh: DataFrame, recent: DataFrame, batch: int, progress: Progress) -> DataFrame:
         velocity = velocity_features(recent.unionByName(fresh), ttl_seconds=self.ttl_seconds).join(

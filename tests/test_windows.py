@@ -6,8 +6,9 @@ from decimal import Decimal
 
 import pytest
 
+from riskflow.operators import ordered
 from riskflow.operators.history import ip_history, previous_transaction, user_history
-from riskflow.operators.ordered import Agg, large_groups, running, running_few_groups
+from riskflow.operators.ordered import Agg, large_groups, running
 from riskflow.operators.velocity import velocity_features
 from pyspark.sql import functions as F
 
@@ -102,28 +103,35 @@ def test_histories_equal_brute_force(spark, limit):
 def test_large_groups_are_found_and_bounded(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
     assert large_groups(df, ["k"], 900) is None
-    assert [tuple(r) for r in large_groups(df, ["k"], 100).collect()] == [("hot", 900)]
+    assert [tuple(r) for r in large_groups(df, ["k"], 100).collect()] == [("hot", 900, 100)]
 
 
-@pytest.mark.parametrize("run", ["measured", "few"])
-def test_running_splits_one_key_holding_everything(spark, run):
+@pytest.mark.parametrize("limit", [40, 1, 700])
+def test_running_splits_one_key_holding_everything(spark, limit):
     df = spark.range(5000).select(F.lit(1).alias("k"), "id", (F.col("id") % 7).alias("v"))
     aggs = {"s": Agg("sum", F.col("v")), "m": Agg("max", F.col("id"))}
-    out = running(df, ["k"], ["id"], aggs, max_rows=40) if run == "measured" else running_few_groups(df, ["k"], ["id"], aggs, 40)
     total = 0
-    for r in sorted(out.collect(), key=lambda r: r.id):
+    for r in sorted(running(df, ["k"], ["id"], aggs, max_rows=limit).collect(), key=lambda r: r.id):
         assert (r.s or 0) == total and r.m == (r.id - 1 if r.id else None)
         total += r.v
 
 
-def test_split_chunks_bound_the_window_groups(spark):
-    """With a key of 20,000 rows and a limit of 500 no chunk comes near the whole group."""
-    from riskflow.operators import ordered
-
-    df = spark.range(20_000).select(F.lit(1).alias("k"), "id")
-    hot = ordered.large_groups(df, ["k"], 500)
-    stride = 500
-    pivots = [r.id for r in df.filter(F.pmod(F.xxhash64("id"), F.lit(stride)) == 0).collect()]
-    chunk = ordered._chunk_index(F.array(*[F.struct(F.lit(p).alias("id")) for p in sorted(pivots)]), F.struct("id"))
-    sizes = [r["count"] for r in df.groupBy(chunk.alias("c")).count().collect()]
-    assert hot.count() == 1 and sum(sizes) == 20_000 and max(sizes) < 5_000
+def test_chunks_are_ordered_and_bounded(spark):
+    """A key of 20,000 rows at 500 a chunk: chunks follow the order and none nears the whole."""
+    df = spark.range(20_000).select(F.when(F.col("id") < 19_000, "hot").otherwise("cold").alias("k"), F.xxhash64("id").alias("o"), "id")
+    large = large_groups(df, ["k"], 5000)
+    chunked = ordered._with_chunks(df, ["k"], ["o"], large.withColumn("_chunk_rows", F.lit(500).cast("long")))
+    per = chunked.groupBy("k", "_chunk").agg(F.count("*").alias("n"), F.min("o").alias("lo"), F.max("o").alias("hi")).collect()
+    hot = sorted((r for r in per if r.k == "hot"), key=lambda r: r["_chunk"])
+    assert len(hot) > 20 and max(r.n for r in hot) < 4_000 and sum(r.n for r in hot) == 19_000
+    assert all(a.hi < b.lo for a, b in zip(hot, hot[1:]))
+    assert [r["_chunk"] for r in per if r.k == "cold"] == [0]
+
+
+def test_split_rows_are_spread_even_after_a_join_on_the_key(spark):
+    """The chunk windows get their own exchange although the input is already hashed by key."""
+    df = spark.range(4000).select(F.lit("hot").alias("k"), "id")
+    other = spark.range(1).select(F.lit("hot").alias("k"), F.lit(1).alias("x"))
+    joined = df.hint("merge").join(other, "k")
+    plan = running(joined, ["k"], ["id"], {"s": Agg("sum", F.col("id"))}, max_rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k#" in plan and "_chunk#" in plan.split("hashpartitioning", 1)[1] and "REPARTITION_BY_COL" in plan

@@ -246,7 +246,7 @@ def f20_serving(spark, sf):
 
 @query("b15_epoch_seconds", """
     SELECT transaction_id, CASE WHEN stamp > 10000000000 THEN stamp // 1000 ELSE stamp END AS seconds
-    FROM (SELECT transaction_id, CASE WHEN is_fraud THEN epoch_ms(creation_date_time) ELSE sec END AS stamp FROM rows_) s""", ("rows_",))
+    FROM (SELECT transaction_id, CASE WHEN is_fraud THEN epoch_us(creation_date_time) // 1000 ELSE sec END AS stamp FROM rows_) s""", ("rows_",))
 def b15(spark, sf):
     from riskflow.functions.scalar import normalize_epoch
 

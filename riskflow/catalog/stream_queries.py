@@ -38,8 +38,13 @@ def _bundle(spark, sf):
 @query("i1_split_parts", "SELECT is_fraud, count(*) AS n, true AS near_shares FROM transactions GROUP BY is_fraud", ("transactions",))
 def i1(spark, sf):
     df = training.with_split(transactions(spark, sf)).groupBy("is_fraud")
-    share = lambda *p: F.avg(F.col("part").isin(*p).cast("int"))
-    near = share("train", "validation").between(0.66, 0.74) & share("calibration").between(0.12, 0.18) & share("test").between(0.12, 0.18)
+
+    def near_share(p: float, *parts: str):
+        # Within five standard errors of the share aimed at.
+        off = F.abs(F.avg(F.col("part").isin(*parts).cast("int")) - p)
+        return off <= 5 * F.sqrt(F.lit(p * (1 - p)) / F.count("*"))
+
+    near = near_share(0.70, "train", "validation") & near_share(0.15, "calibration") & near_share(0.15, "test")
     return df.agg(F.count("*").alias("n"), near.alias("near_shares"))
 
 

@@ -52,7 +52,7 @@ TABLE_SQL: dict[str, str] = {
     "transactions": f"""
         SELECT {_id('tx', 'e.event_id')} AS transaction_id, {_id('user', 'e.user_id')} AS user_id,
           {_id('card', 'e.user_id')} AS card_id,
-          {_id('merchant', '(e.event_id * 31 + e.user_id) % 10 + 1')} AS merchant_id,
+          {_id('merchant', '(e.event_id * 31 + e.user_id) % 10')} AS merchant_id,
           CASE WHEN e.event_id % 10 < 7 THEN {_id('device', 'e.event_id % 50')} END AS device_id,
           CAST(e.value AS DECIMAL(19,2)) AS amount,
           {_country('CASE WHEN e.event_id % 7 = 0 THEN (c.c_nationkey + 1 + e.event_id % 19) % 20 ELSE c.c_nationkey % 20 END')}
@@ -66,7 +66,7 @@ TABLE_SQL: dict[str, str] = {
         SELECT event_id, CASE event_id % 29 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE {_id('tx', 'event_id')} END AS transaction_id,
           CASE WHEN event_id % 31 = 0 THEN '' ELSE {_id('user', 'user_id')} END AS user_id,
           CASE WHEN event_id % 37 = 0 THEN NULL ELSE {_id('card', 'user_id')} END AS card_id,
-          CASE WHEN event_id % 41 = 0 THEN '  ' ELSE {_id('merchant', '(event_id * 31 + user_id) % 10 + 1')} END AS merchant_id,
+          CASE WHEN event_id % 41 = 0 THEN '  ' ELSE {_id('merchant', '(event_id * 31 + user_id) % 10')} END AS merchant_id,
           CASE WHEN event_id % 10 < 7 THEN {_id('device', 'event_id % 50')} END AS device_id,
           CASE WHEN event_id % 43 = 0 THEN NULL WHEN event_id % 47 = 0 THEN -CAST(value AS DECIMAL(19,2))
                WHEN event_id % 53 = 0 THEN CAST(0 AS DECIMAL(19,2)) ELSE CAST(value AS DECIMAL(19,2)) END AS amount,

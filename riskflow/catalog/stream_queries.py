@@ -227,7 +227,9 @@ def h4_stream(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("h9_hot_swapped_model")
+@query("h9_hot_swapped_model", """
+    SELECT v AS model_version, count(*) AS n, s AS step FROM transactions, (VALUES ('1.0.0', 1), ('2.0.0', 2), ('2.0.0', 3)) x(v, s) GROUP BY v, s""",
+       ("transactions",))
 def h9(spark, sf):
     """Two releases: the second takes over, a broken third leaves it in force."""
     root, registry = shared_dir(spark, "swap"), shared_dir(spark, "registry")

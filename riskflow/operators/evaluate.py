@@ -30,21 +30,22 @@ def pr_curve(df: DataFrame, score: str, label: str, *, max_group_rows: int = MAX
 
     Rows collapse to distinct scores first; the running sums over those are chunked.
     """
+    valid = df.filter(F.col(score).isNotNull())
     points = (
-        df.filter(F.col(score).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("threshold"))
+        valid.groupBy(F.col(score).cast("double").alias("threshold"))
         .agg(F.count_if(_positive(label)).alias("_pos"), F.count_if(~_positive(label)).alias("_neg"))
-        .withColumns({"_all": F.lit(0), "_down": -F.col("threshold")})
+        # One group of all rows. Its key comes from the data, so joins on it stay equality joins.
+        .withColumns({"_all": F.col("_pos") < 0, "_down": -F.col("threshold")})
     )
     sums = running(
         points, ["_all"], ["_down"],
         {"_tp": Agg("sum", F.col("_pos")), "_fp": Agg("sum", F.col("_neg"))}, max_rows=max_group_rows)
-    total = points.groupBy("_all").agg(F.sum("_pos").alias("_total"))
+    total = valid.agg(F.count_if(_positive(label))).first()[0]
     return (
-        sums.join(F.broadcast(total), "_all")
-        .withColumns({
+        sums.withColumns({
             "tp": F.coalesce("_tp", F.lit(0)) + F.col("_pos"),
             "fp": F.coalesce("_fp", F.lit(0)) + F.col("_neg"),
+            "_total": F.lit(total),
         })
         .select(
             "threshold", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),

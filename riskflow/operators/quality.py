@@ -130,14 +130,16 @@ def dataset_summary(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     y = F.col(label).cast("boolean")
     cold = (F.col("amount") >= S.LARGE_AMOUNT) & (F.coalesce("user_historical_transaction_count", F.lit(0)) == 0)
     counts = df.agg(
-        F.lit(0).alias("_k"), F.count("*").alias("total_rows"), F.count_if(y).alias("fraud_count"),
+        F.count("*").alias("total_rows"), F.count_if(y).alias("fraud_count"),
         F.avg(y.cast("int")).alias("_rate"), F.count_if(cold).alias("large_cold_start_count"),
         F.avg(F.when(cold, y.cast("int"))).alias("_cold"),
     )
-    overlaps = overlap_report(df, label).agg(F.lit(0).alias("_k"), F.round(F.avg("overlap"), 4).alias("avg_overlap"))
-    aucs = single_feature_auc(df, label=label).agg(F.lit(0).alias("_k"), F.max("auc").alias("max_single_feature_auc"))
+    overlaps = overlap_report(df, label).agg(F.round(F.avg("overlap"), 4).alias("avg_overlap"))
+    aucs = single_feature_auc(df, label=label).agg(F.max("auc").alias("max_single_feature_auc"))
     rate, cold_rate = F.coalesce("_rate", F.lit(0.0)), F.coalesce("_cold", F.lit(0.0))
-    return counts.join(F.broadcast(overlaps), "_k").join(F.broadcast(aucs), "_k").select(
+    # Three one-row results, each with its own columns, brought into one row.
+    parts = counts.unionByName(overlaps, allowMissingColumns=True).unionByName(aucs, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns]).select(
         "total_rows", "fraud_count", (F.col("total_rows") - F.col("fraud_count")).alias("legit_count"),
         F.round(rate, 4).alias("fraud_rate"), "avg_overlap", "max_single_feature_auc", "large_cold_start_count",
         F.round(cold_rate, 4).alias("large_cold_start_fraud_rate"),

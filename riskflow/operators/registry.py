@@ -56,10 +56,11 @@ def _by_time_sweep(events: DataFrame, objects: DataFrame, ts: str, event_id: str
     """Releases sort into the event stream ahead of events of the same instant; the latest one
     before an event is the running maximum of (time, name)."""
     columns = events.columns
-    marked = events.select(F.lit(0).alias("_all"), F.col(ts).alias("_at"), F.lit(1).alias("_kind"),
+    # One group of all rows with a time; its key comes from the data, so joins on it stay equality joins.
+    marked = events.select(F.col(ts).isNull().alias("_all"), F.col(ts).alias("_at"), F.lit(1).alias("_kind"),
                            F.col(event_id).alias("_id"), F.struct(*columns).alias("_event"))
     stream = marked.unionByName(
-        objects.select(F.lit(0).alias("_all"), F.col("released_at").alias("_at"), F.lit(0).alias("_kind"),
+        objects.select(F.col("released_at").isNull().alias("_all"), F.col("released_at").alias("_at"), F.lit(0).alias("_kind"),
                        F.col("object_name").alias("_id")),
         allowMissingColumns=True)
     release = F.when(F.col("_kind") == 0, F.struct("_at", "_id"))

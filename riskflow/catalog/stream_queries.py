@@ -10,9 +10,8 @@ from riskflow.catalog.registry import query
 from riskflow.ml import bundle as bundles
 from riskflow.ml import contributions as explaining
 from riskflow.ml import training
-from riskflow.operators import evaluate, messages
+from riskflow.operators import messages
 from riskflow.session import shared_dir
-from riskflow.sources.derived import derived
 from riskflow.sources.files import read_transactions_stream
 from riskflow.streaming import aggregates
 from riskflow.streaming.scoring import ScoringStream, start_scoring, velocity_stream

@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskflow import schemas as S
 from riskflow.ml.training import Bundle, model_inputs
 from riskflow.operators.explain import as_contributions, top_contributions
 
@@ -108,5 +107,3 @@ def explain(df: DataFrame, bundle: Bundle, k: int = 5) -> DataFrame:
     return packed.withColumn("_phi", shapley("x")).select(
         "row.*", top_contributions(as_contributions(bundle.feature_names, values, phi), k).alias("contributions"))
 
-
-__all__ = ["contributions", "explain", "shapley_values", "tree_leaves", "S"]

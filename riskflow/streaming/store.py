@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -57,10 +56,3 @@ class BatchStore:
         """All committed rows of a table, with their batch number."""
         done = self.spark.read.text(f"{self.root}/commits").agg(F.max("batch")).first()[0]
         return self.spark.read.parquet(f"{self.root}/{table}").filter(F.col("batch") <= done)
-
-    def has(self, table: str) -> bool:
-        try:
-            self.spark.read.parquet(f"{self.root}/{table}").schema
-            return True
-        except AnalysisException:
-            return False

@@ -151,24 +151,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
     return model
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id and score (probability of label 1) of every whole text, one row a row; a null text counts as empty.
+def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The `keep` columns and score (probability of label 1) of every whole text, one row a row.
 
-    Only doc_id and text are read, so other columns may bear any name. An empty text gets the score of
-    the bias alone. Equal texts get equal scores.
+    A null text counts as empty; an empty text gets the score of the bias alone. Only the named columns
+    and text are read, so others may bear any name. Equal texts get equal scores.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model.folded())  # fixed size: SIZE numbers
+    sent = docs.sparkSession.sparkContext.broadcast(model.folded())  # fixed size: SIZE numbers
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = sent.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             out = np.empty(len(texts))
             for a, b, ids, owner in feature_blocks(texts):
                 total = np.bincount(owner, table[ids], b - a)
                 z = bias + total / np.maximum(1, np.bincount(owner, minlength=b - a))
                 out[a:b] = 1 / (1 + np.exp(-z))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(out)], [*keep, "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
+    return docs.select(*keep, F.col("text").alias("_whole_text")).mapInArrow(scored, schema)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskflow.llm import bpe, packing, quality, toxicity
+from riskflow.llm import bpe, jaccard, packing, quality, toxicity
 from riskflow.llm.common import held_out, read
 
 QUERIES: dict = {}
@@ -31,6 +32,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels"))), 0.7)
 
 
+@register()
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classify(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 @register()
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -45,3 +51,8 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@register(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -119,11 +119,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return SpanHasher(data)(start, end), at
 
 
-def cut_points(df: DataFrame, column: str, parts: int, weight: Column | None = None, bins: int = 4096) -> list[int]:
+def cut_points(df: DataFrame, column: str, parts: int, weight: Column | None = None) -> list[int]:
     """Values that cut the integer `column` into ranges of about equal weight, the same for the same rows.
 
-    Exact histograms of `bins` ranges, refined inside ranges that are still too heavy; only counts
-    reach the driver, at most bins of them for each heavy range. A single heavy value stays whole.
+    Exact histograms, refined inside ranges that are still too heavy; only counts reach the driver,
+    a few for each part. A single heavy value stays whole.
     Null values are left to the caller.
     """
     w = (F.lit(1) if weight is None else weight).cast("long")
@@ -131,7 +131,7 @@ def cut_points(df: DataFrame, column: str, parts: int, weight: Column | None = N
     low, high, total = rows.agg(F.min("v"), F.max("v"), F.sum("w")).first()
     if low is None or parts < 2 or not total:
         return []
-    most = max(1, total // parts)
+    most, bins = max(1, total // parts), max(4096, 4 * parts)
     counted: list[tuple[int, int, int]] = []
     open_ranges = [(low, high)]
     while open_ranges:
@@ -152,13 +152,20 @@ def cut_points(df: DataFrame, column: str, parts: int, weight: Column | None = N
     return cuts
 
 
+#: Ranges that a table is cut into at most; larger tables get larger ranges.
+MOST_RANGES = 20_000
+
+
 def range_of(column: Column, cuts: list[int]) -> Column:
-    """Number of cuts at or below the value: 0 .. len(cuts); null for null."""
+    """Number of cuts at or below the value: 0 .. len(cuts); null for null. Found in two steps of about 128 comparisons."""
+    array = lambda values: F.from_json(F.lit(str(values)), "array<bigint>")
+    upto = lambda values: F.size(F.filter(values, lambda c: c <= column))
     if not cuts:
         return F.when(column.isNotNull(), F.lit(0))
-    values = F.array(*[F.lit(c) for c in cuts]) if len(cuts) < 64 else F.from_json(F.lit(str(cuts)), "array<bigint>")
-    bucket = F.expr("0")
-    return F.when(column.isNotNull(), F.size(F.filter(values, lambda c: c <= column)) + bucket)
+    if len(cuts) <= 128:
+        return F.when(column.isNotNull(), upto(array(cuts)))
+    coarse = F.greatest(upto(array(cuts[::128])) - 1, F.lit(0))
+    return F.when(column.isNotNull(), coarse * 128 + upto(F.slice(array(cuts), coarse * 128 + 1, 128)))
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:

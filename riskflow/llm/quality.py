@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from riskflow.llm.common import held_out
@@ -106,6 +107,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
         F.broadcast(known), "doc_id")
 
 
+def in_order(rows: pa.Table, *columns: str):
+    """(labels, a function for each binary column that gives row i's bytes as a view), rows in the order of doc_id."""
+    order = pa.compute.sort_indices(rows, [("doc_id", "ascending")]).to_numpy()
+
+    def views(name: str):
+        cells = rows.column(name)
+        starts = np.cumsum([0, *[len(c) for c in cells.chunks]])
+
+        def at(i: int) -> np.ndarray:
+            k = int(np.searchsorted(starts, order[i], "right")) - 1
+            cell = cells.chunk(k)[int(order[i] - starts[k])].as_buffer()
+            return np.frombuffer(cell, np.uint8) if cell.size else np.zeros(0, np.uint8)
+
+        return at
+
+    return rows.column("label").to_numpy().astype(np.int64)[order].clip(0, 1), *map(views, columns)
+
+
 @dataclass
 class QualityModel:
     vectors: np.ndarray
@@ -121,16 +140,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
         epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> QualityModel:
     """Trains on at most about max_labelled labelled rows; without any, every score is 0.5."""
     rows = labelled_sample(docs, labels, label, max_labelled).select("doc_id", "label", "text").mapInArrow(
-        counted_features, "doc_id long, label int, ids binary, counts binary").toPandas()
-    rows = rows.sort_values(["doc_id", "ids"]).reset_index(drop=True)
+        counted_features, "doc_id long, label int, ids binary, counts binary").toArrow()
+    y, ids, counts = in_order(rows, "ids", "counts")
     rng = np.random.default_rng(seed)
     model = QualityModel(rng.uniform(-1, 1, (SIZE, DIMENSION)).astype(np.float32) / DIMENSION, np.zeros((DIMENSION, 2), np.float32), np.zeros(2, np.float32))
-    y = rows.label.to_numpy(np.int64).clip(0, 1)
     if not len(y):
         return model
-    ids = [np.frombuffer(x, np.int32) for x in rows.ids]
-    weights = [np.frombuffer(x, np.int32).astype(np.float32) for x in rows.counts]
-    weights = [w / max(1.0, float(w.sum())) for w in weights]
     prior = (np.bincount(y, minlength=2) + 1) / (len(y) + 2)
     model.bias[:] = np.log(prior)
     steps = epochs * len(y)
@@ -139,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
             order = rng.permutation(len(y))
         i = order[step % len(y)]
         lr = rate * (1 - step / steps)
-        hidden = weights[i] @ model.vectors[ids[i]]
+        at, n = ids(i).view(np.int32), counts(i).view(np.int32).astype(np.float32)
+        weight = n / max(1.0, float(n.sum()))
+        hidden = weight @ model.vectors[at]
         z = hidden @ model.output + model.bias
         p = np.exp(z - z.max())
         p /= p.sum()
@@ -147,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
         back = model.output @ p
         model.output -= lr * np.outer(hidden, p)
         model.bias -= 0.1 * lr * p
-        model.vectors[ids[i]] -= (lr * 4) * weights[i][:, None] * back
+        model.vectors[at] -= (lr * 4) * weight[:, None] * back
     return model
 
 

@@ -226,7 +226,8 @@ def compared(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     weight = F.octet_length("text")
     total = rows.agg(F.sum(weight)).first()[0] or 0
-    cuts = cut_points(rows, "doc_id", min(MOST_RANGES, max(1, -(-total // part_bytes))), weight + 64)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tables too are dealt to all tasks
+    cuts = cut_points(rows, "doc_id", min(MOST_RANGES, max(least, -(-total // part_bytes))), weight + 64)
     ranged = rows.withColumn("part", F.coalesce(range_of(F.col("doc_id"), cuts), F.lit(len(cuts) + 1)).cast("int"))
     firsts = {r["part"]: r["low"] for r in ranged.groupBy("part").agg(F.min("doc_id").alias("low")).collect()}  # a row a range
     order = sorted(firsts)

@@ -378,10 +378,12 @@ def h6(spark, sf):
 
 
 @query("h7_enqueued_alerts", """
-    SELECT transaction_id, 'PENDING_LLM' AS status, 0 AS attempts, TIMESTAMP '2024-01-15 00:00:00' AS next_retry_at
+    SELECT transaction_id, 'PENDING_LLM' AS status, 0 AS attempts, TIMESTAMP '2024-01-15 00:00:00' AS next_retry_at,
+      TIMESTAMP '2024-01-15 00:00:00' AS created_at, transaction_id || ' ' || risk_level || ' ' || model_version AS payload
     FROM predictions WHERE risk_level = 'HIGH' AND transaction_id NOT IN (SELECT transaction_id FROM tasks)""", ("predictions", "tasks"))
 def h7(spark, sf):
-    return outbox.enqueue_alerts(predictions(spark, sf), derived(spark, sf, "tasks"), _status_now()).drop("created_at")
+    payload = F.concat_ws(" ", "transaction_id", "risk_level", "model_version")
+    return outbox.enqueue_alerts(predictions(spark, sf), derived(spark, sf, "tasks"), _status_now(), payload)
 
 
 _TRANSITION = """
@@ -391,7 +393,12 @@ _TRANSITION = """
       CASE WHEN acts AND failed THEN attempts + 1 ELSE attempts END AS attempts,
       CASE WHEN acts AND failed AND attempts + 1 < 5 THEN TIMESTAMP '2024-01-15 00:00:00' + CAST(30 * pow(2, attempts) AS INTEGER) * INTERVAL '1' SECOND
            ELSE next_retry_at END AS next_retry_at,
-      CASE WHEN acts AND NOT failed THEN TIMESTAMP '2024-01-15 00:00:00' END AS completed_at
+      'p-' || transaction_id AS payload, CASE WHEN acts AND (status <> 'PENDING_LLM' OR llm_ok) THEN 'why ' || transaction_id END AS explanation,
+      CASE WHEN acts AND NOT failed THEN 'mail ' || transaction_id END AS mail,
+      CASE WHEN acts AND failed THEN CASE WHEN status = 'PENDING_LLM' AND NOT llm_ok THEN 'explanation failed' ELSE 'mail failed' END
+           WHEN NOT acts THEN 'before' END AS error_message,
+      CASE WHEN acts THEN TIMESTAMP '2024-01-15 00:00:00' END AS last_attempt_at, CAST(NULL AS TIMESTAMP) AS created_at,
+      CASE WHEN acts AND NOT failed THEN TIMESTAMP '2024-01-15 00:00:00' WHEN status = 'COMPLETED' THEN next_retry_at END AS completed_at
     FROM (SELECT t.*, o.llm_ok, o.email_ok,
             status IN ('PENDING_LLM', 'PENDING_EMAIL') AND next_retry_at <= TIMESTAMP '2024-01-15 00:00:00' AS acts,
             (status = 'PENDING_LLM' AND NOT llm_ok) OR NOT email_ok AS failed
@@ -400,12 +407,17 @@ _TRANSITION = """
 
 @query("h8_task_transition", _TRANSITION, ("tasks", "outcomes"))
 def h8(spark, sf):
-    return outbox.advance_tasks(derived(spark, sf, "tasks"), derived(spark, sf, "outcomes"), _status_now())
+    tasks = derived(spark, sf, "tasks").withColumns({
+        "payload": F.concat(F.lit("p-"), "transaction_id"), "error_message": F.lit("before"),
+        "completed_at": F.when(F.col("status") == "COMPLETED", F.col("next_retry_at"))})
+    outcomes = derived(spark, sf, "outcomes").withColumns({
+        "explanation": F.concat(F.lit("why "), "transaction_id"), "mail": F.concat(F.lit("mail "), "transaction_id")})
+    return outbox.advance_tasks(tasks, outcomes, _status_now())
 
 
 @query("h8_latest_task_state", f"SELECT n.transaction_id, n.status, n.attempts FROM ({_TRANSITION}) n", ("tasks", "outcomes"))
 def h8_latest(spark, sf):
     tasks = derived(spark, sf, "tasks")
     before = tasks.withColumn("updated_at", _status_now() - F.expr("INTERVAL '1' HOUR"))
-    after = outbox.advance_tasks(tasks, derived(spark, sf, "outcomes"), _status_now()).drop("completed_at").withColumn("updated_at", _status_now())
-    return outbox.latest_state(before.unionByName(after)).select("transaction_id", "status", "attempts")
+    after = outbox.advance_tasks(tasks, derived(spark, sf, "outcomes"), _status_now()).withColumn("updated_at", _status_now())
+    return outbox.latest_state(before.unionByName(after.select(*before.columns))).select("transaction_id", "status", "attempts")

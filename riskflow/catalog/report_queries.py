@@ -257,9 +257,9 @@ def i2(spark, sf):
 
 @query("d18_tasks_by_status", """
     SELECT status, count(t.transaction_id) AS tasks FROM (VALUES ('PENDING_LLM'), ('PENDING_EMAIL'), ('COMPLETED'), ('DEAD_LETTER')) s(status)
-    LEFT JOIN (SELECT * FROM tasks WHERE status <> 'COMPLETED') t USING (status) GROUP BY status""", ("tasks",))
+    LEFT JOIN tasks t USING (status) GROUP BY status""", ("tasks",))
 def d18(spark, sf):
-    return outbox.tasks_by_status(derived(spark, sf, "tasks").filter("status <> 'COMPLETED'"))
+    return outbox.tasks_by_status(derived(spark, sf, "tasks"))
 
 
 @query("d19_processed_by_level_and_version", "SELECT risk_level, model_version, count(*) AS events FROM predictions GROUP BY 1, 2", ("predictions",))
@@ -367,9 +367,9 @@ def k9(spark, sf):
 
 @query("k10_funnel", f"""
     SELECT {_minute()} AS minute, count(*) AS ingested, count(p.transaction_id) AS scored, count(p.transaction_id) FILTER (WHERE p.risk_level = 'HIGH') AS alerted
-    FROM transactions t LEFT JOIN (SELECT * FROM predictions WHERE fraud_probability > 0.1) p USING (transaction_id) GROUP BY 1""", ("transactions", "predictions"))
+    FROM transactions t LEFT JOIN predictions p USING (transaction_id) GROUP BY 1""", ("transactions", "predictions"))
 def k10(spark, sf):
-    some = scored(spark, sf).filter("fraud_probability > 0.1")
+    some = scored(spark, sf)
     return monitor.funnel(transactions(spark, sf), some, outbox.high_risk(some), "creation_date_time")
 
 

@@ -7,8 +7,12 @@ from pyspark.sql import Column, functions as F
 from riskflow import schemas as S
 
 
+#: White space of a blank text: tabs, line ends and every space but the non-breaking ones.
+_BLANK = r"\A[\t-\r\x1c-\x1f \u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]*\z"
+
+
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (F.trim(c) == "")
+    return c.isNull() | c.rlike(_BLANK)
 
 
 def epoch_seconds(ts: Column) -> Column:

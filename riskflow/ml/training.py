@@ -36,8 +36,6 @@ DEFAULT_PARAMS = {"max_depth": 10, "learning_rate": 0.1607, "min_child_samples":
 SEARCH_ROUNDS = 100
 WHOLE = ("max_depth", "min_child_samples")
 
-CALIBRATION_DIGITS = 5
-
 
 def assembler(names: list[str], prefix: str = "") -> VectorAssembler:
     return VectorAssembler(inputCols=[prefix + n for n in names], outputCol="features", handleInvalid="keep")
@@ -112,12 +110,8 @@ def raw_scores(df: DataFrame, model: PipelineModel, names: list[str], caps: dict
 
 
 def fit_calibrator(scores: DataFrame, label: str = "is_fraud") -> IsotonicRegressionModel:
-    """Isotonic map from raw to observed probability.
-
-    Rows collapse to scores of five decimals, so the fit takes 100,001 weighted points at most
-    whatever the table's size.
-    """
-    points = scores.groupBy(F.round("raw_probability", CALIBRATION_DIGITS).alias("raw_probability")).agg(
+    """Isotonic map from raw to observed probability, on the exact scores: equal ones are one weighted point."""
+    points = scores.groupBy("raw_probability").agg(
         F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
     return IsotonicRegression(
         featuresCol="raw_probability", labelCol="label", weightCol="weight", predictionCol="fraud_probability").fit(points)

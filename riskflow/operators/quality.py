@@ -35,14 +35,20 @@ MIN_VALID = 100
 
 
 def long_form(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """(feature, value, positive) without nulls: all columns in one pass over the rows."""
+    """(feature, value, positive) without nulls and NaN: all columns in one pass over the rows."""
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
     return (
         df.select(F.col(label).cast("boolean").alias("positive"), F.explode(pairs).alias("_p"))
-        .select("_p.feature", "_p.value", "positive").filter("value IS NOT NULL")
+        .select("_p.feature", "_p.value", "positive").filter("value IS NOT NULL AND NOT isnan(value)")
     )
 
 
+def _for_every(columns: list[str], found: DataFrame, name: str, otherwise: float) -> DataFrame:
+    """A row for each requested feature: one without any value gets `otherwise`."""
+    asked = found.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    return asked.join(F.broadcast(found), "feature", "left").select("feature", F.coalesce(name, F.lit(otherwise)).alias(name))
+
+
 def class_histograms(df: DataFrame, columns: list[str], label: str = "is_fraud", bins: int = 50) -> DataFrame:
     """feature, bin, lower, upper, fraud and legit counts and densities, on equal-width bins over
     the pooled range. Only bins holding rows are listed."""
@@ -80,7 +86,7 @@ def _shared_mass(binned: DataFrame) -> DataFrame:
 
 def overlap(df: DataFrame, columns: list[str] = CONTINUOUS_OVERLAP, label: str = "is_fraud", bins: int = 50) -> DataFrame:
     """Shared mass of the two class distributions per continuous column."""
-    return _shared_mass(class_histograms(df, columns, label, bins))
+    return _for_every(columns, _shared_mass(class_histograms(df, columns, label, bins)), "overlap", 0.0)
 
 
 def categorical_overlap(df: DataFrame, columns: list[str] = CATEGORICAL_OVERLAP, label: str = "is_fraud") -> DataFrame:
@@ -90,7 +96,7 @@ def categorical_overlap(df: DataFrame, columns: list[str] = CATEGORICAL_OVERLAP,
         F.count_if("positive").alias("_p"), F.count_if(~F.col("positive")).alias("_l"))
     counts = rows.groupBy("feature", "value").agg(
         F.count_if("positive").alias("fraud"), F.count_if(~F.col("positive")).alias("legit"))
-    return _shared_mass(counts.join(F.broadcast(totals), "feature"))
+    return _for_every(columns, _shared_mass(counts.join(F.broadcast(totals), "feature")), "overlap", 0.0)
 
 
 def overlap_report(df: DataFrame, label: str = "is_fraud") -> DataFrame:
@@ -111,7 +117,7 @@ def single_feature_auc(df: DataFrame, columns: list[str] = AUC_FEATURES, label:
     below = running(values, ["feature"], ["value"], {"_below": Agg("sum", F.col("_neg"))}, max_rows=max_group_rows)
     wins = F.col("_pos") * (F.coalesce("_below", F.lit(0)) + F.col("_neg") / 2)
     auc = F.col("_w") / (F.col("_p").cast("double") * F.col("_n"))
-    return (
+    found = (
         below.groupBy("feature").agg(F.sum(wins).alias("_w"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
         .select(
             "feature",
@@ -119,6 +125,7 @@ def single_feature_auc(df: DataFrame, columns: list[str] = AUC_FEATURES, label:
             .otherwise(F.round(F.greatest(auc, 1 - auc), 4)).alias("auc"),
         )
     )
+    return _for_every(columns, found, "auc", 0.5)
 
 
 def top_aucs(df: DataFrame, n: int = 10, **kw) -> DataFrame:

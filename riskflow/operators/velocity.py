@@ -92,12 +92,16 @@ def velocity_features(
     """transaction_id with the five velocity features.
 
     `ttl_seconds=None` is a true trailing hour; a number restarts the windows after that long a
-    pause of the user. `large_users` takes a measurement of `tx` the caller already has.
+    pause of the user. `large_users` takes a measurement of `tx` the caller already has. A row without
+    user, merchant or time belongs to no window: it comes back with null features, and no other row
+    sees it. Ids are expected to be unique; `validate.deduplicate` makes them so.
     """
-    rows = tx.select(
+    every = tx.select(
         "transaction_id", "user_id", "merchant_id", F.col("amount").cast(S.MONEY).alias("amount"),
         epoch_seconds(F.col("creation_date_time")).alias("sec"),
     )
+    complete = F.col("user_id").isNotNull() & F.col("merchant_id").isNotNull() & F.col("sec").isNotNull()
+    rows = every.filter(complete)
     large = _large_seconds(rows, large_users, max_group_rows)
     keys = ["user_id"]
     if ttl_seconds is not None:
@@ -155,7 +159,7 @@ def velocity_features(
     # A session is settled by user and second, so these two alone group the rows of a second.
     out = _within_second(rows.join(seconds, [*keys, "sec"]), ["user_id", "sec"], large, max_group_rows)
     since = F.coalesce(F.col("sec") - F.col("prev"), F.lit(S.NO_PREVIOUS_SECONDS))
-    return out.select(
+    found = out.select(
         "transaction_id",
         (F.coalesce("n5", F.lit(0)) + F.col("_rank")).alias("user_transaction_count_5min"),
         (F.coalesce("n60", F.lit(0)) + F.col("_rank")).alias("user_transaction_count_1hour"),
@@ -163,6 +167,9 @@ def velocity_features(
         (F.col("merchants") + F.col("_new")).alias("distinct_merchant_count_1hour"),
         F.when(F.col("_rank") > 0, F.lit(0)).otherwise(since).cast("long").alias("seconds_since_last_transaction"),
     )
+    apart = every.filter(~complete).select(
+        "transaction_id", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in VELOCITY_COLUMNS])
+    return found.union(apart)
 
 
 def _large_seconds(rows: DataFrame, users: DataFrame | None | str, max_rows: int) -> DataFrame | None:

@@ -31,7 +31,8 @@ def base_features(
     """The nineteen base features next to the transaction's own columns.
 
     Each history comes as a narrow table keyed by transaction_id, so the wide rows move once.
-    Windows, ages and histories use event time.
+    Windows, ages and histories use event time. Every row of tx comes back; what a row lacks the keys
+    for is null. Ids are expected to be unique (`validate.deduplicate`).
     """
     sizes = dict(max_group_rows=max_group_rows, large_users=large_groups(tx, ["user_id"], max_group_rows))
     velocity = velocity_features(tx, ttl_seconds=ttl_seconds, **sizes)
@@ -40,7 +41,7 @@ def base_features(
     rows = enrich(tx, dims.users, dims.merchants, dims.cards, dims.devices)
     ts = F.col("creation_date_time")
     return (
-        rows.join(velocity, "transaction_id").join(history, "transaction_id").join(address, "transaction_id", "left")
+        rows.join(velocity, "transaction_id", "left").join(history, "transaction_id", "left").join(address, "transaction_id", "left")
         .withColumns({
             "ip_risk_score": F.coalesce("ip_risk_score", F.lit(0.0)),
             "amount_to_average_ratio": amount_to_average_ratio(F.col("amount"), F.col("user_average_amount")),

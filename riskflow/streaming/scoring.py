@@ -175,7 +175,7 @@ class ScoringStream:
         """New alerts. Ids are new in every batch, so only a rerun could repeat one, and it
         replaces its own directory."""
         none = self.store.spark.createDataFrame([], "transaction_id string")
-        tasks = outbox.enqueue_alerts(scored, none, F.lit(0)).drop("next_retry_at", "created_at")
+        tasks = outbox.enqueue_alerts(scored, none, F.lit(0)).select("transaction_id", "status", "attempts")
         due = scored.select("transaction_id", F.col("creation_date_time").alias("next_retry_at"))
         self.store.write(tasks.join(due, "transaction_id"), "tasks", batch)
 

@@ -116,3 +116,16 @@ def test_training_csv_round_trip_and_missing_file(spark, tmp_path):
     assert files.read_training_csv(spark, str(tmp_path / "csv")).collect() == df.collect()
     with pytest.raises(files.TrainingDataError):
         files.read_training_csv(spark, str(tmp_path / "absent"))
+
+
+def test_features_without_values_are_listed(spark):
+    from riskflow.operators import quality
+
+    rows = [(float(i), None, float("nan") if i == 7 else float(i % 5), i % 2 == 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, is_fraud boolean")
+    aucs = {r.feature: r.auc for r in quality.single_feature_auc(df, ["a", "b", "c"]).collect()}
+    assert set(aucs) == {"a", "b", "c"} and aucs["b"] == 0.5
+    assert {r.feature: r.overlap for r in quality.overlap(df, ["a", "b", "c"]).collect()}["b"] == 0.0
+    assert {r.feature: r.overlap for r in quality.categorical_overlap(df, ["b", "c"]).collect()}["b"] == 0.0
+    clean = {r.feature: r.auc for r in quality.single_feature_auc(df.filter("NOT isnan(c)"), ["c"]).collect()}
+    assert aucs["c"] == clean["c"]

@@ -223,3 +223,22 @@ def test_histogram_quantile_interpolates(spark):
     df = spark.createDataFrame([(at, 0.02)] * 6 + [(at, 0.3)] * 3 + [(at, 9.0)], "ts timestamp_ntz, s double")
     r = monitor.histogram_quantile(df, "ts", "s", [0.5, 0.99], length=1).first()
     assert r.p50 == pytest.approx(0.01 + 0.015 * 5 / 6) and r.p99 == 2.5
+
+
+def test_task_keeps_its_record(spark):
+    before = datetime(2024, 6, 14, 9, 0)
+    tasks = spark.createDataFrame(
+        [("done", "COMPLETED", 1, DUE, "p1", "old", before), ("due", "PENDING_EMAIL", 1, DUE, "p2", "old", None)],
+        TASK + ", payload string, error_message string, completed_at timestamp_ntz")
+    outcomes = spark.createDataFrame([("done", True, True, "m"), ("due", True, True, "m")], OUTCOME + ", mail string")
+    got = {r.transaction_id: r for r in outbox.advance_tasks(tasks, outcomes, now()).collect()}
+    assert (got["done"].completed_at, got["done"].payload, got["done"].error_message, got["done"].mail) == (before, "p1", "old", None)
+    assert (got["due"].status, got["due"].payload, got["due"].error_message, got["due"].mail) == ("COMPLETED", "p2", None, "m")
+    assert got["due"].completed_at == got["due"].last_attempt_at
+
+
+@pytest.mark.parametrize("text,blank", [("\t", True), ("\n \r", True), (" ", True), ("", True), (None, True), (" a ", False), (" ", False)])
+def test_blank_takes_all_white_space(spark, text, blank):
+    from riskflow.functions.scalar import is_blank
+
+    assert spark.createDataFrame([(text,)], "t string").select(is_blank(F.col("t")).alias("b")).first().b is blank

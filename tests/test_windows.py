@@ -137,3 +137,16 @@ def test_split_rows_are_spread_even_after_a_join_on_the_key(spark):
     plan = running(joined, ["k"], ["id"], {"s": Agg("sum", F.col("id"))}, max_rows=100)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [k#" in plan
     assert re.search(r"hashpartitioning\(k#\d+, _chunk#\d+, \d+\), REPARTITION_BY_COL", plan)
+
+
+def test_rows_without_keys_come_back(spark):
+    from datetime import datetime
+
+    from riskflow.operators.velocity import velocity_features
+
+    at = datetime(2024, 1, 1, 10, 0)
+    rows = [("a", "u", "m", 5, at), ("b", None, "m", 5, at), ("c", "u", None, 5, at), ("d", "u", "m", 5, None), ("e", "u", "m", 5, at.replace(minute=1))]
+    tx = spark.createDataFrame(rows, "transaction_id string, user_id string, merchant_id string, amount int, creation_date_time timestamp_ntz")
+    for ttl in (None, 600):
+        got = {r.transaction_id: r.user_transaction_count_1hour for r in velocity_features(tx, ttl_seconds=ttl).collect()}
+        assert got == {"a": 0, "b": None, "c": None, "d": None, "e": 1}

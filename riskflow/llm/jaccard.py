@@ -23,6 +23,7 @@ THRESHOLD = 0.8
 #: 32 bands of 5 values: a pair at 0.8 meets in none of them with a probability of 3e-6.
 BANDS, BAND_ROWS = 32, 5
 VALUES = BANDS * BAND_ROWS
+FIRST_BANDS = 4
 STEP = 32
 TOLERANCE = 1e-6
 #: Bytes of shingles in one block of a large group.
@@ -80,14 +81,24 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([minhash(s).tobytes() for s in sets], pa.binary())], ["doc_id", "th", "node", "size", "sig"])
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not len(batch):
-            continue
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(batch), BANDS, BAND_ROWS).astype(np.uint64)
-        keys = mix((sig * _BAND_SEED).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-        nodes = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), BANDS)))
-        yield pa.RecordBatch.from_arrays([nodes, pa.array(keys.ravel())], ["node", "band"])
+def _near(nodes: DataFrame, first: int, last: int) -> DataFrame:
+    """Edges (a, b) from each node to the smallest node of its buckets, by the bands first .. last - 1.
+
+    Nodes that share name and band are one row before anything is joined.
+    """
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(batch), BANDS, BAND_ROWS)[:, first:last].astype(np.uint64)
+            keys = mix((sig * _BAND_SEED[first:last]).sum(axis=2, dtype=np.uint64) + np.arange(first, last, dtype=np.uint64)).view(np.int64)
+            names = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), last - first)))
+            yield pa.RecordBatch.from_arrays([names, pa.array(keys.ravel())], ["node", "band"])
+
+    bands = nodes.select("node", "sig").mapInArrow(banded, "node binary, band long").distinct()
+    centres = bands.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return bands.join(centres, "band").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,10 +210,13 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = T
     nodes = materialize(
         signed.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("sig").alias("sig")), "nodes")
 
-    bands = nodes.select("node", "sig").mapInArrow(_banded, "node binary, band long")
-    centres = bands.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    near = bands.join(centres, "band").filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    groups = components(near, "near")
+    # A few bands join what is most alike; the rest only has to join those groups with each other.
+    alike = components(_near(nodes, 0, FIRST_BANDS), "alike")
+    grouped = nodes.select("node", "sig").join(alike, "node", "left").select(F.coalesce("root", "node").alias("node"), "sig")
+    further = components(_near(grouped, FIRST_BANDS, BANDS), "further")
+    both = alike.select("node", F.col("root").alias("near")).union(further.select("node", F.col("node").alias("near"))).groupBy("node").agg(F.min("near").alias("near"))
+    groups = both.join(further.select(F.col("node").alias("near"), "root"), "near", "left").select("node", F.coalesce("root", "near").alias("root"))
+    groups = materialize(groups, "groups")
 
     # About 2 sqrt(m) nodes a block: the copies of a row that blocks of a group need then grow as sqrt(m) / 2.
     sized = groups.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("shingles"))

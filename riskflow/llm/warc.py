@@ -202,5 +202,5 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, kinds)], [c.split()[0] for c in schema.split(", ")])
 
-    # A batch of one file bounds what a task holds.
-    return named.repartition(F.col("file")).mapInArrow(run, schema)
+    # A task holds the files of one split: spark.sql.files.maxPartitionBytes, or one file.
+    return named.mapInArrow(run, schema)

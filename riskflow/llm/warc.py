@@ -30,27 +30,25 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 MANIFEST = "file string, shard int, records long, bytes long, sha256 string"
 
 
-def described(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to, one row a row.
+def revisits(keys: DataFrame) -> DataFrame:
+    """shard, page_id, payload_digest, low of every distinct key that is a revisit of page low.
 
-    Of equal payloads of at least LEAST_REVISIT bytes the row with the smallest page_id is the response; a null
-    page_id is a revisit if any row has one, else all such rows are responses. Of rows that repeat that
-    smallest page_id each is a response. A null html counts as empty.
+    keys: shard, page_id, payload_bytes, payload_digest, one row a page. Of equal payloads of at least
+    LEAST_REVISIT bytes the row with the smallest page_id is the response; a null page_id is a revisit if any
+    row has one, else all such rows are responses. Of rows that repeat that smallest page_id each is a response.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("html"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2("html", 256))
-    # A payload may be on a third of all pages: its rows are summed up by salt first, and joined by salt.
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    # A payload may be on a third of all pages: its keys are summed up by salt first, and joined by salt.
+    keys = (
+        keys.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("shard", "page_id", "payload_digest").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("salt", F.pmod(F.xxhash64("page_id", "shard"), F.lit(SALTS)).cast("int"))
+    )
     first = (
-        rows.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest", "salt").agg(F.min("page_id").alias("low"), F.count(F.lit(1)).alias("n"))
+        keys.groupBy("payload_digest", "salt").agg(F.min("page_id").alias("low"), F.sum("n").alias("n"))
         .groupBy("payload_digest").agg(F.min("low").alias("low"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts")).filter("n > 1")
         .withColumn("salt", F.explode("salts")).select("payload_digest", "salt", "low")
     )
     again = F.col("low").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("low")))
-    keys = rows.select("page_id", "url", "html", "payload_bytes", "payload_digest", "salt").join(first, ["payload_digest", "salt"], "left")
-    return keys.select(
-        "page_id", "url", "html", "payload_bytes", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("low")).alias("refers_to"))
+    return keys.join(first, ["payload_digest", "salt"]).filter(again).select("shard", "page_id", "payload_digest", "low")
 
 
 def _id(page_id: int | None, digest: str) -> str:
@@ -87,9 +85,12 @@ def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, shard_bytes
     """Writes the archives and the manifest (parquet in path/manifest) below path, and returns the manifest.
 
     path is a URI that pyarrow's file systems know and all executors share. An empty table gives no files.
+    A null html counts as empty. Payloads are shuffled once: what is a revisit is found on ids and digests
+    alone, and goes to the shard of its record as a mark that is sorted right before it.
     A file is rolled once its compressed size reaches file_bytes; a record is never split.
     """
-    rows = described(pages)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("html"))
+    rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2("html", 256))
     total = rows.agg(F.sum("payload_bytes")).first()[0] or 0
     size = F.octet_length(F.coalesce("html", F.lit(""))) + 256
     keys = pages.select(F.col("page_id").cast("long").alias("page_id"), "html")
@@ -126,7 +127,13 @@ def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, shard_bytes
             state["file"] = None
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(8))):
+            for *row, low in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                key = (row[0], row[1], row[5])
+                if low is not None:
+                    state["mark"], state["low"] = key, low
+                    continue
+                again = state.get("mark") == key
+                row += ["revisit", state["low"]] if again else ["response", None]
                 if row[0] != state["shard"] or state.get("file") is None:
                     close()
                     state["number"] = state["number"] + 1 if row[0] == state["shard"] else 0
@@ -147,9 +154,12 @@ def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, shard_bytes
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "shard", "records", "bytes", "sha256"])
 
+    marks = revisits(dealt.select("shard", "page_id", "payload_bytes", "payload_digest"))
+    columns = ["shard", "page_id", "url", "html", "payload_bytes", "payload_digest"]
+    marked = dealt.select(*columns, F.lit(None).cast("long").alias("low")).unionByName(marks, allowMissingColumns=True)
     manifest = (
-        dealt.select("shard", "page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to")
-        .repartition(max(1, spread), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "payload_digest", "url")
+        marked.repartitionById(max(1, spread), "shard")
+        .sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "payload_digest", F.col("low").asc_nulls_last(), "url")
         .mapInArrow(run, MANIFEST)
     )
     manifest.write.parquet(f"{target}/manifest")

@@ -9,6 +9,7 @@ the share of the template's pairs it holds, each pair compared by its words, not
 from __future__ import annotations
 
 import re
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -61,7 +62,7 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] =
     known = templates(spark, base, notices)  # as many rows as the templates have words: no data in it
     words = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"),
-        F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD_PATTERN), F.lit(0)).alias("words"))
+        F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase), F.lit(WORD_PATTERN), F.lit(0)).alias("words"))
     pairs = F.zip_with("words", F.slice(F.col("words"), 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.coalesce(F.concat(a, F.lit(" "), b), F.lit(_NONE)))
     grams = words.select("doc_id", "uid", F.posexplode_outer(pairs).alias("pos", "gram"))
     grams = grams.select("doc_id", "uid", F.coalesce(F.col("pos") + 1, F.lit(0)).alias("place"), F.coalesce("gram", F.lit(_NONE)).alias("gram"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskflow import schemas as S
 from riskflow.functions.scalar import hashed_uniform
 from riskflow.operators.ordered import MAX_GROUP_ROWS, Agg, running
-from riskflow.operators.quantiles import median
+from riskflow.operators.quantiles import exact_quantiles
 
 # --- fixed values: columns of each report ------------------------------------------------------
 CONTINUOUS_OVERLAP = [
@@ -186,7 +186,7 @@ def inject_faults(df: DataFrame, seed: int = 42, *, missing_rate: float = MISSIN
     blanked = df.withColumns({
         n: F.when(draw(n, "missing") >= missing_rate, F.col(n).cast("double")) for n in BLANKABLE if n in df.columns})
     present = [n for n in NOISY if n in df.columns]
-    medians = {n: median(blanked, n) for n in present}
+    medians = exact_quantiles(blanked, dict.fromkeys(present, 0.5))
     spiked = blanked.withColumns({
         n: F.when(draw(n, "outlier") < outlier_rate, F.lit(medians[n]) * (0.1 + 7.9 * draw(n, "size"))).otherwise(F.col(n))
         for n in present})

@@ -1,13 +1,14 @@
 """Exact quantiles of columns of any size.
 
-Each round narrows the bracket that holds the wanted rank by approximate percentiles and counts
-exactly what lies below it; only counts reach the driver. The last bracket is small enough for
-the exact percentile aggregate.
+All wanted ranks of all columns are narrowed together. Each round reads the input twice: once for approximate
+percentiles inside every open bracket, once for exact counts between them; only those reach the driver.
+A bracket of few values is settled by its sorted values, which are no more than SMALL_BRACKET.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -15,54 +16,101 @@ SMALL_BRACKET = 100_000
 _CUTS = [i / 200 for i in range(201)]
 
 
-def _value_at_rank(col: DataFrame, n: int, rank: int) -> float:
-    """The value with `rank` values before it in ascending order."""
-    below, inside, bracket = 0, n, col
-    while inside > SMALL_BRACKET:
-        cuts = bracket.agg(F.percentile_approx("v", _CUTS, 100_000).alias("c")).first().c
-        edges = sorted(set(cuts))
-        if len(edges) == 1 and bracket.agg(F.min("v") == F.max("v")).first()[0]:
-            return edges[0]
-        counts = bracket.agg(
-            *[F.count_if(F.col("v") < e).alias(f"l{i}") for i, e in enumerate(edges)],
-            *[F.count_if(F.col("v") <= e).alias(f"q{i}") for i, e in enumerate(edges)],
-        ).first()
-        low, start = None, 0
-        for i, e in enumerate(edges):
-            if below + counts[f"l{i}"] <= rank < below + counts[f"q{i}"]:
-                return e
-            if below + counts[f"q{i}"] <= rank:
-                low, start = e, counts[f"q{i}"]
-        high = next((e for i, e in enumerate(edges) if below + counts[f"l{i}"] > rank), None)
-        end = counts[f"l{edges.index(high)}"] if high is not None else inside
-        if low is not None:
-            bracket = bracket.filter(F.col("v") > low)
-        if high is not None:
-            bracket = bracket.filter(F.col("v") < high)
-        below, inside = below + start, end - start
-    # At most SMALL_BRACKET values are left.
-    values = bracket.agg(F.sort_array(F.collect_list("v")).alias("v")).first().v
-    return values[rank - below]
+@dataclass(frozen=True)
+class _Bracket:
+    """The values of a column strictly between low and high (None: open): `below` values lie under them."""
+
+    column: str
+    low: float | None
+    high: float | None
+    below: int
+    inside: int
+
+    def value(self):
+        v = F.col(self.column)
+        inside = v.isNotNull()
+        if self.low is not None:
+            inside &= v > self.low
+        if self.high is not None:
+            inside &= v < self.high
+        return F.when(inside, v)
+
+
+def _counts(data: DataFrame, edges: dict[_Bracket, list[float]]) -> dict[_Bracket, dict[tuple[int, int], int]]:
+    """For each bracket: (edges below a value, edges at or below it) -> how many values."""
+    brackets = list(edges)
+    cells = [
+        F.struct(F.lit(i).alias("bracket"), b.value().alias("v"), F.array(*[F.lit(e) for e in edges[b]]).alias("edges"))
+        for i, b in enumerate(brackets)]
+    long = data.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter("v IS NOT NULL")
+    under = F.size(F.filter("edges", lambda e: e < F.col("v")))
+    upto = F.size(F.filter("edges", lambda e: e <= F.col("v")))
+    out: dict[_Bracket, dict[tuple[int, int], int]] = {b: {} for b in brackets}
+    for r in long.groupBy("bracket", under.alias("under"), upto.alias("upto")).count().collect():
+        out[brackets[r["bracket"]]][r["under"], r["upto"]] = r["count"]
+    return out
+
+
+def _narrowed(bracket: _Bracket, edges: list[float], counts: dict[tuple[int, int], int], rank: int) -> float | _Bracket:
+    """The edge that has the rank, or the gap between two edges that holds it."""
+    below = bracket.below
+    for (under, upto), n in sorted(counts.items()):
+        if rank < below + n:
+            if upto > under:
+                return edges[under]
+            low = edges[under - 1] if under else bracket.low
+            high = edges[under] if under < len(edges) else bracket.high
+            return _Bracket(bracket.column, low, high, below, n)
+        below += n
+    raise AssertionError("a rank lies inside its bracket")
+
+
+def _at_ranks(data: DataFrame, sizes: dict[str, int], ranks: set[tuple[str, int]]) -> dict[tuple[str, int], float]:
+    """The value with `rank` values before it in ascending order, of every (column, rank)."""
+    found: dict[tuple[str, int], float] = {}
+    where = {(c, r): _Bracket(c, None, None, 0, sizes[c]) for c, r in ranks}
+    while where:
+        brackets = sorted(set(where.values()), key=repr)
+        small = [b.inside <= SMALL_BRACKET for b in brackets]
+        got = data.agg(*[
+            (F.sort_array(F.collect_list(b.value())) if s else F.percentile_approx(b.value(), _CUTS, 100_000)).alias(f"b{i}")
+            for i, (b, s) in enumerate(zip(brackets, small))]).first()
+        values = dict(zip(brackets, got))
+        edges = {b: sorted(set(values[b])) for b, s in zip(brackets, small) if not s}
+        counts = _counts(data, edges) if edges else {}
+        for key, b in list(where.items()):
+            step = _narrowed(b, edges[b], counts[b], key[1]) if b in edges else values[b][key[1] - b.below]
+            if isinstance(step, _Bracket):
+                where[key] = step
+            else:
+                found[key] = step
+                del where[key]
+    return found
+
+
+def exact_quantiles(df: DataFrame, wanted: dict[str, float]) -> dict[str, float | None]:
+    """The wanted quantile of each column, with linear interpolation between neighbouring values; nulls are
+    left out, a column without values has none."""
+    if not wanted:
+        return {}
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in wanted])
+    sizes = data.agg(*[F.count(c).alias(c) for c in wanted]).first().asDict()
+    places = {c: q * (sizes[c] - 1) for c, q in wanted.items() if sizes[c]}
+    at = _at_ranks(data, sizes, {(c, r) for c, p in places.items() for r in (math.floor(p), math.ceil(p))})
+    out: dict[str, float | None] = dict.fromkeys(wanted)
+    for c, p in places.items():
+        a, b = at[c, math.floor(p)], at[c, math.ceil(p)]
+        out[c] = a if p == math.floor(p) else a + (b - a) * (p - math.floor(p))
+    return out
 
 
 def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
-    """Quantile with linear interpolation between neighbouring values; nulls are left out."""
-    col = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
-    n = col.count()
-    if n == 0:
-        return None
-    position = q * (n - 1)
-    low = math.floor(position)
-    a = _value_at_rank(col, n, low)
-    if position == low:
-        return a
-    b = _value_at_rank(col, n, low + 1)
-    return a + (b - a) * (position - low)
+    return exact_quantiles(df, {column: q})[column]
 
 
 def fit_caps(df: DataFrame, columns: list[str], q: float = 0.99) -> dict[str, float]:
     """Upper caps of the given uncapped columns."""
-    return {c: exact_quantile(df, c, q) for c in columns}
+    return exact_quantiles(df, dict.fromkeys(columns, q))
 
 
 def median(df: DataFrame, column: str) -> float | None:

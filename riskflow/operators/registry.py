@@ -26,7 +26,7 @@ def model_in_force(
     """Adds `model_version`: the release each event was scored under; null before the first.
 
     A registry of at most `small_registry` rows (counted here) is joined by day without moving the
-    events; a larger one is merged with the events in time order and carried forward in chunks.
+    events; a larger one is merged with the events of each day in time order.
     """
     objects = model_objects(releases).select("object_name", "released_at")
     if objects.limit(small_registry + 1).count() <= small_registry:
@@ -53,18 +53,28 @@ def _by_release_days(events: DataFrame, objects: DataFrame, ts: str) -> DataFram
 
 
 def _by_time_sweep(events: DataFrame, objects: DataFrame, ts: str, event_id: str) -> DataFrame:
-    """Releases sort into the event stream ahead of events of the same instant; the latest one
-    before an event is the running maximum of (time, name)."""
+    """Releases sort into the events of their day ahead of those of the same instant; the latest one before an
+    event is the running maximum of (time, name). A day begins with the last release of the days before,
+    so days are groups of their own and no order spans the table."""
     columns = events.columns
-    # One group of all rows with a time; its key comes from the data, so joins on it stay equality joins.
-    marked = events.select(F.col(ts).isNull().alias("_all"), F.col(ts).alias("_at"), F.lit(1).alias("_kind"),
+    # The last release of each release day opens the days up to and with the next release day: one row a day.
+    latest = objects.filter("released_at IS NOT NULL").groupBy(F.to_date("released_at").alias("_from")).agg(
+        F.max(F.struct("released_at", "object_name")).alias("_last"))
+    next_day = F.lead("_from").over(Window.partitionBy(F.lit(0)).orderBy("_from"))
+    first, last = events.agg(F.min(F.to_date(ts)), F.max(F.to_date(ts))).first()
+    day_from = F.greatest(F.date_add("_from", 1), F.lit(first))
+    day_to = F.least(F.coalesce(next_day, F.lit(last)), F.lit(last))
+    opening = latest.withColumns({"_a": day_from, "_b": day_to}).filter("_a <= _b").select(
+        F.explode(F.sequence("_a", "_b")).alias("_day"), "_last.released_at", "_last.object_name")
+    opening = opening.select("_day", F.col("_day").cast("timestamp_ntz").alias("_at"), F.lit(-1).alias("_kind"),
+                             F.col("object_name").alias("_id"), F.struct(F.col("released_at").alias("_at"), F.col("object_name").alias("_id")).alias("_release"))
+    marked = events.select(F.to_date(ts).alias("_day"), F.col(ts).cast("timestamp_ntz").alias("_at"), F.lit(1).alias("_kind"),
                            F.col(event_id).alias("_id"), F.struct(*columns).alias("_event"))
-    stream = marked.unionByName(
-        objects.select(F.col("released_at").isNull().alias("_all"), F.col("released_at").alias("_at"), F.lit(0).alias("_kind"),
-                       F.col("object_name").alias("_id")),
-        allowMissingColumns=True)
-    release = F.when(F.col("_kind") == 0, F.struct("_at", "_id"))
-    out = running(stream, ["_all"], ["_at", "_kind", "_id"], {"_r": Agg("max", release)})
+    own = objects.filter("released_at IS NOT NULL").select(
+        F.to_date("released_at").alias("_day"), F.col("released_at").cast("timestamp_ntz").alias("_at"), F.lit(0).alias("_kind"),
+        F.col("object_name").alias("_id"), F.struct(F.col("released_at").alias("_at"), F.col("object_name").alias("_id")).alias("_release"))
+    stream = marked.unionByName(own.unionByName(opening), allowMissingColumns=True)
+    out = running(stream, ["_day"], ["_at", "_kind", "_id"], {"_r": Agg("max", F.col("_release"))})
     return out.filter("_kind = 1").select("_event.*", F.col("_r._id").alias("model_version"))
 
 

@@ -68,6 +68,16 @@ def test_exact_quantile(spark, monkeypatch, q, small):
     assert quantiles.exact_quantile(df, "x", q) == pytest.approx(np.quantile(values, q), rel=1e-12)
 
 
+def test_quantiles_of_several_columns_at_once(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SMALL_BRACKET", 50)
+    df = spark.range(5000).selectExpr("double((id * 7919) % 1009) / 3 AS a", "if(id % 5 = 0, null, double(id % 4)) AS b", "-double(id) AS c", "double(null) AS d")
+    frame = df.toPandas()
+    got = quantiles.exact_quantiles(df, {"a": 0.3, "b": 0.5, "c": 0.99, "d": 0.5})
+    assert got.pop("d") is None
+    for c, q in {"a": 0.3, "b": 0.5, "c": 0.99}.items():
+        assert got[c] == pytest.approx(float(frame[c].quantile(q)), rel=1e-12)
+
+
 def test_quantile_of_one_repeated_value(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "SMALL_BRACKET", 10)
     assert quantiles.exact_quantile(spark.range(500).select(F.lit(4.0).alias("x")), "x", 0.9) == 4.0

@@ -56,25 +56,46 @@ class ScoringStream:
     mark_safe: Column | None = None
     now: Column | None = None
     lateness_seconds: int = LATENESS_SECONDS
+    #: A transaction of an unknown device is a dead letter; if false it is scored as untrusted.
+    refuse_unknown_devices: bool = True
+
+    # ---- rows at hand ----
+    def _horizon(self, progress: Progress) -> int | None:
+        """First second that a row which isn't late can look back to."""
+        return None if progress.high_water is None else progress.high_water - self.lateness_seconds - S.ONE_HOUR
+
+    def recent(self, progress: Progress) -> DataFrame:
+        """Rows of earlier batches that new rows can look back to. Older rows of the same batches are not read again."""
+        rows, horizon = self.store.batches("transactions", [b for b, _ in progress.recent], _RECENT), self._horizon(progress)
+        return rows if horizon is None else rows.filter(F.col("sec") >= horizon)
 
     # ---- totals that reach back to the start ----
-    def _totals(self, name: str, schema: T.StructType, progress: Progress, upto: int, key: str) -> DataFrame:
+    def _totals(self, name: str, schema: T.StructType, progress: Progress, upto: int, key: str, keys: DataFrame | None = None) -> DataFrame:
         """Totals per key over the batches before `upto`: the last full table plus later deltas.
 
-        A batch still in the recent list adds no last second: its rows are at hand themselves, and
-        some may lie after the row that looks back.
+        With `keys` only their totals are added up: the rest leaves before any shuffle. A batch still in
+        the recent list gives its last second by its rows before the horizon: the later ones are at hand
+        themselves, and some may lie after the row that looks back.
         """
         first = 0 if progress.full_totals is None else progress.full_totals + 1
-        at_hand = {b for b, _ in progress.recent}
-        settled = self.store.batches(f"{name}_delta", [b for b in range(first, upto) if b not in at_hand], schema)
+        recent = {b for b, _ in progress.recent}
+        at_hand = [b for b in range(first, upto) if b in recent]
+        totals = self.store.batches(f"{name}_delta", [b for b in range(first, upto) if b not in recent], schema)
         if progress.full_totals is not None:
-            settled = settled.unionByName(self.store.batches(f"{name}_full", [progress.full_totals], schema))
-        moving = self.store.batches(f"{name}_delta", [b for b in range(first, upto) if b in at_hand], schema)
+            totals = totals.unionByName(self.store.batches(f"{name}_full", [progress.full_totals], schema))
+        moving = self.store.batches(f"{name}_delta", at_hand, schema)
         if "last_sec" in schema.names:
             moving = moving.withColumn("last_sec", F.lit(None).cast("long"))
+            older = self.store.batches("transactions", at_hand, _RECENT).filter(F.col("sec") < self._horizon(progress)) if at_hand else None
+            if older is not None:
+                zeros = [F.lit(0).cast(schema[c].dataType).alias(c) for c in schema.names if c not in (key, "last_sec")]
+                totals = totals.unionByName(older.select(key, *zeros, F.col("sec").alias("last_sec")))
+        totals = totals.unionByName(moving)
+        if keys is not None:
+            totals = totals.join(keys.select(key), key, "left_semi")
         aggs = [F.max(c).alias(c) if c == "last_sec" else F.sum(c).cast(schema[c].dataType).alias(c)
                 for c in schema.names if c != key]
-        return settled.unionByName(moving).groupBy(key).agg(*aggs)
+        return totals.groupBy(key).agg(*aggs)
 
     # ---- one batch ----
     def accept(self, messages: DataFrame, batch: int, progress: Progress) -> tuple[DataFrame, DataFrame]:
@@ -92,8 +113,7 @@ class ScoringStream:
 
         d = self.dims
         valid = validate.deduplicate(intake.filter("reason IS NULL").select(*columns))
-        # An unknown device only lowers trust; unknown users, merchants and cards are refused.
-        checked = validate.check_references(valid, d.users, d.merchants, d.cards, None)
+        checked = validate.check_references(valid, d.users, d.merchants, d.cards, d.devices if self.refuse_unknown_devices else None)
         limit = None if progress.high_water is None else progress.high_water - self.lateness_seconds
         checked = store.write(
             checked.withColumn("sec", epoch_seconds(F.col("creation_date_time")))
@@ -108,15 +128,16 @@ class ScoringStream:
 
         known = checked.filter("missing_reference IS NULL")
         store.write(known.filter("is_late").select(*_RECENT.names), "late", batch)
-        recent = store.batches("transactions", [b for b, _ in progress.recent], _RECENT)
+        # A repeated row that lies before the rows at hand is late.
+        recent = self.recent(progress)
         fresh = known.filter("NOT is_late").join(recent.select("transaction_id"), "transaction_id", "left_anti")
-        return store.write(fresh.select(*_RECENT.names), "transactions", batch), recent
+        return store.write(fresh.select(*_RECENT.names).sortWithinPartitions("sec"), "transactions", batch), recent
 
     def features(self, fresh: DataFrame, recent: DataFrame, batch: int, progress: Progress) -> DataFrame:
         velocity = velocity_features(recent.unionByName(fresh), ttl_seconds=self.ttl_seconds).join(
             fresh.select("transaction_id"), "transaction_id", "left_semi")
-        users = self._totals("user_totals", _USER_TOTALS, progress, batch, "user_id")
-        addresses = self._totals("ip_totals", _IP_TOTALS, progress, batch, "ip_address")
+        users = self._totals("user_totals", _USER_TOTALS, progress, batch, "user_id", fresh)
+        addresses = self._totals("ip_totals", _IP_TOTALS, progress, batch, "ip_address", fresh)
         in_batch = running(
             fresh.select("transaction_id", "user_id", "sec", "amount"), ["user_id"], ["sec", "transaction_id"],
             {"_before": Agg("sum", F.lit(1)), "_amount_before": Agg("sum", F.col("amount"))}
@@ -231,13 +252,14 @@ def velocity_stream(
     def run(df: DataFrame, batch: int) -> None:
         progress = store.progress_before(batch)
         rows = validate.deduplicate(df.select(*S.TRANSACTION_SCHEMA.names)).withColumn("sec", epoch_seconds(F.col("creation_date_time")))
-        recent = store.batches("transactions", [b for b, _ in progress.recent], _RECENT)
-        fresh = store.write(rows.join(recent.select("transaction_id"), "transaction_id", "left_anti").select(*_RECENT.names), "transactions", batch)
         settings = ScoringStream(store, None, None, ttl_seconds)
+        recent = settings.recent(progress)
+        fresh = store.write(
+            rows.join(recent.select("transaction_id"), "transaction_id", "left_anti").select(*_RECENT.names).sortWithinPartitions("sec"), "transactions", batch)
         out = velocity_features(recent.unionByName(fresh), ttl_seconds=ttl_seconds).join(
             fresh.select("transaction_id", "user_id", "sec"), "transaction_id")
         if ttl_seconds is None:
-            seen = settings._totals("user_totals", _USER_TOTALS, progress, batch, "user_id").select("user_id", "last_sec")
+            seen = settings._totals("user_totals", _USER_TOTALS, progress, batch, "user_id", fresh).select("user_id", "last_sec")
             since = F.col("seconds_since_last_transaction")
             out = out.join(seen, "user_id", "left").withColumn(
                 "seconds_since_last_transaction",

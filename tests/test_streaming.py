@@ -79,6 +79,34 @@ def test_late_rows_are_kept_aside(settings):
     assert sorted(r.transaction_id for r in settings.store.committed("scored").collect()) == ["t1", "t2"]
 
 
+def test_unknown_devices_are_refused_or_untrusted(settings):
+    run(settings, 0, message(1, deviceId="d9"), message(2, deviceId="d1", at=5))
+    assert [r.reason for r in settings.store.committed("dead_letters").collect()] == ["Device not found"]
+    assert [r.transaction_id for r in settings.store.committed("scored").collect()] == ["t2"]
+    settings.refuse_unknown_devices = False
+    run(settings, 1, message(3, deviceId="d9", at=10))
+    got = {r.transaction_id: r.is_device_trusted for r in settings.store.committed("scored").collect()}
+    assert got == {"t2": True, "t3": False}
+
+
+def test_old_rows_of_a_long_batch_count_through_totals(settings):
+    run(settings, 0, message(1, at=0), message(2, "u2", at=0), message(3, at=90_000))
+    progress = settings.store.progress_before(1)
+    assert [r.transaction_id for r in settings.recent(progress).collect()] == ["t3"]
+    run(settings, 1, message(4, "u2", at=90_010), message(5, at=90_020))
+    got = {r.transaction_id: r for r in settings.store.committed("scored").collect()}
+    assert (got["t4"].seconds_since_last_transaction, got["t4"].user_historical_transaction_count) == (90_010, 1)
+    assert (got["t5"].seconds_since_last_transaction, got["t5"].user_historical_transaction_count) == (20, 2)
+
+
+def test_totals_are_cut_to_the_keys_of_the_batch(settings):
+    run(settings, 0, message(1), message(2, "u2"))
+    keys = settings.store.spark.createDataFrame([("u2",)], "user_id string")
+    progress = settings.store.progress_before(1)
+    got = settings._totals("user_totals", scoring._USER_TOTALS, progress, 1, "user_id", keys).collect()
+    assert [(r.user_id, r.n) for r in got] == [("u2", 1)]
+
+
 def test_totals_fold_without_changing_results(settings, monkeypatch):
     monkeypatch.setattr(scoring, "COMPACT_EVERY", 2)
     times = [0, 5000, 10_000, 15_000, 14_500, 20_000]

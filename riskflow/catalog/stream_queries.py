@@ -173,7 +173,8 @@ def _scoring(spark, sf) -> BatchStore:
 
     def build(path):
         b = _bundle(spark, sf)
-        settings = ScoringStream(BatchStore(spark, path), dimensions(spark, sf), lambda: b, now=_now())
+        # The derived transactions name unknown devices on purpose; here they are scored as untrusted, so that every row is compared.
+        settings = ScoringStream(BatchStore(spark, path), dimensions(spark, sf), lambda: b, now=_now(), refuse_unknown_devices=False)
         rows = transactions(spark, sf).select("creation_date_time", messages.created_value().alias("value"))
         _replay(rows, path + "-in", lambda w, p: w.parquet(p), lambda: start_scoring(
             spark.readStream.schema(rows.schema).parquet(path + "-in"), settings, path + "-state", once=True))

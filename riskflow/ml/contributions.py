@@ -16,33 +16,41 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskflow.ml.training import Bundle, model_inputs
 from riskflow.operators.explain import as_contributions, top_contributions
+from riskflow.session import shared_dir
 
 
-def tree_leaves(bundle: Bundle) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
+def tree_leaves(bundle: Bundle, spark: SparkSession) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
     """(scaled leaf value, [(feature, low, high, weight share)]) for every leaf of every tree.
 
-    A model's own size, not the data's: trees x leaves.
+    A model's own size, not the data's: trees x leaves. The nodes are read from the saved trees, once a bundle.
     """
+    if bundle.leaves is not None:
+        return bundle.leaves
     ensemble = bundle.model.stages[-1]
+    path = shared_dir(spark, "trees")
+    ensemble.write().save(path)
+    node = F.col("nodeData")
+    saved = spark.read.parquet(f"{path}/data").select(
+        "treeID", node["id"].alias("id"), node["prediction"].alias("prediction"), node["impurityStats"][0].alias("weight"),
+        node["leftChild"].alias("left"), node["rightChild"].alias("right"), node["split"]["featureIndex"].alias("feature"),
+        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold")).toArrow()
+    nodes = {(t, i): rest for t, i, *rest in zip(*(c.to_pylist() for c in saved.columns))}
     leaves = []
 
-    def walk(node, scale, bounds):
+    def walk(tree, at, scale, bounds):
+        value, whole, left, right, f, t = nodes[tree, at]
         # A node without a left child is a leaf.
-        if node.subtreeDepth() == 0:
-            leaves.append((scale * node.prediction(), [(f, lo, hi, z) for f, (lo, hi, z) in bounds.items()]))
+        if left < 0:
+            leaves.append((scale * value, [(f, lo, hi, z) for f, (lo, hi, z) in bounds.items()]))
             return
-        split = node.split()
-        f, t = split.featureIndex(), split.threshold()
-        whole = node.impurityStats().count()
-        for child, side in ((node.leftChild(), "left"), (node.rightChild(), "right")):
-            lo, hi, z = bounds.get(f, (-np.inf, np.inf, 1.0))
-            share = z * child.impurityStats().count() / whole
-            narrowed = (lo, min(hi, t), share) if side == "left" else (max(lo, t), hi, share)
-            walk(child, scale, {**bounds, f: narrowed})
-
-    for tree, weight in zip(ensemble.trees, ensemble.treeWeights):
+        lo, hi, z = bounds.get(f, (-np.inf, np.inf, 1.0))
+        walk(tree, left, scale, {**bounds, f: (lo, min(hi, t), z * nodes[tree, left][1] / whole)})
+        walk(tree, right, scale, {**bounds, f: (max(lo, t), hi, z * nodes[tree, right][1] / whole)})
+
+    for tree, weight in enumerate(ensemble.treeWeights):
         # The probability is the logistic of twice the margin: contributions are in log odds.
-        walk(tree._java_obj.rootNode(), 2.0 * weight, {})
+        walk(tree, 0, 2.0 * weight, {})
+    bundle.leaves = leaves
     return leaves
 
 
@@ -75,7 +83,7 @@ def shapley_values(x: np.ndarray, leaves) -> np.ndarray:
 def contributions(df: DataFrame, bundle: Bundle, id_column: str = "transaction_id") -> DataFrame:
     """id, phi (one value per model feature) and the base value, in log odds of the raw model."""
     spark: SparkSession = df.sparkSession
-    leaves = spark.sparkContext.broadcast(tree_leaves(bundle))
+    leaves = spark.sparkContext.broadcast(tree_leaves(bundle, spark))
     names = [f"x_{n}" for n in bundle.feature_names]
 
     def explain(batches):
@@ -93,7 +101,7 @@ def explain(df: DataFrame, bundle: Bundle, k: int = 5) -> DataFrame:
     The rows pass through the Python stage with their columns, so no join is needed after it.
     """
     spark: SparkSession = df.sparkSession
-    leaves = spark.sparkContext.broadcast(tree_leaves(bundle))
+    leaves = spark.sparkContext.broadcast(tree_leaves(bundle, spark))
     names = [f"x_{n}" for n in bundle.feature_names]
     inputs = model_inputs(df, bundle.feature_names, bundle.feature_caps)
     packed = inputs.select(F.struct(*df.columns).alias("row"), F.array(*names).alias("x"))

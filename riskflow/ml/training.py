@@ -9,9 +9,11 @@ from __future__ import annotations
 import math
 import random
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -23,6 +25,7 @@ from riskflow.operators import evaluate
 from riskflow.operators.quantiles import fit_caps
 from riskflow.operators.validate import check_contract
 from riskflow.plans.feature_vector import engineer_features
+from riskflow.session import shared_dir
 
 # --- fixed values: search ranges (low, high, log scale) and defaults ---------------------------
 SEARCH_RANGES = {
@@ -33,7 +36,9 @@ SEARCH_RANGES = {
     "colsample": (0.4, 1.0, False),
 }
 DEFAULT_PARAMS = {"max_depth": 10, "learning_rate": 0.1607, "min_child_samples": 135, "subsample": 0.556, "colsample": 0.535}
-SEARCH_ROUNDS = 100
+SEARCH_ROUNDS, SEARCH_PATIENCE = 100, 50
+#: Trials that are fitted at the same time.
+SEARCH_THREADS = 8
 WHOLE = ("max_depth", "min_child_samples")
 
 
@@ -77,13 +82,56 @@ def trial_params(n_trials: int, seed: int = 42) -> list[dict[str, float]]:
 
 def classifier(params: dict[str, float], rounds: int, seed: int = 42) -> GBTClassifier:
     return GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight", validationIndicatorCol="is_validation",
+        featuresCol="features", labelCol="label", weightCol="weight",
         maxIter=rounds, maxDepth=int(params["max_depth"]), stepSize=float(params["learning_rate"]),
         minInstancesPerNode=int(params["min_child_samples"]), subsamplingRate=float(params["subsample"]),
         featureSubsetStrategy=str(float(params["colsample"])), seed=seed, maxMemoryInMB=512,
     )
 
 
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """(trees up to the smallest loss, whether `patience` rounds in a row then brought no smaller one); without
+    losses, as of no validation rows, all trees."""
+    best = 0
+    for m, loss in enumerate(losses):
+        if not math.isfinite(loss):
+            return len(losses), False
+        if loss < losses[best]:
+            best = m
+        elif m - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first n rounds."""
+    java = model._java_obj
+    if n == java.getNumTrees():
+        return model
+    jvm = SparkContext._active_spark_context._jvm
+    trees = model._new_java_array(list(java.trees()[:n]), jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel)
+    weights = model._new_java_array([float(w) for w in model.treeWeights[:n]], jvm.double)
+    kept = jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights, model.numFeatures, 2)
+    return GBTClassificationModel(java.copyValues(kept, java.extractParamMap()))
+
+
+def boosted(fitting: DataFrame, params: dict[str, float], rounds: int, patience: int, seed: int = 42) -> GBTClassificationModel:
+    """Boosted trees of at most `rounds` rounds, ended once `patience` rounds in a row bring no smaller loss on
+    the validation rows, and kept up to the round of the smallest.
+
+    MLlib itself ends at the first round that gains under a tolerance. So rounds are grown without it and judged
+    afterwards; where they don't decide, twice as many are grown. The same seed grows the same first trees.
+    """
+    learning, judging = fitting.filter("NOT is_validation"), fitting.filter("is_validation")
+    n = min(rounds, patience + patience // 2 + 1)
+    while True:
+        model = classifier(params, n, seed).fit(learning)
+        best, ended = best_round(list(model.evaluateEachIteration(judging)), patience)
+        if ended or n == rounds:
+            return first_trees(model, best)
+        n = min(rounds, 2 * n)
+
+
 def positive_probability(column: str = "probability") -> Column:
     return vector_to_array(column)[1]
 
@@ -100,6 +148,8 @@ class Bundle:
     feature_caps: dict[str, float] = field(default_factory=dict)
     metrics: dict = field(default_factory=dict)
     params: dict = field(default_factory=dict)
+    #: Leaves of the trees, once an explanation has read them.
+    leaves: list | None = field(default=None, repr=False)
 
 
 def raw_scores(df: DataFrame, model: PipelineModel, names: list[str], caps: dict[str, float]) -> DataFrame:
@@ -135,9 +185,15 @@ def score(df: DataFrame, bundle: Bundle) -> DataFrame:
 
 def train(
     data: DataFrame, version: str, *, n_estimators: int = 5000, max_depth: int = 10, learning_rate: float = 0.1607,
-    beta: float = 2.0, n_trials: int = 50, skip_tuning: bool = False, seed: int = 42, label: str = "is_fraud",
+    early_stopping_rounds: int = 100, beta: float = 2.0, n_trials: int = 50, search_rounds: int = SEARCH_ROUNDS,
+    skip_tuning: bool = False, seed: int = 42, label: str = "is_fraud",
 ) -> Bundle:
-    """Fits, calibrates, thresholds and reports a model on training rows (base features + label)."""
+    """Fits, calibrates, thresholds and reports a model on training rows (base features + label).
+
+    The model takes at most n_estimators rounds and ends after early_stopping_rounds rounds without gain on the
+    validation part. The search fits n_trials points of at most search_rounds rounds each, ended after SEARCH_PATIENCE
+    ones without gain; n_estimators has no bearing on it.
+    """
     check_contract(data, [*S.BASE_FEATURES, label])
     rows = encoded(data)
     uncapped = engineer_features(rows)
@@ -148,19 +204,28 @@ def train(
         ready.filter(F.col("part").isin("train", "validation")), names, caps)).select(
         "transaction_id", F.col(label).cast("double").alias("label"), F.col(label), "weight", "features",
         (F.col("part") == "validation").alias("is_validation"))
+    # Every round reads the fitting rows; written, they are computed once and lie in the same partitions each time.
+    path = shared_dir(data.sparkSession, "fitting")
+    fitting.write.parquet(path)
+    fitting = data.sparkSession.read.parquet(path)
 
     params = {**DEFAULT_PARAMS, "max_depth": max_depth, "learning_rate": learning_rate}
     if not skip_tuning:
         held_out = fitting.filter("is_validation")
-        best = -1.0
-        for candidate in trial_params(n_trials, seed):
-            model = classifier(candidate, min(SEARCH_ROUNDS, n_estimators), seed).fit(fitting)
+
+        @inheritable_thread_target(data.sparkSession)
+        def trial(candidate: dict[str, float]) -> float:
+            model = boosted(fitting, candidate, search_rounds, SEARCH_PATIENCE, seed)
             scored = model.transform(held_out).withColumn("_p", positive_probability())
-            value = evaluate.average_precision(scored, "_p", label).first().average_precision or 0.0
-            if value > best:
-                best, params = value, candidate
+            return evaluate.average_precision(scored, "_p", label).first().average_precision or 0.0
+
+        candidates = trial_params(n_trials, seed)
+        with ThreadPool(SEARCH_THREADS) as pool:
+            values = pool.map(trial, candidates, chunksize=1)
+        if candidates:
+            params = candidates[max(range(n_trials), key=values.__getitem__)]  # the first of equal ones
 
-    trees = classifier(params, n_estimators, seed).fit(fitting)
+    trees = boosted(fitting, params, n_estimators, early_stopping_rounds, seed)
     model = PipelineModel([assembler(names, "x_"), trees])
     calibration = raw_scores(ready.filter("part = 'calibration'"), model, names, caps)
     calibrator = fit_calibrator(calibration, label)

@@ -32,6 +32,37 @@ def test_learns_and_reports(bundle):
     assert set(bundle.feature_caps) == set(S.CAPPED_FEATURES)
 
 
+def test_rounds_end_after_patience_at_the_best():
+    assert training.best_round([5, 4, 4.5, 3.9, 4, 4, 4, 1], 3) == (4, True)
+    assert training.best_round([5, 4, 4.5, 3.9, 4], 3) == (4, False) and training.best_round([5, 6, 7], 2) == (1, True)
+    assert training.best_round([float("nan")] * 3, 1) == (3, False)
+
+
+def test_training_goes_on_after_a_round_without_gain(data, monkeypatch):
+    asked, fits = [], training.boosted
+    monkeypatch.setattr(training, "boosted", lambda f, p, rounds, patience, seed: asked.append((rounds, patience)) or fits(f, p, rounds, patience, seed))
+    params = dict(training.DEFAULT_PARAMS, max_depth=3, min_child_samples=20)
+    monkeypatch.setattr(training, "trial_params", lambda n, seed: [params] * n)
+    trained = training.train(data, "2", n_estimators=24, early_stopping_rounds=4, n_trials=1, search_rounds=5)
+    assert asked == [(5, 50), (24, 4)]
+    trees = trained.model.stages[-1]
+    # A tolerance of 1 % would end after a few rounds.
+    assert 8 < trees.getNumTrees <= 24 and trained.params["n_estimators"] == 24
+
+
+def test_first_trees_and_their_leaves_add_up_to_the_raw_score(spark, data, bundle):
+    from riskflow.plans.feature_vector import engineer_features
+
+    short = training.first_trees(bundle.model.stages[-1], 2)
+    assert short.getNumTrees == 2 and short.treeWeights == bundle.model.stages[-1].treeWeights[:2]
+    cut = training.Bundle("c", training.PipelineModel([bundle.model.stages[0], short]), None, 0.5, bundle.feature_names, bundle.feature_caps)
+    rows = engineer_features(training.encoded(data)).limit(50)
+    got = contributions.contributions(rows, cut).join(training.raw_scores(rows, cut.model, cut.feature_names, cut.feature_caps), "transaction_id").collect()
+    for r in got:
+        assert sum(r.phi) + r.base == pytest.approx(np.log(r.raw_probability / (1 - r.raw_probability)))
+    assert contributions.tree_leaves(cut, spark) is cut.leaves
+
+
 def test_missing_base_feature_is_named(data):
     with pytest.raises(ValueError, match="ip_risk_score"):
         training.train(data.drop("ip_risk_score"), "x")

@@ -246,16 +246,23 @@ def velocity_stream(
     """Velocity features of a transaction stream, batch by batch, into the store's `velocity`.
 
     Rows within an hour (plus the allowed lateness) of the newest are kept at hand; a user's last
-    second before that comes from the running totals.
+    second before that comes from the running totals. Rows later than the allowed lateness go to the
+    store's `late`, as in the scoring stream.
     """
 
     def run(df: DataFrame, batch: int) -> None:
         progress = store.progress_before(batch)
         rows = validate.deduplicate(df.select(*S.TRANSACTION_SCHEMA.names)).withColumn("sec", epoch_seconds(F.col("creation_date_time")))
         settings = ScoringStream(store, None, None, ttl_seconds)
+        limit = None if progress.high_water is None else progress.high_water - settings.lateness_seconds
+        late = F.lit(False) if limit is None else F.coalesce(F.col("sec") < limit, F.lit(False))
+        rows = store.write(rows.withColumn("is_late", late).select(*_RECENT.names, "is_late"), "checked", batch)
+        store.write(rows.filter("is_late").select(*_RECENT.names), "late", batch)
+        # A repeated row that lies before the rows at hand is late.
         recent = settings.recent(progress)
         fresh = store.write(
-            rows.join(recent.select("transaction_id"), "transaction_id", "left_anti").select(*_RECENT.names).sortWithinPartitions("sec"), "transactions", batch)
+            rows.filter("NOT is_late").join(recent.select("transaction_id"), "transaction_id", "left_anti").select(*_RECENT.names)
+            .sortWithinPartitions("sec"), "transactions", batch)
         out = velocity_features(recent.unionByName(fresh), ttl_seconds=ttl_seconds).join(
             fresh.select("transaction_id", "user_id", "sec"), "transaction_id")
         if ttl_seconds is None:

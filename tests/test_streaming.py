@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,26 @@ def test_late_rows_are_kept_aside(settings):
     assert sorted(r.transaction_id for r in settings.store.committed("scored").collect()) == ["t1", "t2"]
 
 
+def test_velocity_stream_keeps_late_rows_and_late_repeats_aside(spark, tmp_path):
+    store, files = BatchStore(spark, str(tmp_path / "v")), str(tmp_path / "in")
+
+    def deliver(*rows):
+        values = [(f"t{i}", "u1", "c1", "m1", None, Decimal(10), "US", None, T0 + timedelta(seconds=at)) for i, at in rows]
+        names = ["transaction_id", "user_id", "card_id", "merchant_id", "device_id", "amount", "country_code", "ip_address", "creation_date_time"]
+        by_name = [tuple(dict(zip(names, v))[c] for c in S.TRANSACTION_SCHEMA.names) for v in values]
+        spark.createDataFrame(by_name, S.TRANSACTION_SCHEMA).coalesce(1).write.mode("append").parquet(files)
+        scoring.velocity_stream(spark.readStream.schema(S.TRANSACTION_SCHEMA).parquet(files), store, str(tmp_path / "state")).awaitTermination()
+
+    deliver((1, 0), (2, 1000), (3, 90_000))
+    deliver((1, 0), (4, 1100), (5, 89_400), (3, 90_000), (6, 90_010))
+    assert sorted(r.transaction_id for r in store.committed("velocity").collect()) == ["t1", "t2", "t3", "t5", "t6"]
+    assert sorted(r.transaction_id for r in store.committed("late").collect()) == ["t1", "t4"]
+    totals = [r.n for r in store.committed("user_totals_delta").orderBy("batch").collect()]
+    assert totals == [3, 2]
+    got = {r.transaction_id: r.user_transaction_count_1hour for r in store.committed("velocity").collect()}
+    assert got["t5"] == 0 and got["t6"] == 2
+
+
 def test_unknown_devices_are_refused_or_untrusted(settings):
     run(settings, 0, message(1, deviceId="d9"), message(2, deviceId="d1", at=5))
     assert [r.reason for r in settings.store.committed("dead_letters").collect()] == ["Device not found"]

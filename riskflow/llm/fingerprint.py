@@ -5,6 +5,9 @@ texts usually have; windows of next to no variety are no features. Among each 64
 the rarest (leftmost of equals) gets a vote, and windows with 16 votes are inserted into Bloom filters
 of 2,048 bits, 5 bits a feature, a new filter after 160 features. Two digests are alike by the bits their filters
 share, less those that chance lets them share, over the most they could share.
+
+Short texts have further chains of every shorter window. Two texts are compared by the finest chains that both
+have, so their windows are always of one width and hash.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from riskflow.llm.common import MOST_RANGES, cut_points, mix, range_of
 WIDTH = 16
 RUN = 64
 VOTES = 16
-#: Texts under SHORT bytes have too few windows to pick from: every window of 8 bytes is a feature, of 4 under TINY bytes.
+#: Texts under SHORT bytes have few windows to pick from: in a second chain every window of 8 bytes is a feature, under
+#: TINY bytes in a third one every window of 4.
 SHORT, TINY = 256, 32
 USUAL_ENTROPY, LEAST_ENTROPY = 820, 300  # of 1,000
 BITS, HASHES, PER_FILTER = 2048, 5, 160
@@ -61,19 +65,20 @@ def entropies(flat: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(texts: list[bytes]) -> list[np.ndarray]:
-    """Hashes of the picked windows of every text, in order, each once."""
+def features(texts: list[bytes]) -> list[list[np.ndarray]]:
+    """For every text the hashes of its windows, in order, each once: a list of them a chain, from the picked windows
+    of WIDTH bytes to the finest. A text without bytes has no chain."""
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths + _GAP)[:-1]])
     flat = np.frombuffer(b"".join([t + bytes(_GAP) for t in texts]), np.uint8)
-    long_ones = np.flatnonzero(lengths >= SHORT)
+    long_ones = np.flatnonzero(lengths >= WIDTH)
     count = np.zeros(len(texts), np.int64)
     count[long_ones] = lengths[long_ones] - WIDTH + 1
     inside = np.zeros(len(flat) + 1, np.int32)
     np.add.at(inside, starts[long_ones], 1)
     np.add.at(inside, starts[long_ones] + count[long_ones], -1)
     inside = np.cumsum(inside[:-1]) > 0
-    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] if n else [] for n in lengths]
     if len(long_ones):
         entropy = entropies(flat)
         rank = 1000 - np.abs(entropy - USUAL_ENTROPY)
@@ -96,11 +101,12 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
         hashes = mix(words[:, 0] ^ mix(words[:, 1] + np.uint64(0x9E3779B97F4A7C15)))
         cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
         for i in long_ones:
-            out[i] = _each_once(hashes[cuts[i]:cuts[i + 1]])
+            out[i] = [_each_once(hashes[cuts[i]:cuts[i + 1]])]
     for i in np.flatnonzero((lengths < SHORT) & (lengths > 0)):
-        own, w = texts[i], min(8 if lengths[i] >= TINY else 4, int(lengths[i]))
-        values = [int.from_bytes(own[p:p + w], "little") ^ (w << 56) for p in range(len(own) - w + 1)]
-        out[i] = _each_once(mix(np.array(values, np.uint64)))
+        own = texts[i]
+        for w in (8,) if lengths[i] >= TINY else (8, min(4, len(own))):
+            values = [int.from_bytes(own[p:p + w], "little") ^ (w << 56) for p in range(len(own) - w + 1)]
+            out[i].append(_each_once(mix(np.array(values, np.uint64))))
     return out
 
 
@@ -108,8 +114,12 @@ def _each_once(x: np.ndarray) -> np.ndarray:
     return x[np.sort(np.unique(x, return_index=True)[1])]
 
 
-def digest(hashes: np.ndarray) -> np.ndarray:
-    """The chained filters [filters, bytes] of a text's features; none for a text without features."""
+def digest(chains: list[np.ndarray]) -> list[np.ndarray]:
+    """The chained filters [filters, bytes] of each chain of a text's features."""
+    return [_filters(hashes) for hashes in chains]
+
+
+def _filters(hashes: np.ndarray) -> np.ndarray:
     n = -(-len(hashes) // PER_FILTER)
     bits = np.zeros((n, BITS), np.uint8)
     which = np.arange(len(hashes)) // PER_FILTER
@@ -118,11 +128,16 @@ def digest(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """0 to 1: each filter of the shorter chain against its best match in the other, weighed by its bits.
+def likeness(one: list[np.ndarray], two: list[np.ndarray]) -> float:
+    """0 to 1: each filter of the shorter chain against its best match in the other, weighed by its bits, in the
+    finest chains that both digests have.
 
     Two digests without features are alike (1), one without and one with are not (0).
     """
+    if not one or not two:
+        return float(len(one) == len(two))
+    finest = min(len(one), len(two)) - 1
+    a, b = one[finest], two[finest]
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     if len(a) > len(b):
@@ -141,13 +156,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return total / own.sum()
 
 
-def text_form(filters: np.ndarray) -> str:
-    return f"{len(filters)}:" + base64.b64encode(filters.tobytes()).decode()
+def text_form(chains: list[np.ndarray]) -> str:
+    """`filters:base64` of each chain, with `;` between them; `0:` for a text without bytes."""
+    return ";".join(f"{len(filters)}:" + base64.b64encode(filters.tobytes()).decode() for filters in chains) or "0:"
 
 
-def from_text(form: str) -> np.ndarray:
-    n, _, data = form.partition(":")
-    return np.frombuffer(base64.b64decode(data), np.uint8).reshape(int(n), BITS // 8)
+def from_text(form: str) -> list[np.ndarray]:
+    parts = [chain.partition(":") for chain in form.split(";")] if form != "0:" else []
+    return [np.frombuffer(base64.b64decode(data), np.uint8).reshape(int(n), BITS // 8) for n, _, data in parts]
 
 
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -117,6 +117,23 @@ def test_entropy_is_that_of_the_byte_counts():
         assert abs(e - 1000 * -(p * np.log2(p)).sum() / 4) <= 1
 
 
+def test_copies_on_two_sides_of_a_length_border_are_alike():
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b"etaoinshrdlu cmfwyp ", np.uint8)
+    for shorter, longer, least in ((250, 262, 0.6), (30, 34, 0.9), (255, 257, 0.7), (31, 32, 0.9), (200, 300, 0.5)):
+        near, far = [], []
+        for _ in range(30):
+            text, other = (rng.choice(letters, longer).tobytes() for _ in range(2))
+            copy, plain, strange = map(fingerprint.digest, fingerprint.features([text[:shorter], text, other]))
+            back = fingerprint.from_text(fingerprint.text_form(copy))
+            near.append(fingerprint.likeness(back, plain))
+            far.append(fingerprint.likeness(copy, strange))
+            assert near[-1] == pytest.approx(fingerprint.likeness(plain, copy))
+        assert np.mean(near) > least and np.mean(far) < 0.1, (shorter, np.mean(near), np.mean(far))
+    a, b = map(fingerprint.digest, fingerprint.features([b"abc", b""]))
+    assert fingerprint.likeness(a, a) == 1.0 and fingerprint.likeness(a, b) == 0.0 and fingerprint.text_form(b) == "0:"
+
+
 def test_fingerprints_beside_the_next_document(spark, docs, none):
     rows = sorted(((d is None, d or 0, t or "") for d, t in TEXTS))
     texts = [t for _, _, t in rows]

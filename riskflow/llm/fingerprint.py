@@ -1,8 +1,9 @@
 """Improbable-feature digests: rare byte windows, picked by entropy, in chained Bloom filters.
 
 Every window of 16 bytes has an entropy. Its rank is the smaller the farther that entropy is from what
-texts usually have; windows of next to no variety are no features. Among each 64 neighbouring windows
-the rarest (leftmost of equals) gets a vote, and windows with 16 votes are inserted into Bloom filters
+texts usually have; windows of next to no variety are no features, unless a text has no others. Among each 64
+neighbouring windows the rarest (leftmost of equals) gets a vote, and windows with 16 votes (or the most that any window
+of the text got, if fewer) are inserted into Bloom filters
 of 2,048 bits, 5 bits a feature, a new filter after 160 features. Two digests are alike by the bits their filters
 share, less those that chance lets them share, over the most they could share.
 
@@ -82,7 +83,11 @@ def features(texts: list[bytes]) -> list[list[np.ndarray]]:
     if len(long_ones):
         entropy = entropies(flat)
         rank = 1000 - np.abs(entropy - USUAL_ENTROPY)
-        live = inside[:len(entropy)] & (entropy >= LEAST_ENTROPY)
+        within = inside[:len(entropy)]
+        live = within & (entropy >= LEAST_ENTROPY)
+        owned = np.searchsorted(starts, np.arange(len(entropy)), "right") - 1
+        varied = np.bincount(owned[live], minlength=len(texts)) > 0
+        live |= within & ~varied[owned]
         key = np.where(live, rank, 4000).astype(np.int64) << 40 | np.arange(len(rank))
         low, width = key, 1
         while width < RUN:
@@ -95,7 +100,9 @@ def features(texts: list[bytes]) -> list[list[np.ndarray]]:
         need = np.minimum(VOTES, np.maximum(1, count // 4))
         at = np.flatnonzero(votes)
         owner = np.searchsorted(starts, at, "right") - 1
-        picked = votes[at] >= need[owner]
+        most = np.zeros(len(texts), np.int64)
+        np.maximum.at(most, owner, votes[at])
+        picked = votes[at] >= np.minimum(need, most)[owner]
         at, owner = at[picked], owner[picked]
         words = flat[at[:, None] + np.arange(WIDTH)].copy().view("<u8")
         hashes = mix(words[:, 0] ^ mix(words[:, 1] + np.uint64(0x9E3779B97F4A7C15)))

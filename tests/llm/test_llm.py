@@ -134,6 +134,17 @@ def test_copies_on_two_sides_of_a_length_border_are_alike():
     assert fingerprint.likeness(a, a) == 1.0 and fingerprint.likeness(a, b) == 0.0 and fingerprint.text_form(b) == "0:"
 
 
+def test_only_texts_without_bytes_have_an_empty_digest():
+    texts = [b"-" * 300, b"01" * 200, b"ab" * 150, b"abcdefghij" * 40, b"-" * 500, b"-" * 40, b"x", b""]
+    made = [fingerprint.digest(f) for f in fingerprint.features(texts)]
+    assert [fingerprint.text_form(m) == "0:" for m in made] == [False] * 7 + [True]
+    for i in range(4):
+        for j in range(8):
+            same = i == j or {i, j} == {0, 4} or (i, j) == (0, 5)
+            got = fingerprint.likeness(made[i], made[j])
+            assert got == pytest.approx(1.0) if same else got < 0.2, (i, j, got)
+
+
 def test_fingerprints_beside_the_next_document(spark, docs, none):
     rows = sorted(((d is None, d or 0, t or "") for d, t in TEXTS))
     texts = [t for _, _, t in rows]

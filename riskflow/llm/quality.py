@@ -95,7 +95,10 @@ def counted_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, text, lang, label): about `most` labelled rows at most, by a hash of the id; held-out rows never."""
+    """(doc_id, text, lang, label): about `most` labelled rows at most, by a hash of the id; held-out rows never.
+
+    Of the rows that repeat a sampled id the one with the smallest hash of its text stays.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -103,8 +106,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     # The sample is bounded by `most`, so its ids may be sent to every task.
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(
         F.broadcast(known), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("_hash"), "text", "lang")).alias("_row")
+    return rows.groupBy("doc_id", "label").agg(one).select("doc_id", "_row.text", "_row.lang", "label")
 
 
 def in_order(rows: pa.Table, *columns: str):

@@ -82,6 +82,16 @@ def test_classifiers_learn_and_score_every_row(spark, docs, none, module, label)
     assert module.score(known.limit(5), untaught).count() == 5
 
 
+def test_a_repeated_labelled_id_is_sampled_once(spark):
+    many = spark.range(3000).select(F.when(F.col("id") < 1000, F.col("id") % 10).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"))
+    marks = many.select("doc_id", F.lit(1).alias("quality")).distinct()
+    rows = quality.labelled_sample(many, marks, "quality", 10_000)
+    ids = [r.doc_id for r in rows.collect()]
+    assert len(ids) == len(set(ids)) == marks.filter(~held_out(F.col("doc_id"))).count()
+    first = lambda df: sorted((r.doc_id, r.text) for r in quality.labelled_sample(df, marks, "quality", 10_000).collect())
+    assert rows.columns == ["doc_id", "text", "lang", "label"] and first(many) == first(many.repartition(5))
+
+
 def test_url_rules(spark):
     urls = ["http://a.net/x", "https://EN.example.net/en/y?q", "http://example.com/de/", "http://notexample.com/de/", "http://x.org/fr/#a", "http://x.net",
             None, "", "no scheme", "http://a.b.example.net/fr/", "http://example.net/en", "x://é.net/", "http://net/", "a://b://c.net/d"]

@@ -55,8 +55,15 @@ def _id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{digest}')}>"
 
 
-def _header(value: str) -> str:
-    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
+def _header(value: str, marks: str = "") -> str:
+    return re.sub(rf"[\x00-\x1f\x7f{marks}]", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def _url(headers: dict[str, str]) -> str | None:
+    """The url as it was given: from the header of its own that one with control characters has."""
+    if "X-Escaped-URI" not in headers:
+        return headers.get("WARC-Target-URI")
+    return re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), headers["X-Escaped-URI"])
 
 
 def record(page_id: int | None, url: str | None, html: bytes, size: int, digest: str, kind: str, refers_to: int | None) -> bytes:
@@ -65,6 +72,8 @@ def record(page_id: int | None, url: str | None, html: bytes, size: int, digest:
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_id(page_id, digest)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_header(url)}")
+        if _header(url) != url:
+            lines.append(f"X-Escaped-URI: {_header(url, '%')}")
     lines += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(payload).hexdigest()}"]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
@@ -208,7 +217,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         if f"sha256:{digest}" != headers["WARC-Payload-Digest"]:
                             raise ValueError(f"{headers['WARC-Record-ID']} holds another payload")
                     page, refers = headers.get("X-Page-Id"), headers.get("X-Refers-To-Page")
-                    rows.append((page and int(page), headers.get("WARC-Target-URI"), size, digest, kind, refers and int(refers)))
+                    rows.append((page and int(page), _url(headers), size, digest, kind, refers and int(refers)))
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, kinds)], [c.split()[0] for c in schema.split(", ")])
 

@@ -281,6 +281,13 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, f"file://{tmp_path}/c").count() == 0
 
 
+def test_archives_give_urls_back_as_they_were(spark, tmp_path):
+    urls = ["http://b/\r\nX: y", "http://b/%0D%0AX: y", "%0A\n%25", "\x00\x7f é%", "", None, "http://a/%7F"]
+    warc.write(spark.createDataFrame([(i, u, "t") for i, u in enumerate(urls)], "page_id long, url string, html string"), f"file://{tmp_path}/u")
+    got = {r.page_id: r.url for r in warc.read_archives(spark, f"file://{tmp_path}/u").collect()}
+    assert [got[i] for i in range(len(urls))] == urls
+
+
 def test_ranges(spark):
     df = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") * F.col("id")).alias("v"))
     cuts = cut_points(df, "v", 200)

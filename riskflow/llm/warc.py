@@ -17,20 +17,23 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskflow.llm.common import MOST_RANGES, cut_points, range_of
+from riskflow.llm.common import MOST_RANGES, cut_points, materialize, range_of
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
 FILE_BYTES = 8 << 20
 SHARD_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
-#: Parts that the rows of one payload are dealt to.
-SALTS = 16
+#: The rows of one payload are dealt to so many parts at least, and to one for so many rows of the table.
+LEAST_SALTS, SALT_ROWS = 16, 1_000_000
+#: Archives are unpacked in steps of so many bytes.
+STEP = 1 << 13
+NO_BYTES = hashlib.sha256(b"").hexdigest()
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 MANIFEST = "file string, shard int, records long, bytes long, sha256 string"
 
 
-def revisits(keys: DataFrame) -> DataFrame:
+def revisits(keys: DataFrame, salts: int = LEAST_SALTS) -> DataFrame:
     """shard, page_id, payload_digest, low of every distinct key that is a revisit of page low.
 
     keys: shard, page_id, payload_bytes, payload_digest, one row a page. Of equal payloads of at least
@@ -40,7 +43,7 @@ def revisits(keys: DataFrame) -> DataFrame:
     # A payload may be on a third of all pages: its keys are summed up by salt first, and joined by salt.
     keys = (
         keys.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("shard", "page_id", "payload_digest").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("salt", F.pmod(F.xxhash64("page_id", "shard"), F.lit(SALTS)).cast("int"))
+        .withColumn("salt", F.pmod(F.xxhash64("page_id", "shard"), F.lit(salts)).cast("int"))
     )
     first = (
         keys.groupBy("payload_digest", "salt").agg(F.min("page_id").alias("low"), F.sum("n").alias("n"))
@@ -68,13 +71,13 @@ def _url(headers: dict[str, str]) -> str | None:
 
 def record(page_id: int | None, url: str | None, html: bytes, size: int, digest: str, kind: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record. A revisit has no payload of its own."""
-    payload = html if kind == "response" else b""
+    payload, block_digest = (html, digest) if kind == "response" else (b"", NO_BYTES)
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_id(page_id, digest)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_header(url)}")
         if _header(url) != url:
             lines.append(f"X-Escaped-URI: {_header(url, '%')}")
-    lines += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(payload).hexdigest()}"]
+    lines += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{block_digest}"]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
                   f"WARC-Refers-To: {_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
@@ -100,14 +103,16 @@ def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, shard_bytes
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2("html", 256))
-    total = rows.agg(F.sum("payload_bytes")).first()[0] or 0
-    size = F.octet_length(F.coalesce("html", F.lit(""))) + 256
-    keys = pages.select(F.col("page_id").cast("long").alias("page_id"), "html")
+    # Cuts, weights and marks come from this narrow table: html is read for it and once more for the records.
+    spread_key = F.xxhash64("payload_digest", "url")
+    narrow = materialize(rows.select("page_id", "payload_bytes", "payload_digest", spread_key.alias("spread_key")), "warc-keys")
+    count, total = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()
+    size = F.col("payload_bytes") + 256
     shard_bytes = max(shard_bytes, -(-total // MOST_RANGES))
-    cuts = cut_points(keys, "page_id", max(1, -(-total // shard_bytes)), size)
+    cuts = cut_points(narrow, "page_id", max(1, -(-total // shard_bytes)), size)
     shard = F.coalesce(range_of(F.col("page_id"), cuts), F.lit(len(cuts) + 1)).cast("int")
     # A range is a single id where that id alone is heavy (or null): its rows go to sub-shards by their content.
-    weights = keys.select(shard.alias("shard"), size.alias("w")).groupBy("shard").agg(F.sum("w").alias("w")).collect()  # a row a range
+    weights = narrow.select(shard.alias("shard"), size.alias("w")).groupBy("shard").agg(F.sum("w").alias("w")).collect()  # a row a range
     parts = {r["shard"]: max(1, r["w"] // (2 * shard_bytes)) for r in weights}
     sub, base, spread = F.lit(0), {}, 0
     for k in sorted(parts):
@@ -115,9 +120,12 @@ def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, shard_bytes
         spread += parts[k]
     for k, n in parts.items():
         if n > 1:
-            sub = F.when(F.col("range") == k, F.pmod(F.xxhash64("payload_digest", "url"), F.lit(n)).cast("int")).otherwise(sub)
+            sub = F.when(F.col("range") == k, F.pmod("spread_key", F.lit(n)).cast("int")).otherwise(sub)
     starts = F.from_json(F.lit(str([base.get(k, 0) for k in range(len(cuts) + 2)])), "array<int>")
-    dealt = rows.withColumn("range", shard).withColumn("shard", F.element_at(starts, F.col("range") + 1) + sub)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.withColumn("range", shard).withColumn("shard", F.element_at(starts, F.col("range") + 1) + sub)
+
     target = path.rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,25 +171,41 @@ def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, shard_bytes
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "shard", "records", "bytes", "sha256"])
 
-    marks = revisits(dealt.select("shard", "page_id", "payload_bytes", "payload_digest"))
+    marks = revisits(dealt(narrow).select("shard", "page_id", "payload_bytes", "payload_digest"), max(LEAST_SALTS, -(-count // SALT_ROWS)))
     columns = ["shard", "page_id", "url", "html", "payload_bytes", "payload_digest"]
-    marked = dealt.select(*columns, F.lit(None).cast("long").alias("low")).unionByName(marks, allowMissingColumns=True)
+    marked = dealt(rows.withColumn("spread_key", spread_key)).select(*columns, F.lit(None).cast("long").alias("low")).unionByName(marks, allowMissingColumns=True)
     manifest = (
         marked.repartitionById(max(1, spread), "shard")
         .sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "payload_digest", F.col("low").asc_nulls_last(), "url")
         .mapInArrow(run, MANIFEST)
     )
     manifest.write.parquet(f"{target}/manifest")
+    drop_temporary(target)
     return pages.sparkSession.read.parquet(f"{target}/manifest")
 
 
+def drop_temporary(target: str) -> None:
+    """Removes what tasks that died or ran twice left under temporary names."""
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(target)
+    for found in system.get_file_info(fs.FileSelector(root)):
+        if found.base_name.startswith(".shard-"):
+            system.delete_file(found.path)
+
+
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of the records of one archive, a member at a time."""
-    rest = content
-    while rest:
-        press = zlib.decompressobj(31)
-        data = press.decompress(rest)
-        rest = press.unused_data
+    """(headers, block) of the records of one archive, a member at a time; takes time in proportion to its bytes."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        press, parts = zlib.decompressobj(31), []
+        while not press.eof:
+            if at >= len(view):
+                raise ValueError("the last record is cut off")
+            parts.append(press.decompress(view[at:at + STEP]))
+            at = min(at + STEP, len(view))
+        at -= len(press.unused_data)
+        data = b"".join(parts)
         head, _, body = data.partition(b"\r\n\r\n")
         lines = head.decode("utf-8", "surrogatepass").split("\r\n")
         headers = dict(line.split(": ", 1) for line in lines[1:])

@@ -310,3 +310,11 @@ def test_pipeline_keeps_columns_and_runs_on_nothing(spark, table, none):
 def test_every_operator_has_a_query():
     names = entry.queries()
     assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(i) for i in range(1, 11)} and "pipeline" in names
+
+
+def test_archive_of_many_members_is_read_in_steps():
+    blocks = [b"x" * n for n in (0, 1, 100, 3 * warc.STEP, 70_000)] * 40
+    data = b"".join(warc.member(warc.record(i, None, b, len(b), "d", "response", None)) for i, b in enumerate(blocks))
+    assert [body for _, body in warc.parse(data)] == blocks
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parse(data[:-9]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskflow.llm import ann, bpe, fingerprint, jaccard, license, packing, quality, toxicity, url_filter, warc
+from riskflow.llm import ann, bpe, centroids, fingerprint, jaccard, license, packing, quality, toxicity, url_filter, warc
 from riskflow.llm.common import held_out, read
 from riskflow.session import shared_dir
 
@@ -100,6 +100,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _clusters_sql(rounds: int) -> str:
+    """Plain assignment to all centroids, round after round; vec_id is taken as unique."""
+    apart = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = ["""WITH kept AS MATERIALIZED (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, v AS c FROM kept ORDER BY k LIMIT 16)"]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+          SELECT vec_id, v, k, c, CAST(d AS BIGINT) AS d FROM (SELECT vec_id, v, k, c, {apart} AS d FROM kept CROSS JOIN c{i})
+          QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)""")
+        parts.append(f"""c{i + 1} AS MATERIALIZED (
+          SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+            SELECT k, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS i) GROUP BY k, i) GROUP BY k
+          UNION ALL SELECT k, c FROM c{i} WHERE k NOT IN (SELECT k FROM a{i}))""")
+    return ", ".join(parts) + f"""
+    SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+      CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds}"""
+
+
+@register(_clusters_sql(3))
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(read(spark, sf_dir, "embeddings"))
+    return centroids.inertia(found).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 @register(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -5,8 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskflow.llm import ann, bpe, centroids, fingerprint, jaccard, license, packing, quality, toxicity, url_filter, warc
-from riskflow.llm.common import held_out, read
+from riskflow.llm import ann, bpe, centroids, fingerprint, jaccard, license, packing, quality, repair, toxicity, url_filter, warc
+from riskflow.llm.common import held_out, materialize, read
 from riskflow.session import shared_dir
 
 QUERIES: dict = {}
@@ -126,6 +126,14 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.inertia(found).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+@register()
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, ids = repair.damage(read(spark, sf_dir, "conversations"))
+    found = materialize(repair.audits(rows, ids), "repair-audits")
+    return repair.repair(rows, found, digest=True).select(
+        repair.conv_id(), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 @register(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskflow.llm import ann, bpe, centroids, fingerprint, jaccard, license, packing, quality, repair, toxicity, url_filter, warc
+from riskflow.llm import ann, bpe, centroids, fingerprint, jaccard, license, main_text, packing, quality, repair, toxicity, url_filter, warc
 from riskflow.llm.common import held_out, materialize, read
 from riskflow.session import shared_dir
 
@@ -134,6 +134,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         repair.conv_id(), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 
+@register()
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(read(spark, sf_dir, "pages"))
+
+
 @register(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

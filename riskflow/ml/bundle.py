@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskflow import schemas as S
+from riskflow.ml.boosting import Ensemble
 from riskflow.ml.training import Bundle
 
 
@@ -19,13 +19,13 @@ class ModelLoadError(RuntimeError):
 def save_bundle(bundle: Bundle, spark: SparkSession, root: str) -> str:
     """Writes the bundle below root and returns its path (<root>/lgbm_<version>)."""
     path = f"{root}/{S.MODEL_PREFIX}{bundle.version}"
-    bundle.model.write().overwrite().save(f"{path}/model")
+    bundle.model.save(spark, f"{path}/model")
     if bundle.calibrator is not None:
         bundle.calibrator.write().overwrite().save(f"{path}/calibrator")
     meta = {
         "version": bundle.version, "threshold": bundle.threshold, "feature_names": bundle.feature_names,
         "feature_caps": bundle.feature_caps, "metrics": bundle.metrics, "params": bundle.params,
-        "calibrated": bundle.calibrator is not None, "model_type": "gbt",
+        "calibrated": bundle.calibrator is not None, "model_type": "histogram_boosting",
     }
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return path
@@ -34,7 +34,7 @@ def save_bundle(bundle: Bundle, spark: SparkSession, root: str) -> str:
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
     try:
         meta = json.loads(spark.read.text(f"{path}/meta").first().value)
-        model = PipelineModel.load(f"{path}/model")
+        model = Ensemble.load(spark, f"{path}/model")
         calibrator = IsotonicRegressionModel.load(f"{path}/calibrator") if meta["calibrated"] else None
     except Exception as error:
         raise ModelLoadError(f"no usable model at {path}") from error

@@ -1,117 +1,108 @@
 """Per-row explanation: exact Shapley values of a boosted-tree model over its own tree paths.
 
-A leaf pays its value where the row meets every condition on its path. For features left out of a
-coalition the path goes on with the share of training weight at each split (path-dependent form).
-With d distinct features on the path a feature's value is a weighted sum over coalition sizes,
-which a polynomial in d steps gives.
+A leaf pays its value where the row meets every condition on its path. For features left out of a coalition the path
+goes on with the share of training rows at each split (path-dependent form). The value of a feature is an integral
+over [0, 1] of the product of what the other features of the path let through, a polynomial, so a few Gauss points
+give it exactly. A tree is walked once for all rows of a batch, each edge a few array operations: the product so far
+goes down, the sums of the leaves come up, and every edge takes its feature's factor out of the sum below it.
 """
 
 from __future__ import annotations
 
-from math import factorial
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from riskflow.ml.boosting import MOST_PIECE_BYTES, Ensemble
 from riskflow.ml.training import Bundle, model_inputs
 from riskflow.operators.explain import as_contributions, top_contributions
-from riskflow.session import shared_dir
-
-
-def tree_leaves(bundle: Bundle, spark: SparkSession) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
-    """(scaled leaf value, [(feature, low, high, weight share)]) for every leaf of every tree.
 
-    A model's own size, not the data's: trees x leaves. The nodes are read from the saved trees, once a bundle.
-    """
-    if bundle.leaves is not None:
-        return bundle.leaves
-    ensemble = bundle.model.stages[-1]
-    path = shared_dir(spark, "trees")
-    ensemble.write().save(path)
-    node = F.col("nodeData")
-    saved = spark.read.parquet(f"{path}/data").select(
-        "treeID", node["id"].alias("id"), node["prediction"].alias("prediction"), node["impurityStats"][0].alias("weight"),
-        node["leftChild"].alias("left"), node["rightChild"].alias("right"), node["split"]["featureIndex"].alias("feature"),
-        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold")).toArrow()
-    nodes = {(t, i): rest for t, i, *rest in zip(*(c.to_pylist() for c in saved.columns))}
-    leaves = []
-
-    def walk(tree, at, scale, bounds):
-        value, whole, left, right, f, t = nodes[tree, at]
-        # A node without a left child is a leaf.
-        if left < 0:
-            leaves.append((scale * value, [(f, lo, hi, z) for f, (lo, hi, z) in bounds.items()]))
-            return
-        lo, hi, z = bounds.get(f, (-np.inf, np.inf, 1.0))
-        walk(tree, left, scale, {**bounds, f: (lo, min(hi, t), z * nodes[tree, left][1] / whole)})
-        walk(tree, right, scale, {**bounds, f: (max(lo, t), hi, z * nodes[tree, right][1] / whole)})
-
-    for tree, weight in enumerate(ensemble.treeWeights):
-        # The probability is the logistic of twice the margin: contributions are in log odds.
-        walk(tree, 0, 2.0 * weight, {})
-    bundle.leaves = leaves
-    return leaves
-
-
-def shapley_values(x: np.ndarray, leaves) -> np.ndarray:
-    """Contributions (rows x features + 1); the last column is the expected value."""
+#: Rows that a tree is walked with at a time.
+ROWS = 2048
+
+
+def _depth(tree: tuple[np.ndarray, ...]) -> int:
+    depth = np.zeros(len(tree[0]), int)
+    for node in np.flatnonzero(tree[0] >= 0):  # children stand behind their parents
+        depth[[tree[2][node], tree[3][node]]] = depth[node] + 1
+    return int(depth.max())
+
+
+def add_tree(tree: tuple[np.ndarray, ...], codes: np.ndarray, out: np.ndarray) -> None:
+    """Adds a tree's contributions to out (rows x features + 1); the last column takes the expected value."""
+    feature, bins, left, right, value, cover = tree
+    leaves = feature < 0
+    out[:, -1] += (value[leaves] * cover[leaves]).sum() / cover[0] if cover[0] else value[0]
+    if leaves[0]:
+        return
+    points, weights = np.polynomial.legendre.leggauss((_depth(tree) + 1) // 2)
+    points, weights = (points + 1) / 2, weights / 2
+
+    def walk(node: int, product: np.ndarray, path: dict[int, tuple[np.ndarray, float, np.ndarray]]) -> np.ndarray:
+        f = int(feature[node])
+        if f < 0:
+            return product * (value[node] * weights)
+        goes = ((bins[node] >> codes[:, f].astype(np.uint64)) & np.uint64(1)).astype(bool)
+        before, total = path.get(f), np.zeros_like(product)
+        for child, met in ((left[node], goes), (right[node], ~goes)):
+            share, one = cover[child] / cover[node], met.astype(float)
+            if before is not None:
+                share, one = share * before[1], one * before[0]
+            factor = (1 - points) * share + points * one[:, None]
+            below = walk(child, product * factor if before is None else product / before[2] * factor, {**path, f: (one, share, factor)})
+            out[:, f] += (below / factor).sum(axis=1) * (one - share)
+            if before is not None:  # these leaves answer to the last condition on the feature, not to the one above
+                out[:, f] -= (below / before[2]).sum(axis=1) * (before[0] - before[1])
+            total += below
+        return total
+
+    walk(0, np.ones((len(codes), len(points))), {})
+
+
+def shapley_values(x: np.ndarray, ensemble: Ensemble) -> np.ndarray:
+    """Contributions (rows x features + 1), in log odds; the last column is the expected value."""
     out = np.zeros((x.shape[0], x.shape[1] + 1))
-    for value, conditions in leaves:
-        d = len(conditions)
-        zs = np.array([c[3] for c in conditions])
-        out[:, -1] += value * zs.prod()
-        if d == 0:
-            continue
-        met = np.stack([(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi, _ in conditions], axis=1)
-        # Rows meeting the same conditions get the same values.
-        codes, where = np.unique(met @ (1 << np.arange(d)), return_inverse=True)
-        ones = ((codes[:, None] >> np.arange(d)) & 1).astype(float)
-        weights = np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])
-        for i, (feature, _, _, _) in enumerate(conditions):
-            sizes = np.zeros((len(codes), d))
-            sizes[:, 0] = 1.0
-            for j in range(d):
-                if j != i:
-                    shifted = np.zeros_like(sizes)
-                    shifted[:, 1:] = sizes[:, :-1]
-                    sizes = sizes * zs[j] + shifted * ones[:, [j]]
-            out[:, feature] += (value * (ones[:, i] - zs[i]) * (sizes @ weights))[where]
+    out[:, -1] = ensemble.base
+    codes = ensemble.binning.codes(x)
+    for at in range(0, len(x), ROWS):
+        for tree in ensemble.packed():
+            add_tree(tree, codes[at:at + ROWS], out[at:at + ROWS])
     return out
 
 
-def contributions(df: DataFrame, bundle: Bundle, id_column: str = "transaction_id") -> DataFrame:
-    """id, phi (one value per model feature) and the base value, in log odds of the raw model."""
-    spark: SparkSession = df.sparkSession
-    leaves = spark.sparkContext.broadcast(tree_leaves(bundle, spark))
-    names = [f"x_{n}" for n in bundle.feature_names]
+def _values(inputs: Column, bundle: Bundle, df: DataFrame, most: int) -> Column:
+    """Contributions and base value of an array of inputs; the pieces of a large model are summed."""
+    def of(piece: Ensemble) -> Column:
+        sent = df.sparkSession.sparkContext.broadcast(piece)
+
+        @F.pandas_udf("array<double>")
+        def shapley(x: pd.Series) -> pd.Series:
+            return pd.Series(list(shapley_values(np.stack(x.to_numpy()).astype(float), sent.value))) if len(x) else x
 
-    def explain(batches):
-        for batch in batches:
-            phi = shapley_values(batch[names].to_numpy(dtype=float), leaves.value)
-            yield pd.DataFrame({id_column: batch[id_column], "phi": list(phi[:, :-1]), "base": phi[:, -1]})
+        return shapley(inputs)
 
-    inputs = model_inputs(df, bundle.feature_names, bundle.feature_caps).select(id_column, *names)
-    return inputs.mapInPandas(explain, f"{id_column} string, phi array<double>, base double")
+    total, *rest = [of(piece) for piece in bundle.model.pieces(most)]
+    for more in rest:
+        total = F.zip_with(total, more, lambda a, b: a + b)
+    return total
 
 
-def explain(df: DataFrame, bundle: Bundle, k: int = 5) -> DataFrame:
+def contributions(df: DataFrame, bundle: Bundle, id_column: str = "transaction_id", most: int = MOST_PIECE_BYTES) -> DataFrame:
+    """id, phi (one value per model feature) and the base value, in log odds of the raw model."""
+    n = len(bundle.feature_names)
+    inputs = model_inputs(df, bundle.feature_names, bundle.feature_caps).select(id_column, F.array(*[f"x_{c}" for c in bundle.feature_names]).alias("x"))
+    values = inputs.select(id_column, _values(F.col("x"), bundle, df, most).alias("_phi"))
+    return values.select(id_column, F.slice("_phi", 1, n).alias("phi"), F.col("_phi")[n].alias("base"))
+
+
+def explain(df: DataFrame, bundle: Bundle, k: int = 5, most: int = MOST_PIECE_BYTES) -> DataFrame:
     """Adds `contributions`: the k features that moved the raw score most, with uncapped values.
 
     The rows pass through the Python stage with their columns, so no join is needed after it.
     """
-    spark: SparkSession = df.sparkSession
-    leaves = spark.sparkContext.broadcast(tree_leaves(bundle, spark))
-    names = [f"x_{n}" for n in bundle.feature_names]
     inputs = model_inputs(df, bundle.feature_names, bundle.feature_caps)
-    packed = inputs.select(F.struct(*df.columns).alias("row"), F.array(*names).alias("x"))
-
-    @F.pandas_udf("array<double>")
-    def shapley(x: pd.Series) -> pd.Series:
-        return pd.Series(list(shapley_values(np.stack(x.to_numpy()).astype(float), leaves.value)[:, :-1])) if len(x) else x
-
+    packed = inputs.select(F.struct(*df.columns).alias("row"), F.array(*[f"x_{n}" for n in bundle.feature_names]).alias("x"))
     values = [F.col(f"row.{n}") for n in bundle.feature_names]
     phi = [F.col("_phi")[i] for i in range(len(bundle.feature_names))]
-    return packed.withColumn("_phi", shapley("x")).select(
+    return packed.withColumn("_phi", _values(F.col("x"), bundle, df, most)).select(
         "row.*", top_contributions(as_contributions(bundle.feature_names, values, phi), k).alias("contributions"))
-

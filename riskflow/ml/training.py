@@ -9,18 +9,13 @@ from __future__ import annotations
 import math
 import random
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
-from pyspark import SparkContext, inheritable_thread_target
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from riskflow import schemas as S
 from riskflow.functions.scalar import at_most, encode_card_type, encode_category, hashed_uniform, risk_level
+from riskflow.ml import boosting
 from riskflow.operators import evaluate
 from riskflow.operators.quantiles import fit_caps
 from riskflow.operators.validate import check_contract
@@ -30,20 +25,19 @@ from riskflow.session import shared_dir
 # --- fixed values: search ranges (low, high, log scale) and defaults ---------------------------
 SEARCH_RANGES = {
     "max_depth": (4, 10, False),
+    "num_leaves": (15, 127, False),
     "learning_rate": (0.01, 0.2, True),
     "min_child_samples": (10, 200, False),
     "subsample": (0.5, 1.0, False),
-    "colsample": (0.4, 1.0, False),
+    "colsample_bytree": (0.4, 1.0, False),
+    "reg_alpha": (1e-3, 10.0, True),
+    "reg_lambda": (1e-3, 10.0, True),
 }
-DEFAULT_PARAMS = {"max_depth": 10, "learning_rate": 0.1607, "min_child_samples": 135, "subsample": 0.556, "colsample": 0.535}
+DEFAULT_PARAMS = {"max_depth": 10, "num_leaves": 108, "learning_rate": 0.1607, "min_child_samples": 135, "subsample": 0.556,
+                  "colsample_bytree": 0.535, "reg_alpha": 1.677, "reg_lambda": 9.293}
 SEARCH_ROUNDS, SEARCH_PATIENCE = 100, 50
-#: Trials that are fitted at the same time.
-SEARCH_THREADS = 8
-WHOLE = ("max_depth", "min_child_samples")
-
-
-def assembler(names: list[str], prefix: str = "") -> VectorAssembler:
-    return VectorAssembler(inputCols=[prefix + n for n in names], outputCol="features", handleInvalid="keep")
+WHOLE = ("max_depth", "num_leaves", "min_child_samples")
+NOMINAL = {"merchant_category", "card_type"}
 
 
 def model_inputs(df: DataFrame, names: list[str], caps: dict[str, float] | None = None) -> DataFrame:
@@ -80,83 +74,23 @@ def trial_params(n_trials: int, seed: int = 42) -> list[dict[str, float]]:
     return trials
 
 
-def classifier(params: dict[str, float], rounds: int, seed: int = 42) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight",
-        maxIter=rounds, maxDepth=int(params["max_depth"]), stepSize=float(params["learning_rate"]),
-        minInstancesPerNode=int(params["min_child_samples"]), subsamplingRate=float(params["subsample"]),
-        featureSubsetStrategy=str(float(params["colsample"])), seed=seed, maxMemoryInMB=512,
-    )
-
-
-def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
-    """(trees up to the smallest loss, whether `patience` rounds in a row then brought no smaller one); without
-    losses, as of no validation rows, all trees."""
-    best = 0
-    for m, loss in enumerate(losses):
-        if not math.isfinite(loss):
-            return len(losses), False
-        if loss < losses[best]:
-            best = m
-        elif m - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
-    """The model of the first n rounds."""
-    java = model._java_obj
-    if n == java.getNumTrees():
-        return model
-    jvm = SparkContext._active_spark_context._jvm
-    trees = model._new_java_array(list(java.trees()[:n]), jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel)
-    weights = model._new_java_array([float(w) for w in model.treeWeights[:n]], jvm.double)
-    kept = jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights, model.numFeatures, 2)
-    return GBTClassificationModel(java.copyValues(kept, java.extractParamMap()))
-
-
-def boosted(fitting: DataFrame, params: dict[str, float], rounds: int, patience: int, seed: int = 42) -> GBTClassificationModel:
-    """Boosted trees of at most `rounds` rounds, ended once `patience` rounds in a row bring no smaller loss on
-    the validation rows, and kept up to the round of the smallest.
-
-    MLlib itself ends at the first round that gains under a tolerance. So rounds are grown without it and judged
-    afterwards; where they don't decide, twice as many are grown. The same seed grows the same first trees.
-    """
-    learning, judging = fitting.filter("NOT is_validation"), fitting.filter("is_validation")
-    n = min(rounds, patience + patience // 2 + 1)
-    while True:
-        model = classifier(params, n, seed).fit(learning)
-        best, ended = best_round(list(model.evaluateEachIteration(judging)), patience)
-        if ended or n == rounds:
-            return first_trees(model, best)
-        n = min(rounds, 2 * n)
-
-
-def positive_probability(column: str = "probability") -> Column:
-    return vector_to_array(column)[1]
-
-
 @dataclass
 class Bundle:
     """A trained model with what scoring needs."""
 
     version: str
-    model: PipelineModel
+    model: boosting.Ensemble
     calibrator: IsotonicRegressionModel | None
     threshold: float
     feature_names: list[str] = field(default_factory=lambda: list(S.FEATURES))
     feature_caps: dict[str, float] = field(default_factory=dict)
     metrics: dict = field(default_factory=dict)
     params: dict = field(default_factory=dict)
-    #: Leaves of the trees, once an explanation has read them.
-    leaves: list | None = field(default=None, repr=False)
 
 
-def raw_scores(df: DataFrame, model: PipelineModel, names: list[str], caps: dict[str, float]) -> DataFrame:
+def raw_scores(df: DataFrame, model: boosting.Ensemble, names: list[str], caps: dict[str, float]) -> DataFrame:
     """Adds raw_probability, the model's own output."""
-    out = model.transform(model_inputs(df, names, caps))
-    return out.withColumn("raw_probability", positive_probability()).drop(
-        *[f"x_{n}" for n in names], "features", "rawPrediction", "probability", "prediction")
+    return boosting.scored(model_inputs(df, names, caps), model).drop(*[f"x_{n}" for n in names])
 
 
 def fit_calibrator(scores: DataFrame, label: str = "is_fraud") -> IsotonicRegressionModel:
@@ -183,16 +117,24 @@ def score(df: DataFrame, bundle: Bundle) -> DataFrame:
         "risk_level": risk_level(F.col("fraud_probability"), bundle.threshold), "model_version": F.lit(bundle.version)})
 
 
+def fitting_rows(ready: DataFrame, names: list[str], caps: dict[str, float], label: str) -> DataFrame:
+    """Inputs, label and weight of the train and validation parts, as boosting takes them."""
+    rows = model_inputs(ready.filter(F.col("part").isin("train", "validation")), names, caps)
+    return rows.select(*[f"x_{n}" for n in names], F.col(label).cast("boolean").alias("label"), "weight",
+                       (F.col("part") == "validation").alias("is_validation"), F.xxhash64("transaction_id").alias("id"))
+
+
 def train(
     data: DataFrame, version: str, *, n_estimators: int = 5000, max_depth: int = 10, learning_rate: float = 0.1607,
     early_stopping_rounds: int = 100, beta: float = 2.0, n_trials: int = 50, search_rounds: int = SEARCH_ROUNDS,
-    skip_tuning: bool = False, seed: int = 42, label: str = "is_fraud",
+    skip_tuning: bool = False, seed: int = 42, label: str = "is_fraud", local_rows: int = boosting.LOCAL_ROWS,
 ) -> Bundle:
     """Fits, calibrates, thresholds and reports a model on training rows (base features + label).
 
     The model takes at most n_estimators rounds and ends after early_stopping_rounds rounds without gain on the
     validation part. The search fits n_trials points of at most search_rounds rounds each, ended after SEARCH_PATIENCE
-    ones without gain; n_estimators has no bearing on it.
+    ones without gain, and takes the point with the best average precision there; n_estimators has no bearing on it.
+    With skip_tuning the default point is taken, with max_depth and learning_rate as given.
     """
     check_contract(data, [*S.BASE_FEATURES, label])
     rows = encoded(data)
@@ -200,33 +142,18 @@ def train(
     caps = fit_caps(uncapped, S.CAPPED_FEATURES)
     names = list(S.FEATURES)
     ready = with_split(evaluate.with_class_weight(uncapped, label), seed, label)
-    fitting = assembler(names, "x_").transform(model_inputs(
-        ready.filter(F.col("part").isin("train", "validation")), names, caps)).select(
-        "transaction_id", F.col(label).cast("double").alias("label"), F.col(label), "weight", "features",
-        (F.col("part") == "validation").alias("is_validation"))
-    # Every round reads the fitting rows; written, they are computed once and lie in the same partitions each time.
+    # Bins, packing and sums read the fitting rows; written, they are computed once.
     path = shared_dir(data.sparkSession, "fitting")
-    fitting.write.parquet(path)
+    fitting_rows(ready, names, caps, label).write.parquet(path)
     fitting = data.sparkSession.read.parquet(path)
 
     params = {**DEFAULT_PARAMS, "max_depth": max_depth, "learning_rate": learning_rate}
-    if not skip_tuning:
-        held_out = fitting.filter("is_validation")
-
-        @inheritable_thread_target(data.sparkSession)
-        def trial(candidate: dict[str, float]) -> float:
-            model = boosted(fitting, candidate, search_rounds, SEARCH_PATIENCE, seed)
-            scored = model.transform(held_out).withColumn("_p", positive_probability())
-            return evaluate.average_precision(scored, "_p", label).first().average_precision or 0.0
-
-        candidates = trial_params(n_trials, seed)
-        with ThreadPool(SEARCH_THREADS) as pool:
-            values = pool.map(trial, candidates, chunksize=1)
-        if candidates:
-            params = candidates[max(range(n_trials), key=values.__getitem__)]  # the first of equal ones
-
-    trees = boosted(fitting, params, n_estimators, early_stopping_rounds, seed)
-    model = PipelineModel([assembler(names, "x_"), trees])
+    candidates = [] if skip_tuning else trial_params(n_trials, seed)
+    if candidates:
+        trials = boosting.fit(fitting, names, NOMINAL, candidates, search_rounds, SEARCH_PATIENCE, seed, local_rows)
+        params = candidates[max(range(len(trials)), key=lambda i: trials[i].average_precision)]  # the first of equal ones
+    model = boosting.fit(fitting, names, NOMINAL, [params], n_estimators, early_stopping_rounds, seed, local_rows)[0].ensemble
+
     calibration = raw_scores(ready.filter("part = 'calibration'"), model, names, caps)
     calibrator = fit_calibrator(calibration, label)
     threshold = evaluate.fbeta_threshold(calibrated(calibration, calibrator), "fraud_probability", label, beta).first().threshold
@@ -243,6 +170,6 @@ def train(
 
 def feature_importances(bundle: Bundle, spark, top: int = 15) -> DataFrame:
     """The most important features; at most one row per model feature."""
-    weights = bundle.model.stages[-1].featureImportances.toArray()
+    weights = bundle.model.importances()
     rows = [(n, float(w)) for n, w in zip(bundle.feature_names, weights)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)

@@ -66,6 +66,21 @@ def e1_rows_without_keys(spark, sf):
     return found.agg(F.count("*").alias("rows"), F.count("user_transaction_count_1hour").alias("windowed"))
 
 
+@query("e6_rows_without_keys", """
+    , r AS (SELECT event_id, user_id, amount, epoch_us(creation_date_time) // 1000000 AS sec FROM raw_transactions),
+    h AS (
+      SELECT event_id, lag(event_id) OVER o AS previous_transaction_id, count(*) OVER w AS user_historical_transaction_count,
+        CASE WHEN sum(amount) OVER w > 0 THEN CAST(sum(amount) OVER w AS DOUBLE) / count(*) OVER w ELSE 100.0 END AS user_average_amount
+      FROM r WHERE trim(coalesce(user_id, '')) <> '' AND sec IS NOT NULL
+      WINDOW o AS (PARTITION BY user_id ORDER BY sec, event_id), w AS (PARTITION BY user_id ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT r.event_id AS transaction_id, round(user_average_amount, 6) AS user_average_amount, user_historical_transaction_count, previous_transaction_id
+    FROM r LEFT JOIN h USING (event_id)""", ("raw_transactions",))
+def e6_rows_without_keys(spark, sf):
+    """Histories over incomplete rows: one without user or time has none, and is in none."""
+    rows = derived(spark, sf, "raw_transactions").drop("transaction_id").withColumnRenamed("event_id", "transaction_id")
+    return rounded(history.user_history(rows, None).join(history.previous_transaction(rows).drop("seconds_since_previous"), "transaction_id"))
+
+
 @query("c5_missing_reference", """
     SELECT t.transaction_id, CASE WHEN u.user_id IS NULL THEN 'user' WHEN m.merchant_id IS NULL THEN 'merchant'
       WHEN c.card_id IS NULL THEN 'card' WHEN t.device_id IS NOT NULL AND d.device_id IS NULL THEN 'device' END AS missing_reference

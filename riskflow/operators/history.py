@@ -51,6 +51,17 @@ def ip_risk(tx: DataFrame, predictions: DataFrame) -> DataFrame:
     )
 
 
+def _keyed() -> Column:
+    """A row has a user and a time; one without belongs to no history, its own or another's."""
+    return ~is_blank(F.col("user_id")) & F.col("sec").isNotNull()
+
+
+def _apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """found, and the rows without user or time with nulls in its further columns."""
+    return found.union(rows.filter(~_keyed()).select(
+        "transaction_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields[1:]]))
+
+
 def user_history(
     tx: DataFrame, predictions: DataFrame | None, *, safe_only: bool = False,
     cold_start: float = S.COLD_START_AVERAGE, max_group_rows: int = MAX_GROUP_ROWS,
@@ -58,11 +69,13 @@ def user_history(
 ) -> DataFrame:
     """transaction_id with the user's average amount and count over strictly earlier rows.
 
-    `safe_only` averages rows whose prediction is marked safe; the count always takes all rows.
+    `safe_only` averages rows whose prediction is marked safe; the count always takes all rows. A row without
+    user or time is in no history: it comes back with nulls.
     """
     if isinstance(large_users, str):
         large_users = large_groups(tx, ["user_id"], max_group_rows)
-    rows = tx.select("transaction_id", "user_id", "amount", epoch_seconds(F.col("creation_date_time")).alias("sec"))
+    every = tx.select("transaction_id", "user_id", "amount", epoch_seconds(F.col("creation_date_time")).alias("sec"))
+    rows = every.filter(_keyed())
     if safe_only:
         rows = with_predictions(rows, predictions.select("transaction_id", F.col("is_marked_as_safe").alias("_safe")))
     else:
@@ -78,19 +91,19 @@ def user_history(
         large=large_users, max_rows=max_group_rows,
     )
     average = F.col("_sum").cast("double") / F.col("_n")
-    return out.select(
+    return _apart(every, out.select(
         "transaction_id",
         F.when(average > 0, average).otherwise(F.lit(float(cold_start))).alias("user_average_amount"),
         F.coalesce("_all", F.lit(0)).cast("long").alias("user_historical_transaction_count"),
-    )
+    ))
 
 
 def ip_history(tx: DataFrame, predictions: DataFrame, *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """transaction_id with the address risk over strictly earlier rows of that address.
 
-    Rows without an address are not here: their risk is 0 and they need no shuffle.
+    Rows without an address or a time are not here: their risk is 0 and they need no shuffle.
     """
-    addressed = tx.filter(~is_blank(F.col("ip_address"))).select(
+    addressed = tx.filter(~is_blank(F.col("ip_address")) & F.col("creation_date_time").isNotNull()).select(
         "transaction_id", "ip_address", epoch_seconds(F.col("creation_date_time")).alias("sec"))
     large = large_groups(addressed, ["ip_address"], max_group_rows)
     rows = with_predictions(addressed, predictions.select("transaction_id", "risk_level"))
@@ -103,12 +116,12 @@ def ip_history(tx: DataFrame, predictions: DataFrame, *, max_group_rows: int = M
 
 
 def previous_transaction(tx: DataFrame, *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """transaction_id with the id and time of the user's latest earlier row."""
+    """transaction_id with the id and time of the user's latest earlier row; nulls for a row without user or time."""
     rows = tx.select("transaction_id", "user_id", epoch_seconds(F.col("creation_date_time")).alias("sec"))
     here = F.struct("sec", "transaction_id")
-    out = running(rows, ["user_id"], ["sec", "transaction_id"], {"_prev": Agg("max", here)}, max_rows=max_group_rows)
-    return out.select(
+    out = running(rows.filter(_keyed()), ["user_id"], ["sec", "transaction_id"], {"_prev": Agg("max", here)}, max_rows=max_group_rows)
+    return _apart(rows, out.select(
         "transaction_id",
         F.col("_prev.transaction_id").alias("previous_transaction_id"),
         (F.col("sec") - F.col("_prev.sec")).alias("seconds_since_previous"),
-    )
+    ))

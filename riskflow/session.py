@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", app: str = "riskflow") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="riskflow-"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()

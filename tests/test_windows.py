@@ -150,3 +150,14 @@ def test_rows_without_keys_come_back(spark):
     for ttl in (None, 600):
         got = {r.transaction_id: r.user_transaction_count_1hour for r in velocity_features(tx, ttl_seconds=ttl).collect()}
         assert got == {"a": 0, "b": None, "c": None, "d": None, "e": 1}
+
+
+def test_rows_without_user_or_time_have_no_history_and_are_in_none(spark):
+    rows = [("a", None, "m", Decimal(10), None, T0), ("b", None, "m", Decimal(500), None, T0 + timedelta(seconds=5)), ("c", " ", "m", Decimal(90), None, T0),
+            ("d", "u", "m", Decimal(7), "1.1.1.1", None), ("e", "u", "m", Decimal(8), "1.1.1.1", T0), ("f", "u", "m", Decimal(9), "1.1.1.1", T0)]
+    tx = spark.createDataFrame(rows, SCHEMA)
+    got = {r.transaction_id: tuple(r)[1:] for r in user_history(tx, None).collect()}
+    assert got == {**dict.fromkeys("abcd", (None, None)), "e": (100.0, 0), "f": (8.0, 1)}
+    before = {r.transaction_id: r.previous_transaction_id for r in previous_transaction(tx).collect()}
+    assert before == {**dict.fromkeys("abcde"), "f": "e"}
+    assert {r.transaction_id for r in ip_history(tx, spark.createDataFrame([], PRED)).collect()} == {"e", "f"}

@@ -242,8 +242,9 @@ def d17(spark, sf):
     FROM eval_scores, best GROUP BY t""", ("curve", "eval_scores"))
 def i10(spark, sf):
     df = _eval(spark, sf)
-    best = evaluate.fbeta_threshold(df, "score", "is_fraud", 2.0).first().threshold
-    ap = evaluate.average_precision(df, "score", "is_fraud").first().average_precision
+    curve = evaluate.pr_curve(df, "score", "is_fraud")
+    best = evaluate.fbeta_threshold_of(curve, 2.0).first().threshold
+    ap = evaluate.average_precision_of(curve).first().average_precision
     report = evaluate.classification_report(df, "score", "is_fraud", best)
     return rounded(report.select(F.lit(best).alias("threshold"), F.lit(ap).alias("pr_auc"), "accuracy", "precision", "recall", "support"))
 

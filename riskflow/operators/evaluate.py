@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskflow import schemas as S
-from riskflow.operators.ordered import MAX_GROUP_ROWS, Agg, running
+from riskflow.operators.ordered import MAX_GROUP_ROWS, Agg, running, written
 
 
 def _positive(label: str) -> Column:
@@ -28,24 +28,23 @@ def with_class_weight(df: DataFrame, label: str = "is_fraud") -> DataFrame:
 def pr_curve(df: DataFrame, score: str, label: str, *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """threshold, tp, fp, precision, recall at every distinct score (rows scoring at least it).
 
-    Rows collapse to distinct scores first; the running sums over those are chunked.
+    The rows are read once: they collapse to distinct scores, which are written; the running sums over those go
+    range by range. A null score is left out.
     """
-    valid = df.filter(F.col(score).isNotNull())
-    points = (
-        valid.groupBy(F.col(score).cast("double").alias("threshold"))
-        .agg(F.count_if(_positive(label)).alias("_pos"), F.count_if(~_positive(label)).alias("_neg"))
+    points = written(
+        df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold"))
+        .agg(F.count_if(_positive(label)).alias("_pos"), F.count_if(~_positive(label)).alias("_neg")), "curve"
         # One group of all rows. Its key comes from the data, so joins on it stay equality joins.
-        .withColumns({"_all": F.col("_pos") < 0, "_down": -F.col("threshold")})
-    )
+    ).withColumns({"_all": F.col("_pos") < 0, "_down": -F.col("threshold")})
     sums = running(
         points, ["_all"], ["_down"],
         {"_tp": Agg("sum", F.col("_pos")), "_fp": Agg("sum", F.col("_neg"))}, max_rows=max_group_rows)
-    total = valid.agg(F.count_if(_positive(label))).first()[0]
+    total = points.agg(F.sum("_pos")).first()[0] or 0
     return (
         sums.withColumns({
             "tp": F.coalesce("_tp", F.lit(0)) + F.col("_pos"),
             "fp": F.coalesce("_fp", F.lit(0)) + F.col("_neg"),
-            "_total": F.lit(total),
+            "_total": F.lit(total).cast("long"),
         })
         .select(
             "threshold", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
@@ -54,22 +53,30 @@ def pr_curve(df: DataFrame, score: str, label: str, *, max_group_rows: int = MAX
     )
 
 
-def average_precision(df: DataFrame, score: str, label: str, **kw) -> DataFrame:
+def average_precision_of(curve: DataFrame) -> DataFrame:
     """Sum of precision weighted by the recall each distinct score adds."""
     gain = F.col("_pos") / F.nullif(F.col("_total"), F.lit(0))
-    return pr_curve(df, score, label, **kw).agg(F.sum(gain * F.col("precision")).alias("average_precision"))
+    return curve.agg(F.sum(gain * F.col("precision")).alias("average_precision"))
 
 
-def fbeta_threshold(df: DataFrame, score: str, label: str, beta: float = 2.0, **kw) -> DataFrame:
+def average_precision(df: DataFrame, score: str, label: str, **kw) -> DataFrame:
+    return average_precision_of(pr_curve(df, score, label, **kw))
+
+
+def fbeta_threshold_of(curve: DataFrame, beta: float = 2.0) -> DataFrame:
     """Score with the best F-beta; the lowest wins ties; 0.5 where no score has any."""
     p, r, b2 = F.col("precision"), F.col("recall"), float(beta) ** 2
     fbeta = F.when(p + r > 0, (1 + b2) * p * r / (b2 * p + r))
-    best = pr_curve(df, score, label, **kw).withColumn("fbeta", fbeta).filter("fbeta > 0").agg(
+    best = curve.withColumn("fbeta", fbeta).filter("fbeta > 0").agg(
         F.max(F.struct("fbeta", (-F.col("threshold")).alias("_neg"))).alias("b"))
     return best.select(
         F.coalesce(-F.col("b._neg"), F.lit(0.5)).alias("threshold"), F.coalesce("b.fbeta", F.lit(0.0)).alias("fbeta"))
 
 
+def fbeta_threshold(df: DataFrame, score: str, label: str, beta: float = 2.0, **kw) -> DataFrame:
+    return fbeta_threshold_of(pr_curve(df, score, label, **kw), beta)
+
+
 def confusion(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:
     said, true = F.col(score) >= F.lit(float(threshold)), _positive(label)
     return df.agg(

@@ -2,9 +2,9 @@
 
 A window partitioned by a key puts the key's rows into one task. Here the groups are measured
 first. Where all are small the plain window is used: one shuffle. Otherwise the rows of the large
-groups are cut into ordered chunks by pivots picked through a hash of the order columns, so each
-window task sees one chunk, and per-chunk totals (map-side combined) carry the prefix from chunk
-to chunk.
+groups are written, dealt to ranges of (key, order) and written with the number of their range, so each
+window task sees one range, and totals of key and range (map-side combined) carry the prefix from
+range to range.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from riskflow.session import shared_dir
+
 MAX_GROUP_ROWS = 2_000_000
-# Bounds of what the driver takes and the tasks get broadcast: large groups, and pivots in all.
+# Bounds of what the driver takes and the tasks get broadcast: large groups, and ranges of their rows. Beyond them
+# the groups and ranges grow with the table.
 MAX_LARGE_GROUPS = 100_000
-# Pivots are found in two steps of at most this many comparisons each.
-FAN_OUT = 64
+MAX_RANGES = 100_000
 
 
 @dataclass(frozen=True)
@@ -50,45 +52,22 @@ def large_groups(df: DataFrame, keys: list[str], max_rows: int = MAX_GROUP_ROWS)
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def _with_chunks(df: DataFrame, keys: list[str], order: list[str], large: DataFrame) -> DataFrame:
-    """Adds `_chunk`, increasing with the order inside a group, and `_split`, true in large groups.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: what follows reads it as often as it likes."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _in_ranges(rows: DataFrame, keys: list[str], order: list[str], large: DataFrame) -> DataFrame:
+    """The rows with `_chunk`, which increases with the order inside a group; about `_chunk_rows` rows each.
 
-    Rows whose hash hits the group's stride become its pivots: about one in `_chunk_rows`, and at
-    most FAN_OUT squared a group. In expectation that is at most total / _chunk_rows pivots, so
-    they fit the driver and a broadcast at any table size.
+    Written before, as range bounds are found by a pass of its own, and after, as another run would find others.
     """
-    spark = df.sparkSession
-    point = F.struct(*[F.col(c) for c in order])
-    chunks = F.least(F.lit(FAN_OUT * FAN_OUT), F.ceil(F.col("_n") / F.col("_chunk_rows")))
-    stride = F.greatest(F.lit(1), F.floor(F.col("_n") / chunks)).cast("long")
-    sampled = (
-        df.select(*dict.fromkeys([*keys, *order])).join(F.broadcast(large), keys)
-        .filter(F.pmod(F.xxhash64(*order), stride) == 0)
-        .groupBy(*keys).agg(F.sort_array(F.collect_set(point)).alias("_p"))
-    )
-    found = sampled.collect()
-    key_fields = [sampled.schema[k] for k in keys]
-    pivots = T.StructField("_p", sampled.schema["_p"].dataType)
-    width = [max(1, -(-len(r["_p"]) // FAN_OUT)) for r in found]
-    coarse = [(*[r[k] for k in keys], r["_p"][::w], w) for r, w in zip(found, width)]
-    fine = [
-        (*[r[k] for k in keys], i // w + 1, r["_p"][i:i + w])
-        for r, w in zip(found, width) for i in range(0, len(r["_p"]), w)
-    ]
-    top = spark.createDataFrame(coarse, T.StructType([*key_fields, pivots, T.StructField("_w", T.IntegerType())]))
-    leaf = spark.createDataFrame(
-        fine, T.StructType([*key_fields, T.StructField("_block", T.IntegerType()), T.StructField("_f", pivots.dataType)]))
-    # How many of the sorted pivots a row has reached: blocks begun, then pivots inside the last.
-    begun = F.size(F.filter("_p", lambda p: p <= point))
-    inside = F.size(F.filter("_f", lambda p: p <= point))
-    return (
-        df.join(F.broadcast(top), keys, "left")
-        .withColumn("_split", F.col("_p").isNotNull())
-        .withColumn("_block", F.when(F.col("_split"), begun).otherwise(0)).drop("_p")
-        .join(F.broadcast(leaf), [*keys, "_block"], "left")
-        .withColumn("_chunk", F.when(F.col("_f").isNotNull(), (F.col("_block") - 1) * F.col("_w") + inside).otherwise(0))
-        .drop("_f", "_w", "_block")
-    )
+    total, each = large.agg(F.sum("_n"), F.max("_chunk_rows")).first()
+    ranges = int(max(1, min(MAX_RANGES, -(-total // each))))
+    dealt = written(rows, "large-groups").repartitionByRange(ranges, *keys, *order)
+    return written(dealt.withColumn("_chunk", F.spark_partition_id()), "ranges")
 
 
 def _merge(kind: str, local: Column, before: Column) -> Column:
@@ -119,12 +98,14 @@ def running(
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*before)
         return df.select("*", *[a.column().over(w).alias(n) for n, a in aggs.items()])
 
-    chunked = _with_chunks(df, keys, order, large)
+    marked = df.join(F.broadcast(large.select(*keys, F.lit(True).alias("_split"))), keys, "left")
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*before)
+    small = marked.filter("_split IS NULL").select(*df.columns, *[a.column().over(w).alias(n) for n, a in aggs.items()])
+    chunked = _in_ranges(marked.filter("_split").select(*df.columns), keys, order, large)
     over_chunks = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*before)
-    # A row per chunk: no more than there are pivots and large groups.
+    # A row per key and range: no more than there are ranges and large groups.
     carried = (
-        chunked.filter("_split")
-        .groupBy(*keys, "_chunk")
+        chunked.groupBy(*keys, "_chunk")
         .agg(*[a.column().alias(f"_t_{n}") for n, a in aggs.items()])
         .select(
             *keys, "_chunk",
@@ -135,7 +116,7 @@ def running(
     # Stated, since rows already hashed by the keys alone would satisfy the window as they are.
     local = chunked.repartition(*keys, "_chunk").select(
         "*", *[a.column().over(within).alias(f"_l_{n}") for n, a in aggs.items()])
-    return local.join(F.broadcast(carried), [*keys, "_chunk"], "left").select(
+    return small.unionByName(local.join(F.broadcast(carried), [*keys, "_chunk"], "left").select(
         *df.columns,
         *[_merge(a.kind, F.col(f"_l_{n}"), F.col(f"_b_{n}")).alias(n) for n, a in aggs.items()],
-    )
+    ))

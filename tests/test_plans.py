@@ -31,3 +31,24 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in text
     text = plan(entry.queries()["d2_user_transaction_count"](spark, SF))
     assert "props" not in text
+
+
+def test_the_curve_reads_its_input_once_and_needs_no_ceiling(spark, monkeypatch):
+    """4,200 ranges: more than two steps of 64 pivots could tell apart."""
+    from pyspark.sql import functions as F
+    from riskflow.operators import evaluate, ordered
+
+    reads = []
+    written = ordered.written
+    monkeypatch.setattr(evaluate, "written", lambda df, name: reads.append(name) or written(df, name))
+    rows = spark.range(5_000).select((F.col("id") * 7919 % 4200 / 4200).alias("score"), (F.col("id") % 3 == 0).alias("is_fraud")).repartition(3)
+    rows.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/curve-input")
+    curve = evaluate.pr_curve(spark.read.parquet(path), "score", "is_fraud", max_group_rows=1)
+    text = plan(curve)
+    assert reads == ["curve"] and "curve-input" not in text and "CartesianProduct" not in text
+    got = [tuple(r) for r in curve.orderBy(F.desc("threshold")).select("tp", "fp").collect()]
+    want, tp, fp = [], 0, 0
+    for r in rows.groupBy("score").agg(F.count_if("is_fraud").alias("p"), F.count_if(~F.col("is_fraud")).alias("n")).orderBy(F.desc("score")).collect():
+        tp, fp = tp + r.p, fp + r.n
+        want.append((tp, fp))
+    assert got == want and len(got) == 4_200

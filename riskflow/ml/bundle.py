@@ -66,6 +66,7 @@ class ActiveModel:
         self._spark, self._registry, self._root = spark, registry, root
         self._bundle: Bundle | None = None
         self._tried: str | None = None
+        self._bundles: dict[str, Bundle] = {}
 
     def current(self) -> Bundle:
         from riskflow.operators.registry import latest_model
@@ -81,3 +82,35 @@ class ActiveModel:
         if self._bundle is None:
             raise ModelLoadError("no model released")
         return self._bundle
+
+    def in_force(self, low: int, high: int) -> list[tuple[int, Bundle]]:
+        """(first second, bundle) of the releases in force between two event seconds, in order of time.
+
+        A release that does not load leaves the one before it in force; before the first release its bundle is
+        taken. As many bundles as there are releases in that span, and one.
+        """
+        seconds = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("released_at"))
+        from riskflow.operators.registry import model_objects
+
+        known = model_objects(releases(self._spark, self._registry)).select(seconds.alias("sec"), "object_name")
+        started = known.filter(F.col("sec") <= low).orderBy(F.desc("sec"), F.desc("object_name"))
+        spans: list[tuple[int, Bundle]] = []
+        for r in known.filter((F.col("sec") > low) & (F.col("sec") <= high)).orderBy("sec", "object_name").collect():
+            bundle = self._loaded(r.object_name)
+            if bundle is not None:
+                spans.append((r.sec, bundle))
+        for r in started.toLocalIterator():  # the newest first, until one loads
+            bundle = self._loaded(r.object_name)
+            if bundle is not None:
+                return [(r.sec, bundle), *spans]
+        if not spans:
+            raise ModelLoadError("no model released")
+        return spans
+
+    def _loaded(self, name: str) -> Bundle | None:
+        if name not in self._bundles:
+            try:
+                self._bundles[name] = load_bundle(self._spark, f"{self._root}/{name}")
+            except ModelLoadError:
+                return None
+        return self._bundles[name]

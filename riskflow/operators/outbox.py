@@ -22,17 +22,21 @@ def without_queued(scored: DataFrame, tasks: DataFrame) -> DataFrame:
     return scored.join(tasks.select("transaction_id"), "transaction_id", "left_anti")
 
 
-def enqueue_alerts(scored: DataFrame, tasks: DataFrame, now: Column, payload: Column | None = None) -> DataFrame:
-    """New tasks: one per HIGH transaction not queued before, due at once.
+def enqueue_alerts(
+    scored: DataFrame, tasks: DataFrame, now: Column, payload: Column | None = None, due: Column | None = None
+) -> DataFrame:
+    """New tasks: one per HIGH transaction not queued before, due at once, or at a time of the row's own.
 
     The payload (all columns as JSON unless given) is what the alert is rendered from; of a
     transaction delivered more than once the smallest payload stays.
     """
     body = F.to_json(F.struct("*")) if payload is None else payload
-    high = high_risk(scored).select("transaction_id", body.alias("payload")).groupBy("transaction_id").agg(F.min("payload").alias("payload"))
+    at = F.lit(None).cast("timestamp_ntz") if due is None else due
+    high = high_risk(scored).select("transaction_id", body.alias("payload"), at.alias("_due")).groupBy("transaction_id").agg(
+        F.min("payload").alias("payload"), F.min("_due").alias("_due"))
     return without_queued(high, tasks).select(
         "transaction_id", F.lit("PENDING_LLM").alias("status"), F.lit(0).alias("attempts"),
-        now.alias("next_retry_at"), now.alias("created_at"), "payload",
+        (now if due is None else F.col("_due")).alias("next_retry_at"), now.alias("created_at"), "payload",
     )
 
 

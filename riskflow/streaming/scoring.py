@@ -1,20 +1,20 @@
 """The scoring stream: validate, compute features, score, explain, persist, publish, enqueue alerts.
 
 Each micro-batch runs the batch operators over its rows plus the rows of the last hour, which the
-previous batches persisted. Replaying a table through the stream so gives the features the batch
+previous batches left by event hour. Replaying a table through the stream so gives the features the batch
 operators give, and no per-user state sits in a single Python task. Histories that reach back
-further (counts, safe averages, address risk, last seen) are kept as per-key totals: a delta per
-batch and a full table every so many batches.
+further (counts, safe averages, address risk, last seen) are totals a key, in buckets (see state.py).
 
-Address risk and safe averages read the predictions persisted before the batch began.
+Address risk and safe averages read the predictions persisted before the batch began. Rows that come later than
+the allowed lateness go to `late`; `replay_late` gives them, and the rows they would have changed, their features.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from riskflow import schemas as S
@@ -26,12 +26,12 @@ from riskflow.operators.enrich import enrich
 from riskflow.operators.history import risk_points
 from riskflow.operators.messages import parsed, scored_records
 from riskflow.operators.ordered import Agg, running
-from riskflow.operators.velocity import velocity_features
+from riskflow.operators.velocity import VELOCITY_COLUMNS, velocity_features
 from riskflow.plans.feature_vector import Dimensions, engineer_features
+from riskflow.streaming.state import Buckets, KeyedTotals, RecentRows
 from riskflow.streaming.store import BatchStore, Progress
 
 LATENESS_SECONDS = 600
-COMPACT_EVERY = 50
 TOPIC_CREATED = "transactions.created"
 
 _USER_TOTALS = T.StructType([
@@ -46,7 +46,8 @@ _RECENT = T.StructType([*S.TRANSACTION_SCHEMA.fields, T.StructField("sec", T.Lon
 
 @dataclass
 class ScoringStream:
-    """Settings of the stream; `model` gives the bundle in force at the start of each batch."""
+    """Settings of the stream; `model` gives the bundle in force at the start of each batch, `releases` those in force
+    between two event seconds: then each row is scored by the one of its own time."""
 
     store: BatchStore
     dims: Dimensions
@@ -58,44 +59,25 @@ class ScoringStream:
     lateness_seconds: int = LATENESS_SECONDS
     #: A transaction of an unknown device is a dead letter; if false it is scored as untrusted.
     refuse_unknown_devices: bool = True
+    releases: Callable[[int, int], list[tuple[int, Bundle]]] | None = None
 
-    # ---- rows at hand ----
-    def _horizon(self, progress: Progress) -> int | None:
+    def __post_init__(self) -> None:
+        self.users = KeyedTotals(self.store, "user_totals", "user_id", _USER_TOTALS, ("last_sec",))
+        self.addresses = KeyedTotals(self.store, "ip_totals", "ip_address", _IP_TOTALS)
+        self.rows = RecentRows(self.store, _RECENT)
+
+    # ---- state ----
+    def _horizon(self, high_water: int | None) -> int | None:
         """First second that a row which isn't late can look back to."""
-        return None if progress.high_water is None else progress.high_water - self.lateness_seconds - S.ONE_HOUR
+        return None if high_water is None else high_water - self.lateness_seconds - S.ONE_HOUR
 
     def recent(self, progress: Progress) -> DataFrame:
-        """Rows of earlier batches that new rows can look back to. Older rows of the same batches are not read again."""
-        rows, horizon = self.store.batches("transactions", [b for b, _ in progress.recent], _RECENT), self._horizon(progress)
-        return rows if horizon is None else rows.filter(F.col("sec") >= horizon)
-
-    # ---- totals that reach back to the start ----
-    def _totals(self, name: str, schema: T.StructType, progress: Progress, upto: int, key: str, keys: DataFrame | None = None) -> DataFrame:
-        """Totals per key over the batches before `upto`: the last full table plus later deltas.
+        """Rows of earlier batches that new rows can look back to."""
+        return self.rows.read(progress.hours, self._horizon(progress.high_water))
 
-        With `keys` only their totals are added up: the rest leaves before any shuffle. A batch still in
-        the recent list gives its last second by its rows before the horizon: the later ones are at hand
-        themselves, and some may lie after the row that looks back.
-        """
-        first = 0 if progress.full_totals is None else progress.full_totals + 1
-        recent = {b for b, _ in progress.recent}
-        at_hand = [b for b in range(first, upto) if b in recent]
-        totals = self.store.batches(f"{name}_delta", [b for b in range(first, upto) if b not in recent], schema)
-        if progress.full_totals is not None:
-            totals = totals.unionByName(self.store.batches(f"{name}_full", [progress.full_totals], schema))
-        moving = self.store.batches(f"{name}_delta", at_hand, schema)
-        if "last_sec" in schema.names:
-            moving = moving.withColumn("last_sec", F.lit(None).cast("long"))
-            older = self.store.batches("transactions", at_hand, _RECENT).filter(F.col("sec") < self._horizon(progress)) if at_hand else None
-            if older is not None:
-                zeros = [F.lit(0).cast(schema[c].dataType).alias(c) for c in schema.names if c not in (key, "last_sec")]
-                totals = totals.unionByName(older.select(key, *zeros, F.col("sec").alias("last_sec")))
-        totals = totals.unionByName(moving)
-        if keys is not None:
-            totals = totals.join(keys.select(key), key, "left_semi")
-        aggs = [F.max(c).alias(c) if c == "last_sec" else F.sum(c).cast(schema[c].dataType).alias(c)
-                for c in schema.names if c != key]
-        return totals.groupBy(key).agg(*aggs)
+    def totals(self, kept: KeyedTotals, progress: Progress, keys: DataFrame) -> DataFrame:
+        """Totals of the given keys over the batches before. last_sec: of the rows before those at hand."""
+        return kept.lookup(Buckets(**progress.totals.get(kept.name, {})), keys)
 
     # ---- one batch ----
     def accept(self, messages: DataFrame, batch: int, progress: Progress) -> tuple[DataFrame, DataFrame]:
@@ -136,8 +118,8 @@ class ScoringStream:
     def features(self, fresh: DataFrame, recent: DataFrame, batch: int, progress: Progress) -> DataFrame:
         velocity = velocity_features(recent.unionByName(fresh), ttl_seconds=self.ttl_seconds).join(
             fresh.select("transaction_id"), "transaction_id", "left_semi")
-        users = self._totals("user_totals", _USER_TOTALS, progress, batch, "user_id", fresh)
-        addresses = self._totals("ip_totals", _IP_TOTALS, progress, batch, "ip_address", fresh)
+        users = self.totals(self.users, progress, fresh)
+        addresses = self.totals(self.addresses, progress, fresh.filter(~is_blank(F.col("ip_address"))))
         in_batch = running(
             fresh.select("transaction_id", "user_id", "sec", "amount"), ["user_id"], ["sec", "transaction_id"],
             {"_before": Agg("sum", F.lit(1)), "_amount_before": Agg("sum", F.col("amount"))}
@@ -178,60 +160,101 @@ class ScoringStream:
         progress = store.progress_before(batch)
         fresh, recent = self.accept(messages, batch, progress)
         vectors = store.write(self.features(fresh, recent, batch, progress), "vectors", batch)
-        if self.model is not None:
-            bundle = self.model()
-            scored = explain(score(vectors, bundle), bundle)
-        else:
-            scored = vectors.withColumns({
-                "fraud_probability": F.lit(0.0), "risk_level": F.lit("LOW"), "model_version": F.lit("none")})
         safe = self.mark_safe if self.mark_safe is not None else F.lit(False)
-        scored = store.write(scored.withColumn("is_marked_as_safe", safe), "scored", batch)
+        scored = store.write(self._scored(vectors).withColumn("is_marked_as_safe", safe), "scored", batch)
         store.write(scored.select(*S.PREDICTION_SCHEMA.names), "predictions", batch)
         store.write(scored_records(scored), "published", batch)
         self._enqueue(scored, batch)
-        self._write_totals(scored, batch, progress)
-        store.commit(batch, self._progress_after(scored, batch, progress))
+        store.commit(batch, self._progress_after(scored, recent, batch, progress))
+
+    def _scored(self, vectors: DataFrame) -> DataFrame:
+        if self.releases is not None:
+            low, high = vectors.agg(F.min("sec"), F.max("sec")).first()
+            if low is not None:
+                spans = self.releases(low, high)
+                out = None
+                for k, (first, bundle) in enumerate(spans):
+                    inside = F.lit(True) if k == 0 else F.col("sec") >= first
+                    if k + 1 < len(spans):
+                        inside = inside & (F.col("sec") < spans[k + 1][0])
+                    part = explain(score(vectors.filter(inside), bundle), bundle)
+                    out = part if out is None else out.unionByName(part)
+                return out
+        if self.model is not None:
+            bundle = self.model()
+            return explain(score(vectors, bundle), bundle)
+        unscored = vectors.withColumns({
+            "raw_probability": F.lit(0.0), "fraud_probability": F.lit(0.0), "risk_level": F.lit("LOW"), "model_version": F.lit("none")})
+        return unscored if self.releases is None else unscored.withColumn("contributions", F.array().cast(T.ArrayType(S.CONTRIBUTION_TYPE)))
 
     def _enqueue(self, scored: DataFrame, batch: int) -> None:
-        """New alerts. Ids are new in every batch, so only a rerun could repeat one, and it
-        replaces its own directory."""
+        """New alerts with what they are rendered from, due at their transaction's time. Ids are new in every batch, so
+        only a rerun could repeat one, and it replaces its own directory."""
         none = self.store.spark.createDataFrame([], "transaction_id string")
-        tasks = outbox.enqueue_alerts(scored, none, F.lit(0)).select("transaction_id", "status", "attempts")
-        due = scored.select("transaction_id", F.col("creation_date_time").alias("next_retry_at"))
-        self.store.write(tasks.join(due, "transaction_id"), "tasks", batch)
+        created = F.col("creation_date_time")
+        self.store.write(outbox.enqueue_alerts(scored, none, self.now if self.now is not None else F.localtimestamp(), due=created), "tasks", batch)
 
-    def _write_totals(self, scored: DataFrame, batch: int, progress: Progress) -> None:
+    def _progress_after(self, scored: DataFrame, recent: DataFrame, batch: int, progress: Progress) -> Progress:
+        """Writes the batch into the totals and the rows at hand; rows that leave these go to the totals' last second."""
+        newest = scored.agg(F.max("sec")).first()[0]
+        high = max((x for x in (progress.high_water, newest) if x is not None), default=None)
+        horizon = self._horizon(high)
         counts = F.col("is_marked_as_safe") if self.safe_only else F.lit(True)
-        users = scored.groupBy("user_id").agg(
+        arrived = scored.groupBy("user_id").agg(
             F.count("*").alias("n"), F.count_if(counts).alias("safe_n"),
             F.coalesce(F.sum(F.when(counts, F.col("amount"))), F.lit(0)).cast("decimal(29,2)").alias("safe_amount"),
-            F.max("sec").alias("last_sec"))
+            F.lit(None).cast("long").alias("last_sec"))
+        if horizon is not None:
+            left = recent.select("user_id", "sec").unionByName(scored.select("user_id", "sec")).filter(F.col("sec") < horizon)
+            zeros = [F.lit(0).cast(_USER_TOTALS[c].dataType).alias(c) for c in ("n", "safe_n", "safe_amount")]
+            arrived = arrived.unionByName(left.groupBy("user_id").agg(F.max("sec").alias("last_sec")).select("user_id", *zeros, "last_sec"))
         addresses = scored.filter(~is_blank(F.col("ip_address"))).groupBy("ip_address").agg(
             F.count("*").alias("n"), F.sum(risk_points(F.col("risk_level"))).alias("points"))
-        self.store.write(users.select(*_USER_TOTALS.names), "user_totals_delta", batch)
-        self.store.write(addresses.select(*_IP_TOTALS.names), "ip_totals_delta", batch)
-        upto = self._full_after(batch, progress)
-        if upto != progress.full_totals:
-            for name, schema, key in (("user_totals", _USER_TOTALS, "user_id"), ("ip_totals", _IP_TOTALS, "ip_address")):
-                self.store.write(self._totals(name, schema, progress, upto + 1, key).select(*schema.names), f"{name}_full", upto)
-
-    def _full_after(self, batch: int, progress: Progress) -> int | None:
-        """The batch up to which totals are folded into one table: every so often, and never past
-        a batch whose rows are still at hand."""
-        if batch % COMPACT_EVERY != COMPACT_EVERY - 1:
-            return progress.full_totals
-        upto = min([b for b, _ in progress.recent], default=batch) - 1
-        known = -1 if progress.full_totals is None else progress.full_totals
-        return upto if upto > known else progress.full_totals
-
-    def _progress_after(self, scored: DataFrame, batch: int, progress: Progress) -> Progress:
-        newest = scored.agg(F.max("sec")).first()[0]
-        high = max((x for x in (progress.high_water, newest) if x is not None), default=None)
-        recent = [*progress.recent, *([[batch, newest]] if newest is not None else [])]
-        # Rows may still come as late as the allowed lateness, and look back one hour.
-        if high is not None:
-            recent = [r for r in recent if r[1] >= high - self.lateness_seconds - S.ONE_HOUR]
-        return Progress(high, recent, self._full_after(batch, progress))
+        totals, garbage = dict(progress.totals), [f"{t}/batch={batch}" for t in ("intake", "checked")]
+        for kept, delta in ((self.users, arrived.filter("user_id IS NOT NULL")), (self.addresses, addresses)):
+            after, gone = kept.merge(Buckets(**totals.get(kept.name, {})), self.store.write(delta, f"{kept.name}_delta", batch), batch)
+            totals[kept.name] = asdict(after)
+            garbage += [*gone, f"{kept.name}_delta/batch={batch}"]
+        at_hand = scored.select(*_RECENT.names).filter(F.col("sec") >= (0 if horizon is None else horizon))
+        hours, gone = self.rows.add(progress.hours, at_hand, horizon, batch)
+        return Progress(high, hours, totals, garbage + gone)
+
+    # ---- late rows ----
+    def replay_late(self) -> int:
+        """Scores late rows at their own time and corrects the rows they would have changed; returns how many rows.
+
+        See `replay`. A late row takes address risk and safe average as they are now; a row that was published
+        keeps its own. Both go to `corrections` with their whole vector, score and explanation.
+        """
+        store = self.store
+
+        def whole(found: DataFrame, late: DataFrame) -> DataFrame:
+            last = store.last_committed()
+            progress = store.progress_before(last + 1)
+            users, addresses = self.totals(self.users, progress, late), self.totals(self.addresses, progress, late.filter(~is_blank(F.col("ip_address"))))
+            ts = F.col("creation_date_time")
+            average = F.col("_safe").cast("double") / F.nullif(F.col("_safe_n"), F.lit(0))
+            rows = (
+                enrich(late, self.dims.users, self.dims.merchants, self.dims.cards, self.dims.devices)
+                .join(users.select("user_id", F.col("safe_n").alias("_safe_n"), F.col("safe_amount").alias("_safe")), "user_id", "left")
+                .join(addresses.select("ip_address", (F.col("points") / F.col("n")).alias("ip_risk_score")), "ip_address", "left")
+                .withColumns({
+                    "ip_risk_score": F.coalesce("ip_risk_score", F.lit(0.0)), "hour_of_day": hour_of_day(ts), "day_of_week": iso_weekday(ts),
+                    "user_average_amount": F.when(average > 0, average).otherwise(F.lit(S.COLD_START_AVERAGE)),
+                    "card_age_days": whole_days(F.col("card_created_at"), ts), "user_account_age_days": whole_days(F.col("user_created_at"), ts)})
+            )
+            kept = [*S.TRANSACTION_SCHEMA.names, "sec", *[f for f in S.BASE_FEATURES if f not in ("amount", "amount_to_average_ratio", *VELOCITY_COLUMNS,
+                                                                                                   "user_historical_transaction_count")]]
+            fresh = [c for c in kept if c in rows.columns]
+            published = store.committed("vectors").select(*fresh).unionByName(rows.select(*fresh))
+            out = published.join(found, "transaction_id")
+            if not self.safe_only:
+                out = out.withColumn("user_average_amount", F.coalesce("_average", "user_average_amount"))
+            out = out.withColumn("amount_to_average_ratio", amount_to_average_ratio(F.col("amount"), F.col("user_average_amount")))
+            vectors = engineer_features(out).select("kind", *S.TRANSACTION_SCHEMA.names, "sec", *[f for f in S.FEATURES if f != "amount"])
+            return self._scored(vectors)
+
+        return replay(store, "vectors", self.ttl_seconds, whole)
 
 
 def start_scoring(stream: DataFrame, settings: ScoringStream, checkpoint: str, *, once: bool = False) -> StreamingQuery:
@@ -266,20 +289,91 @@ def velocity_stream(
         out = velocity_features(recent.unionByName(fresh), ttl_seconds=ttl_seconds).join(
             fresh.select("transaction_id", "user_id", "sec"), "transaction_id")
         if ttl_seconds is None:
-            seen = settings._totals("user_totals", _USER_TOTALS, progress, batch, "user_id", fresh).select("user_id", "last_sec")
+            seen = settings.totals(settings.users, progress, fresh).select("user_id", "last_sec")
             since = F.col("seconds_since_last_transaction")
             out = out.join(seen, "user_id", "left").withColumn(
                 "seconds_since_last_transaction",
                 F.when((since == S.NO_PREVIOUS_SECONDS) & F.col("last_sec").isNotNull(), F.col("sec") - F.col("last_sec")).otherwise(since))
         store.write(out.drop("user_id", "sec", "last_sec"), "velocity", batch)
-        settings._write_totals(fresh.withColumns({"is_marked_as_safe": F.lit(False), "risk_level": F.lit("LOW")}), batch, progress)
-        store.commit(batch, settings._progress_after(fresh, batch, progress))
+        store.commit(batch, settings._progress_after(
+            fresh.withColumns({"is_marked_as_safe": F.lit(False), "risk_level": F.lit("LOW")}), recent, batch, progress))
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def expire(spark: SparkSession, store: BatchStore, batch: int) -> list[int]:
-    """Batches whose rows the stream will not read again after `batch`: free to archive."""
-    kept = {b for b, _ in store.progress_before(batch + 1).recent}
-    return [b for b in range(batch + 1) if b not in kept]
+_HISTORY = ["user_historical_transaction_count"]
+
+
+def replay(store: BatchStore, published: str, ttl_seconds: int | None, whole: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> int:
+    """Gives late rows their features and corrects the rows of the same users that they would have changed.
+
+    A late row enters the windows of its user's next hour, the pause of the user's next row and all later counts.
+    So of every user with late rows the rows from an hour before the first of them are worked out anew, with the
+    rows before that as totals, and what differs from `published` goes to `corrections` (kind `late` or
+    `corrected`), a folder a replay. `whole` makes corrections of (features, late rows) where more than the windows is
+    wanted. Late rows that were redelivered, or replayed before, are left out. Run it between batches.
+    """
+    spark, number = store.spark, store.count_of("replays")
+    known = store.committed("transactions").select(*_RECENT.names)
+    done = store.committed_of("replayed", number, _RECENT)
+    late = validate.deduplicate(store.committed("late").select(*_RECENT.names)).join(
+        known.unionByName(done).select("transaction_id"), "transaction_id", "left_anti")
+    late = store.write(late.select(*_RECENT.names), "replayed", number)
+    known = known.unionByName(done)
+    first = store.write(late.groupBy("user_id").agg(F.min("sec").alias("_first")), "replay_users", number)
+    mine = known.join(first, "user_id")
+    context = F.col("sec") >= F.col("_first") - S.ONE_HOUR
+    near = mine.filter(context).select(*_RECENT.names, F.lit(0).alias("_late")).unionByName(late.select(*_RECENT.names, F.lit(1).alias("_late")))
+    near = store.write(near, "replay_rows", number)
+    older = mine.filter(~context).groupBy("user_id").agg(
+        F.count("*").alias("_older"), F.max("sec").alias("_last"), F.sum("amount").alias("_older_amount"))
+    counted = running(near, ["user_id"], ["sec", "transaction_id"], {"_before": Agg("sum", F.lit(1)), "_sum": Agg("sum", F.col("amount"))})
+    since, count = F.col("seconds_since_last_transaction"), F.coalesce("_older", F.lit(0)) + F.coalesce("_before", F.lit(0))
+    amount = F.coalesce(F.col("_older_amount"), F.lit(0)) + F.coalesce(F.col("_sum"), F.lit(0))
+    average = amount.cast("double") / F.nullif(count, F.lit(0))
+    found = (
+        velocity_features(near.drop("_late", "sec"), ttl_seconds=ttl_seconds)
+        .join(counted.select("transaction_id", "user_id", "sec", "_late", "_before", "_sum"), "transaction_id")
+        .join(older, "user_id", "left").join(first, "user_id").filter(F.col("sec") >= F.col("_first"))
+        .withColumns({
+            "seconds_since_last_transaction": F.when(
+                (since == S.NO_PREVIOUS_SECONDS) & F.col("_last").isNotNull() & F.lit(ttl_seconds is None), F.col("sec") - F.col("_last")).otherwise(since),
+            "user_historical_transaction_count": count.cast("long"),
+            "_average": F.when(average > 0, average).otherwise(F.lit(S.COLD_START_AVERAGE)),
+            "kind": F.when(F.col("_late") == 1, "late").otherwise("corrected")})
+    )
+    columns = [*VELOCITY_COLUMNS, *[c for c in _HISTORY if whole is not None]]
+    as_published = corrected(store, published, columns)
+    differs = F.lit(False)
+    for c in columns:
+        differs = differs | ~F.col(c).cast("double").eqNullSafe(F.col(f"_{c}").cast("double"))
+    changed = found.select("transaction_id", *columns, "_average", "kind").join(
+        as_published.select("transaction_id", *[F.col(c).alias(f"_{c}") for c in columns]), "transaction_id", "left")
+    changed = changed.filter((F.col("kind") == "late") | differs).drop(*[f"_{c}" for c in columns])
+    out = store.write(changed.drop("_average") if whole is None else whole(store.write(changed, "replay_found", number), late), "corrections", number)
+    n = out.count()
+    store.write(spark.createDataFrame([(n,)], "n long"), "replays", number)
+    store.remove([f"{t}/batch={number}" for t in ("replay_users", "replay_rows", "replay_found")])
+    return n
+
+
+def corrected(store: BatchStore, published: str, columns: list[str]) -> DataFrame:
+    """transaction_id and columns as of the last replay: the corrections, and what is published of the other rows."""
+    rows = store.committed(published).select("transaction_id", *columns)
+    number = store.count_of("replays")
+    if not number:
+        return rows
+    newest = store.committed_of("corrections", number, T.StructType([*rows.schema.fields]), with_batch=True).groupBy("transaction_id").agg(
+        F.max_by(F.struct(*columns), "batch").alias("_c")).select("transaction_id", "_c.*")
+    return rows.join(newest.select("transaction_id"), "transaction_id", "left_anti").unionByName(newest)
+
+
+def expire(store: BatchStore, batch: int) -> list[str]:
+    """Removes now what the stream will not read again after `batch`, and names it; the next commit would.
+
+    The batch cannot be run again afterwards.
+    """
+    gone = store.progress_before(batch + 1).garbage
+    store.remove(gone)
+    return gone

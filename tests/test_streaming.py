@@ -5,14 +5,15 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from riskflow import schemas as S
+from riskflow.operators.history import user_history
 from riskflow.operators.velocity import velocity_features
 from riskflow.plans.feature_vector import Dimensions
-from riskflow.streaming import scoring
+from riskflow.streaming import scoring, state
 from riskflow.streaming.scoring import ScoringStream
-from riskflow.streaming.store import BatchStore, Progress
+from riskflow.streaming.store import BatchStore
 
 T0 = datetime(2024, 1, 1, 10, 0, 0)
 
@@ -94,8 +95,9 @@ def test_velocity_stream_keeps_late_rows_and_late_repeats_aside(spark, tmp_path)
     deliver((1, 0), (4, 1100), (5, 89_400), (3, 90_000), (6, 90_010))
     assert sorted(r.transaction_id for r in store.committed("velocity").collect()) == ["t1", "t2", "t3", "t5", "t6"]
     assert sorted(r.transaction_id for r in store.committed("late").collect()) == ["t1", "t4"]
-    totals = [r.n for r in store.committed("user_totals_delta").orderBy("batch").collect()]
-    assert totals == [3, 2]
+    stream = ScoringStream(store, None, None)
+    keys = spark.createDataFrame([("u1",)], "user_id string")
+    assert [r.n for r in stream.totals(stream.users, store.progress_before(store.last_committed() + 1), keys).collect()] == [5]
     got = {r.transaction_id: r.user_transaction_count_1hour for r in store.committed("velocity").collect()}
     assert got["t5"] == 0 and got["t6"] == 2
 
@@ -124,19 +126,21 @@ def test_totals_are_cut_to_the_keys_of_the_batch(settings):
     run(settings, 0, message(1), message(2, "u2"))
     keys = settings.store.spark.createDataFrame([("u2",)], "user_id string")
     progress = settings.store.progress_before(1)
-    got = settings._totals("user_totals", scoring._USER_TOTALS, progress, 1, "user_id", keys).collect()
+    got = settings.totals(settings.users, progress, keys).collect()
     assert [(r.user_id, r.n) for r in got] == [("u2", 1)]
 
 
-def test_totals_fold_without_changing_results(settings, monkeypatch):
-    monkeypatch.setattr(scoring, "COMPACT_EVERY", 2)
+def test_merged_rows_and_split_buckets_change_no_result(settings, monkeypatch):
+    monkeypatch.setattr(state, "MERGE", 2)
+    monkeypatch.setattr(state, "BUCKET_ROWS", 1)
     times = [0, 5000, 10_000, 15_000, 14_500, 20_000]
     for b, at in enumerate(times):
-        run(settings, b, message(b, at=at, amount=10 * (b + 1)))
-    assert settings.store.progress_before(len(times)).full_totals is not None
-    tx = settings.store.committed("transactions")
+        run(settings, b, message(b, at=at, amount=10 * (b + 1)), message(100 + b, "u2", at=at))
+    progress = settings.store.progress_before(len(times))
+    assert progress.totals["user_totals"]["depth"] > 0
+    tx = settings.store.committed("transactions").filter("user_id = 'u1'")
     want = {r.transaction_id: r.seconds_since_last_transaction for r in velocity_features(tx).collect()}
-    got = {r.transaction_id: r for r in settings.store.committed("scored").collect()}
+    got = {r.transaction_id: r for r in settings.store.committed("scored").filter("user_id = 'u1'").collect()}
     # The row of batch 3 was scored before the earlier one of batch 4 arrived.
     assert {k: v.seconds_since_last_transaction for k, v in got.items() if k not in ("t3", "t5")} == {
         k: v for k, v in want.items() if k not in ("t3", "t5")}
@@ -144,10 +148,89 @@ def test_totals_fold_without_changing_results(settings, monkeypatch):
     assert got["t5"].user_historical_transaction_count == 5 and got["t5"].user_average_amount == 30
 
 
-def test_expired_batches_are_those_out_of_reach(spark, settings):
-    settings.store.commit(0, Progress(0, [[0, 0]], None))
-    settings.store.commit(1, Progress(90_000, [[1, 90_000]], None))
-    assert scoring.expire(spark, settings.store, 1) == [0]
+def test_what_a_batch_reads_does_not_grow_with_batches_or_keys(spark, tmp_path, monkeypatch):
+    """Totals of ever more keys: a batch of two keys reads two buckets of bounded size, and replaced files go."""
+    monkeypatch.setattr(state, "BUCKET_ROWS", 20)
+    store = BatchStore(spark, str(tmp_path / "s"))
+    kept, at, gone = state.KeyedTotals(store, "user_totals", "user_id", scoring._USER_TOTALS, ("last_sec",)), state.Buckets(), []
+    for b in range(6):
+        rows = spark.range(100 * b, 100 * (b + 1)).select(
+            F.concat(F.lit("u"), "id").alias("user_id"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("safe_n"),
+            F.lit(0).cast("decimal(29,2)").alias("safe_amount"), F.lit(b).cast("long").alias("last_sec"))
+        store.remove(gone)
+        at, gone = kept.merge(at, rows.unionByName(rows.limit(1).withColumn("user_id", F.lit("u7"))), b)
+        sizes = [n for _, n in at.parts.values()]
+        assert sum(sizes) == 100 * (b + 1) and max(sizes) < 60
+        keys = spark.createDataFrame([("u7",), ("u55",), ("nobody",)], "user_id string")
+        assert len(kept.paths(at, kept._touched(at, keys))) <= 3
+        assert {r.user_id: r.n for r in kept.lookup(at, keys).collect()} == {"u7": b + 2, "u55": 1}
+    store.remove(gone)
+    left = {str(p.parent.relative_to(tmp_path / "s")) for p in (tmp_path / "s").rglob("*.parquet")}
+    assert left == set(kept.paths(at))
+
+
+def test_rows_behind_the_horizon_are_removed(spark, settings, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "MERGE", 3)
+    for b in range(6):
+        run(settings, b, message(b, at=1800 * b))
+    progress = settings.store.progress_before(6)
+    horizon = settings._horizon(progress.high_water)
+    assert sorted(r.transaction_id for r in settings.recent(progress).collect()) == [f"t{b}" for b in range(6) if 1800 * b >= 9000 - 600 - 3600]
+    assert all(int(h) >= horizon // 3600 for h in progress.hours) and sum(map(len, progress.hours.values())) <= 6
+    gone = scoring.expire(settings.store, 5)
+    assert any(p.startswith("recent_0") for p in gone)
+    files = {str(p.parent.relative_to(tmp_path / "store")) for t in ("recent_*", "user_totals_0", "ip_totals_0") for p in (tmp_path / "store").glob(f"{t}/**/*.parquet")}
+    assert files == set(settings.rows.paths(progress.hours)) | set(settings.users.paths(state.Buckets(**progress.totals["user_totals"]))) | set(
+        settings.addresses.paths(state.Buckets(**progress.totals["ip_totals"])))
+    assert not (tmp_path / "store" / "intake").exists() or not list((tmp_path / "store" / "intake").glob("batch=*"))
+
+
+@pytest.mark.parametrize("ttl", [None, 600])
+def test_late_rows_are_replayed_and_others_corrected(settings, ttl):
+    """After the replay every row has the features of a stream in time order."""
+    settings.ttl_seconds = ttl
+    at = {1: 0, 2: 500, 3: 900, 4: 3000, 5: 4500, 6: 20_000, 7: 20_300, 8: 90_000, 9: 400, 10: 700, 11: 20_200, 12: 700}
+    of = lambda i: message(i, "u2" if i == 12 else "u1", at=at[i], amount=i, merchant="m2" if i % 3 else "m1")
+    run(settings, 0, *[of(i) for i in (1, 2, 3, 4, 5)])
+    run(settings, 1, *[of(i) for i in (6, 7)])
+    run(settings, 2, of(8), of(9), of(10))
+    assert settings.replay_late() > 2
+    run(settings, 3, of(11), of(12), of(9))
+    assert settings.replay_late() > 2 and settings.replay_late() == 0
+    names = [*scoring.VELOCITY_COLUMNS, "user_historical_transaction_count", "user_average_amount"]
+    got = {r.transaction_id: tuple(r)[1:] for r in scoring.corrected(settings.store, "vectors", names).collect()}
+    tx = settings.store.committed("transactions").select(*S.TRANSACTION_SCHEMA.names).unionByName(
+        settings.store.committed("late").select(*S.TRANSACTION_SCHEMA.names).dropDuplicates(["transaction_id"]))
+    want = {r.transaction_id: tuple(r)[1:] for r in velocity_features(tx, ttl_seconds=ttl).join(
+        user_history(tx, None), "transaction_id").select("transaction_id", *names).collect()}
+    assert got == want and len(got) == 12
+    kinds = {r.transaction_id: r.kind for r in settings.store.spark.read.parquet(f"{settings.store.root}/corrections").collect() if r.kind == "late"}
+    assert set(kinds) == {"t9", "t10", "t11", "t12"}
+
+
+def test_streamed_alerts_carry_their_payload(settings, monkeypatch):
+    monkeypatch.setattr(settings, "_scored", lambda v: v.withColumns({
+        "raw_probability": F.lit(0.9), "fraud_probability": F.lit(0.9), "risk_level": F.lit("HIGH"), "model_version": F.lit("x")}))
+    run(settings, 0, message(1, at=7))
+    task = settings.store.committed("tasks").first()
+    assert (task.status, task.attempts, task.next_retry_at) == ("PENDING_LLM", 0, T0 + timedelta(seconds=7))
+    payload = json.loads(task.payload)
+    assert payload["transaction_id"] == "t1" and payload["fraud_probability"] == 0.9 and "is_night" in payload
+
+
+def test_rows_are_scored_by_the_release_of_their_own_time(settings, monkeypatch):
+    class Named:
+        def __init__(self, version):
+            self.version = version
+
+    monkeypatch.setattr(scoring, "score", lambda v, b: v.withColumns({
+        "raw_probability": F.lit(0.1), "fraud_probability": F.lit(0.1), "risk_level": F.lit("LOW"), "model_version": F.lit(b.version)}))
+    monkeypatch.setattr(scoring, "explain", lambda v, b: v.withColumn("contributions", F.array().cast(T.ArrayType(S.CONTRIBUTION_TYPE))))
+    start = int((T0 - datetime(1970, 1, 1)).total_seconds())
+    settings.releases = lambda low, high: [(start - 5, Named("a")), (start + 100, Named("b"))]
+    run(settings, 0, message(1, at=0), message(2, at=99), message(3, at=100), message(4, "u2", at=400))
+    run(settings, 1)
+    assert {r.transaction_id: r.model_version for r in settings.store.committed("scored").collect()} == {"t1": "a", "t2": "a", "t3": "b", "t4": "b"}
 
 
 def test_empty_batch(settings):

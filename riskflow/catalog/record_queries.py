@@ -297,6 +297,17 @@ def b17_features(spark, sf):
         line("Is Night").alias("night_line"))
 
 
+_LEFT_OUT = ("ip_risk_score", "is_night")
+
+
+@query("b13_contract_report", ", f(feature) AS (VALUES " + ", ".join(f"('{n}')" for n in S.FEATURES) + f""")
+    SELECT feature, feature NOT IN {_LEFT_OUT} AS available, CASE WHEN feature IN {_LEFT_OUT} THEN 0 ELSE n END AS present
+    FROM f, (SELECT count(*) AS n FROM transactions) t""", ("transactions",))
+def b13(spark, sf):
+    """The feature table without two of its columns, against what a model asks for."""
+    return validate.contract_report(feature_table(spark, sf).drop(*_LEFT_OUT), S.FEATURES)
+
+
 @query("b18_alert_html")
 def b18(spark, sf):
     explanations = alerts.alert_context(_alerted(spark, sf)).withColumnRenamed("context", "explanation")

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskflow import schemas as S
+from riskflow.catalog.checks import add_block
+from riskflow.catalog.feature_queries import _DIGITS, _shown
 from riskflow.catalog.inputs import dimensions, feature_table, once, predictions, rounded, training_set, transactions
 from riskflow.catalog.registry import query
 from riskflow.ml import bundle as bundles
 from riskflow.ml import contributions as explaining
 from riskflow.ml import training
 from riskflow.operators import messages
+from riskflow.operators.history import risk_points
+from riskflow.operators.velocity import VELOCITY_COLUMNS
 from riskflow.session import shared_dir
 from riskflow.sources.files import read_transactions_stream
 from riskflow.streaming import aggregates
-from riskflow.streaming.scoring import ScoringStream, start_scoring, velocity_stream
+from riskflow.streaming.scoring import ScoringStream, corrected, replay, start_scoring, velocity_stream
 from riskflow.streaming.store import BatchStore
 
 
@@ -119,15 +123,15 @@ def _deliveries():
     return [ts < first, (ts >= first) & (ts < second), ts >= second]
 
 
-def _replay(df, path, write, start):
-    """Delivers the rows in three parts; after each the stream runs until it has taken all files."""
-    for part in _deliveries():
+def _replay(df, path, write, start, deliveries=None):
+    """Delivers the rows in parts, three unless given; after each the stream runs until it has taken all files."""
+    for part in deliveries or _deliveries():
         write(df.filter(part).write.mode("append"), path)
         start().awaitTermination()
 
 
-def _replay_transactions(spark, path, df, schema, start):
-    _replay(df, path, lambda w, p: w.parquet(p), lambda: start(spark.readStream.schema(schema).parquet(path)))
+def _replay_transactions(spark, path, df, schema, start, deliveries=None):
+    _replay(df, path, lambda w, p: w.parquet(p), lambda: start(spark.readStream.schema(schema).parquet(path)), deliveries)
 
 
 @query("a1_transactions_stream", "SELECT transaction_id, user_id, CAST(amount AS DOUBLE) AS amount FROM transactions", ("transactions",))
@@ -141,12 +145,16 @@ def a1(spark, sf):
     return rounded(spark.read.parquet(out).select("transaction_id", "user_id", "amount"))
 
 
-def _velocity_replay(spark, sf, ttl):
-    store = BatchStore(spark, shared_dir(spark, "velocity"))
+def _velocity_store(spark, sf, path, ttl, deliveries=None) -> BatchStore:
+    store = BatchStore(spark, path)
     _replay_transactions(
         spark, store.root + "-in", transactions(spark, sf).select(*S.TRANSACTION_SCHEMA.names), S.TRANSACTION_SCHEMA,
-        lambda stream: velocity_stream(stream, store, store.root + "-state", ttl_seconds=ttl))
-    return rounded(store.committed("velocity").drop("batch"), 2)
+        lambda stream: velocity_stream(stream, store, store.root + "-state", ttl_seconds=ttl), deliveries)
+    return store
+
+
+def _velocity_replay(spark, sf, ttl):
+    return rounded(_velocity_store(spark, sf, shared_dir(spark, "velocity"), ttl).committed("velocity").drop("batch"), 2)
 
 
 @query("h2_velocity_stream", """
@@ -164,12 +172,22 @@ def h3(spark, sf):
 
 
 def _scoring(spark, sf) -> BatchStore:
-    """One run of the whole scoring stream over the message files."""
+    """One run of the whole scoring stream over the message files. Releases: the first before all rows, one amid the
+    second delivery, and one that does not load."""
 
     def build(path):
         b = _bundle(spark, sf)
+        root, registry = path + "-models", path + "-registry"
+        for version, day, loads in (("1.0.0", "2023-12-31 00:00:00", True), ("2.0.0", _SWAP, True), ("3.0.0", "2024-01-25 00:00:00", False)):
+            if loads:
+                b.version = version
+                bundles.save_bundle(b, spark, root)
+            seconds = spark.sql(f"SELECT unix_seconds(TIMESTAMP '{day} UTC')").first()[0]
+            bundles.publish_release(spark, registry, f"{S.MODEL_PREFIX}{version}", "models", seconds)
+        active = bundles.ActiveModel(spark, registry, root)
         # The derived transactions name unknown devices on purpose; here they are scored as untrusted, so that every row is compared.
-        settings = ScoringStream(BatchStore(spark, path), dimensions(spark, sf), lambda: b, now=_now(), refuse_unknown_devices=False)
+        settings = ScoringStream(BatchStore(spark, path), dimensions(spark, sf), None, now=_now(), safe_only=False,
+                                 refuse_unknown_devices=False, releases=active.in_force)
         rows = transactions(spark, sf).select("creation_date_time", messages.created_value().alias("value"))
         _replay(rows, path + "-in", lambda w, p: w.parquet(p), lambda: start_scoring(
             spark.readStream.schema(rows.schema).parquet(path + "-in"), settings, path + "-state", once=True))
@@ -177,15 +195,83 @@ def _scoring(spark, sf) -> BatchStore:
     return BatchStore(spark, once(spark, sf, "scoring", build))
 
 
-@query("h1_scoring_stream", """
-    SELECT t.transaction_id, t.user_transaction_count_1hour, t.distinct_merchant_count_1hour, t.seconds_since_last_transaction,
-      h.user_historical_transaction_count, 100.0::DOUBLE AS user_average_amount
-    FROM ttl_velocity t JOIN history h USING (transaction_id)""", ("ttl_velocity", "history"))
+_SWAP = "2024-01-15 12:00:00"
+#: Address risk reads earlier predictions, which no SQL knows: h1_address_risk_stream has it and what it enters.
+_OF_ADDRESS = {"ip_risk_score", "risk_score_product", "ip_device_risk", "country_ip_risk"}
+_STREAMED = [f for f in S.FEATURES if f not in _OF_ADDRESS]
+add_block("stream_base", ("enriched", "ttl_velocity", "history"), """
+    SELECT e.*, v.* EXCLUDE (transaction_id), h.* EXCLUDE (transaction_id),
+      round(CAST(e.amount AS DOUBLE) / greatest(h.user_average_amount, 1.0), 4) AS amount_to_average_ratio,
+      hour(e.creation_date_time) AS hour_of_day, isodow(e.creation_date_time) AS day_of_week,
+      CAST(floor((epoch_us(e.creation_date_time) // 1000000 - epoch_us(e.card_created_at) // 1000000) / 86400) AS BIGINT) AS card_age_days,
+      CAST(floor((epoch_us(e.creation_date_time) // 1000000 - epoch_us(e.user_created_at) // 1000000) / 86400) AS BIGINT) AS user_account_age_days
+    FROM enriched e JOIN ttl_velocity v USING (transaction_id) JOIN history h USING (transaction_id)""")
+add_block("stream_features", ("stream_base",), """
+    SELECT *, ln(1 + CAST(amount AS DOUBLE)) AS log_amount, ln(1 + seconds_since_last_transaction) AS log_seconds_since,
+      ln(1 + amount_velocity_1hour) AS log_velocity_1hour, CAST(amount AS DOUBLE) * merchant_risk_score AS amount_x_merchant_risk,
+      user_transaction_count_1hour * amount_to_average_ratio AS velocity_amount_interaction,
+      CAST(user_transaction_count_5min AS DOUBLE) / greatest(seconds_since_last_transaction, 1) AS recency_velocity,
+      abs(CAST(amount AS DOUBLE) - user_average_amount) / greatest(user_average_amount, 1.0) AS amount_deviation,
+      hour_of_day < 6 OR hour_of_day >= 22 AS is_night, amount_velocity_1hour / greatest(user_transaction_count_1hour, 1) AS velocity_intensity
+    FROM stream_base""")
+
+
+@query("h1_scoring_stream", f"SELECT transaction_id, {_shown(_STREAMED)} FROM stream_features", ("stream_features",))
 def h1(spark, sf):
-    """Stream features equal the batch ones. No row is marked safe, so averages stay cold."""
-    return _scoring(spark, sf).committed("scored").select(
-        "transaction_id", "user_transaction_count_1hour", "distinct_merchant_count_1hour", "seconds_since_last_transaction",
-        "user_historical_transaction_count", "user_average_amount")
+    """Stream features equal the batch ones, all but those of the address."""
+    return rounded(_scoring(spark, sf).committed("scored").select("transaction_id", *_STREAMED), digits=_DIGITS)
+
+
+@query("h1_address_risk_stream", "SELECT transaction_id, true AS same FROM transactions", ("transactions",))
+def h1_address(spark, sf):
+    """Address risk is that of the predictions of the batches before, and enters the three features made of it."""
+    from pyspark.sql import Window
+
+    rows = _scoring(spark, sf).committed("scored")
+    by_batch = rows.filter("trim(coalesce(ip_address, '')) <> ''").groupBy("ip_address", "batch").agg(
+        F.sum(risk_points(F.col("risk_level"))).alias("p"), F.count("*").alias("n"))
+    before = Window.partitionBy("ip_address").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    known = by_batch.select("ip_address", "batch", (F.sum("p").over(before) / F.sum("n").over(before)).alias("risk"))
+    risk, near = F.coalesce("risk", F.lit(0.0)), lambda c, v: F.abs(F.col(c) - v) < 1e-9
+    same = (
+        near("ip_risk_score", risk) & near("risk_score_product", risk * F.col("merchant_risk_score"))
+        & near("ip_device_risk", risk * (1 - F.col("is_device_trusted").cast("int"))) & near("country_ip_risk", risk * F.col("has_country_mismatch").cast("int")))
+    return rows.join(known, ["ip_address", "batch"], "left").select("transaction_id", same.alias("same"))
+
+
+@query("h1_refused_devices", """
+    SELECT t.transaction_id, 'Device not found' AS reason FROM transactions t LEFT JOIN devices d USING (device_id)
+    WHERE t.device_id IS NOT NULL AND d.device_id IS NULL""", ("transactions", "devices"))
+def h1_refused(spark, sf):
+    """The stream as it is by default: rows of unknown devices are dead letters."""
+    store = BatchStore(spark, shared_dir(spark, "refusing"))
+    settings = ScoringStream(store, dimensions(spark, sf), None, now=_now())
+    rows = transactions(spark, sf).select("creation_date_time", messages.created_value().alias("value"))
+    _replay(rows, store.root + "-in", lambda w, p: w.parquet(p), lambda: start_scoring(
+        spark.readStream.schema(rows.schema).parquet(store.root + "-in"), settings, store.root + "-state", once=True), [F.lit(True)])
+    return store.committed("dead_letters").select(F.get_json_object("record", "$.transaction_id").alias("transaction_id"), "reason")
+
+
+@query("h7_streamed_alerts", "SELECT transaction_id, true AS right_task FROM transactions", ("transactions",))
+def h7_streamed(spark, sf):
+    """A task for every HIGH row and no other, due at the row's time, with the row as payload."""
+    store = _scoring(spark, sf)
+    tasks = store.committed("tasks").select("transaction_id", "status", "attempts", "next_retry_at", "payload")
+    value = lambda name: F.get_json_object("payload", f"$.{name}")
+    whole = (
+        (F.col("status") == "PENDING_LLM") & (F.col("attempts") == 0) & (F.col("next_retry_at") == F.col("creation_date_time"))
+        & (value("user_id") == F.col("user_id")) & (value("model_version") == F.col("model_version"))
+        & (F.abs(value("fraud_probability").cast("double") - F.col("fraud_probability")) < 1e-12) & (value("is_night").cast("boolean") == F.col("is_night")))
+    right = F.when(F.col("risk_level") == "HIGH", F.coalesce(whole, F.lit(False))).otherwise(F.col("status").isNull())
+    return store.committed("scored").join(tasks, "transaction_id", "left").select("transaction_id", right.alias("right_task"))
+
+
+@query("h9_swapped_in_stream", f"""
+    SELECT transaction_id, CASE WHEN creation_date_time < TIMESTAMP '{_SWAP}' THEN '1.0.0' ELSE '2.0.0' END AS model_version FROM transactions""",
+       ("transactions",))
+def h9_stream(spark, sf):
+    """Each row is scored by the release of its own time; the one that does not load changes nothing."""
+    return _scoring(spark, sf).committed("predictions").select("transaction_id", "model_version")
 
 
 @query("a6_persisted_tables", """
@@ -195,7 +281,7 @@ def a6(spark, sf):
     return (
         store.committed("transactions").select("transaction_id", "user_id")
         .join(store.committed("vectors").select("transaction_id", "hour_of_day"), "transaction_id")
-        .join(store.committed("predictions").select("transaction_id", F.when(F.col("model_version") == "1.0.0", "lgbm").alias("family")), "transaction_id")
+        .join(store.committed("predictions").select("transaction_id", F.when(F.col("model_version").isin("1.0.0", "2.0.0"), "lgbm").alias("family")), "transaction_id")
     )
 
 
@@ -204,10 +290,34 @@ def a5_stream(spark, sf):
     return _scoring(spark, sf).committed("published").select("key", F.get_json_object("value", "$.userId").alias("user_id"))
 
 
-@query("h5_late_rows", "SELECT count(*) AS late FROM transactions WHERE false", ("transactions",))
+def _held_back():
+    """One in seventeen rows of the first delivery comes with the last one, ten days late."""
+    first, second, third = _deliveries()
+    held = first & (F.substring("transaction_id", 4, 20).cast("long") % 17 == 3)
+    return [first & ~held, second, third | held]
+
+
+def _late(spark, sf) -> BatchStore:
+    def build(path):
+        replay(_velocity_store(spark, sf, path, None, _held_back()), "velocity", None)
+
+    return BatchStore(spark, once(spark, sf, "late", build))
+
+
+@query("h5_late_rows", """
+    SELECT transaction_id FROM transactions WHERE CAST(substr(transaction_id, 4) AS BIGINT) % 17 = 3 AND creation_date_time < TIMESTAMP '2024-01-11 00:00:00'""",
+       ("transactions",))
 def h5(spark, sf):
-    """In time order no row is late."""
-    return _scoring(spark, sf).committed("late").agg(F.count("*").alias("late"))
+    """The rows that were held back are late, and no others."""
+    return _late(spark, sf).committed("late").select("transaction_id")
+
+
+@query("h5_replayed_features", """
+    SELECT v.transaction_id, user_transaction_count_5min, user_transaction_count_1hour, round(amount_velocity_1hour, 2) AS amount_velocity_1hour,
+      distinct_merchant_count_1hour, seconds_since_last_transaction FROM velocity v JOIN recency USING (transaction_id)""", ("velocity", "recency"))
+def h5_replayed(spark, sf):
+    """After late rows are replayed every row has the features it has in time order."""
+    return rounded(corrected(_late(spark, sf), "velocity", VELOCITY_COLUMNS), 2)
 
 
 @query("h4_deduplicated_stream", "SELECT transaction_id FROM transactions", ("transactions",))

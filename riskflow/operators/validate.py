@@ -127,6 +127,13 @@ def check_contract(df: DataFrame, required: list[str]) -> None:
         raise FeatureContractError("Missing required features: " + ", ".join(missing))
 
 
+def contract_report(df: DataFrame, required: list[str]) -> DataFrame:
+    """feature, available, present (rows that have a value; 0 where the column is missing): a row a required feature."""
+    counts = df.agg(*[F.count(n).alias(n) if n in df.columns else F.lit(0).cast("long").alias(n) for n in required])
+    listed = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(n in df.columns).alias("available"), F.col(n).alias("present")) for n in required])
+    return counts.select(F.inline(listed))
+
+
 def check_references(
     tx: DataFrame, users: DataFrame, merchants: DataFrame, cards: DataFrame, devices: DataFrame | None
 ) -> DataFrame:

@@ -228,6 +228,40 @@ def test_license_places(spark, none):
     assert license.scan(none).count() == 0
 
 
+def plain_share(words, template, slack):
+    """Largest share of the template's pairs in a window of diagonals, in the template's order."""
+    pairs = list(zip(template, template[1:]))
+    hits = [(p, t) for p in range(len(words) - 1) for t in range(len(pairs)) if (words[p], words[p + 1]) == pairs[t]]
+    best = 0
+    for low in {p - t for p, t in hits}:
+        inside = sorted((p, t) for p, t in hits if low <= p - t <= low + slack)
+        run = []
+        for i, (p, t) in enumerate(inside):
+            run.append(1 + max((run[j] for j in range(i) if inside[j][0] < p and inside[j][1] < t), default=0))
+        best = max(best, *run)
+    return best / len(pairs)
+
+
+def test_license_labels_are_verified_in_order_and_templates_come_from_a_table(spark):
+    long = " ".join(f"word{i * 7 % 300}" for i in range(300))
+    bsd = next(p for p, n in license.NOTICES.items() if n == "bsd").split()
+    pairs = [bsd[i:i + 2] for i in range(len(bsd) - 1)]
+    texts = ["x " + " ".join(bsd), " ".join(w for p in reversed(pairs) for w in p), " ".join(w for p in pairs for w in p), long, " ".join(long.split()[40:]), " ".join(reversed(long.split())),
+             " ".join(w for i, w in enumerate(long.split()) for w in ([w, "and"] if i % 40 == 7 else [w])), " ".join(bsd[:6] + ["z"] * 9 + bsd[6:]), "released under the old mit license", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame([(n, t) for t, n in license.NOTICES.items()] + [("long", long), ("long", long), ("short", "word"), (None, "a b"), ("none", None)], "label string, text string")
+    for got in (license.scan(df, notices=table).collect(), license.scan(df, notices=table, sent_words=0).collect()):
+        by = {r.doc_id: r for r in got}
+        for i, text in enumerate(texts):
+            shares = {n: plain_share(text.split(), t.split(), max(license.SLACK, len(t.split()) // license.SLACK_WORDS)) for t, n in [*license.NOTICES.items(), (long, "long")]}
+            base = {n for p, n in license.BASE.items() if p in text}
+            assert set(filter(None, by[i].labels.split(","))) == base | {n for t, n in [*license.NOTICES.items(), (long, "long")] if plain_share(
+                text.split(), t.split(), max(license.SLACK, len(t.split()) // license.SLACK_WORDS)) >= license.LEAST_SHARE}, (i, shares)
+        assert by[0].labels == "bsd" and by[1].labels == "" and by[3].labels == by[4].labels == by[6].labels == "long" and by[5].labels == ""
+    with pytest.raises(ValueError, match="two words"):
+        license.scan(df, notices={"one": "x"})
+
+
 def test_bpe_equals_the_library(spark, docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -19,8 +19,9 @@ from riskflow.llm.common import materialize
 
 #: Width of the error bound in its own deviations: 2.5 leaves about one in a hundred outside on either side.
 BOUND = 2.5
-#: Rows and queries that one task holds together.
-ROW_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Rows and queries that one task holds together: 20 MB of 64 components. Of N rows and Q queries N x Q / QUERY_BLOCK +
+#: N x Q / ROW_BLOCK vectors are sent.
+ROW_BLOCK, QUERY_BLOCK = 32_768, 8192
 _SIGNS = (2.0 * ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1) - 1).T.astype(np.float32)  # [8, 256], as packbits orders bits
 
 
@@ -40,10 +41,18 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & e.isNotNull()).filter(whole).withColumn("dim", F.size("embedding"))
 
 
+def units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, lengths) of rows without zero vectors, of any size that a double has: no square overflows or vanishes."""
+    largest = np.abs(x).max(axis=1, keepdims=True)
+    unit = x / largest
+    length = np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    return unit / length, (largest * length)[:, 0]
+
+
 def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(packed signs, lengths, inner products of turned unit vector and signs) of the rows of x."""
-    length = np.sqrt((x * x).sum(axis=1))
-    turned = (x / length[:, None]) @ rotation(x.shape[1])
+    unit, length = units(x)
+    turned = unit @ rotation(x.shape[1])
     return np.packbits(turned > 0, axis=1), length, np.abs(turned).sum(axis=1) / np.sqrt(x.shape[1])
 
 
@@ -69,24 +78,24 @@ def index(vectors: DataFrame) -> DataFrame:
 def nearest(query: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, length: np.ndarray, fit: np.ndarray,
             k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers, exact scores) of the best k rows found, leaving out rows of the query's own id."""
-    dim = len(query)
+    # Scores are compared for the unit query: its length changes no order.
+    dim, unit = len(query), units(query[None])[0][0]
     turned = np.zeros(8 * codes.shape[1], np.float32)
-    turned[:dim] = query @ rotation(dim)
+    turned[:dim] = unit @ rotation(dim)
     table = turned.reshape(-1, 8) @ _SIGNS
     raw = table[0][codes[:, 0]]
     for b in range(1, codes.shape[1]):
         raw += table[b][codes[:, b]]
-    estimate = length * raw / (np.sqrt(dim) * fit)
-    error = length * np.sqrt(query @ query) * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit * bound / np.sqrt(max(1, dim - 1))
-    error += 1e-5 * length * np.sqrt(query @ query)  # the table is single precision
+    estimate = length * (raw / (np.sqrt(dim) * fit))
+    error = length * (np.sqrt(np.maximum(0, 1 - fit * fit)) / fit * bound / np.sqrt(max(1, dim - 1)) + 1e-5)  # the table is single precision
     estimate[ids == own] = -np.inf
-    exact = lambda rows: (x[rows] * query).sum(axis=1)  # noqa: E731  row by row, so equal vectors score alike
+    exact = lambda rows: (x[rows] * unit).sum(axis=1)
     first = np.argpartition(-estimate, min(2 * k, len(ids)) - 1)[:2 * k]
     first = first[ids[first] != own]
     least = np.sort(exact(first))[-k] if len(first) >= k else -np.inf
     rows = np.flatnonzero((estimate + error >= least) & (ids != own))
     rows = np.union1d(rows, first)
-    score = exact(rows)
+    score = (x[rows] * query).sum(axis=1)  # row by row, so equal vectors score alike
     order = np.lexsort((ids[rows], -score))[:k]
     return rows[order], score[order]
 
@@ -124,11 +133,12 @@ def search(coded: DataFrame, queries: DataFrame, k: int = 20, bound: float = BOU
     rows, asked = coded.count(), queries.count()
     n, m = max(1, -(-rows // row_block)), max(1, -(-asked // query_block))
     once = queries.groupBy("vec_id").agg(F.min(F.struct("dim", "vector", "code", "length", "fit")).alias("q")).select("vec_id", "q.*")
-    deal = lambda df, blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    # By the row's own number: rows that repeat an id, or repeat as a whole, go to different blocks.
+    deal = lambda blocks: F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(blocks)).cast("int")
     spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     columns = ["dim", "i", "j", "asked", "vec_id", "vector", "code", "length", "fit"]
-    left = coded.withColumn("asked", F.lit(False)).withColumn("i", deal(coded, n)).withColumn("j", spread(m)).select(*columns)
-    right = once.withColumn("asked", F.lit(True)).withColumn("j", deal(once, m)).withColumn("i", spread(n)).select(*columns)
+    left = coded.withColumn("asked", F.lit(False)).withColumn("i", deal(n)).withColumn("j", spread(m)).select(*columns)
+    right = once.withColumn("asked", F.lit(True)).withColumn("j", F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")).withColumn("i", spread(n)).select(*columns)
     found = left.union(right).groupBy("dim", "i", "j").applyInArrow(_search(k, bound), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -265,6 +265,6 @@ def compared(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     dealt = ranged.withColumn("to", F.explode(F.when(target.isNull(), F.array(own)).otherwise(F.array(own, lent))))
     return (
         dealt.select(F.col("to.part").alias("part"), "doc_id", "text", F.col("to.borrowed").alias("borrowed"))
-        .repartition(max(1, len(order)), "part").sortWithinPartitions("part", "borrowed", F.col("doc_id").asc_nulls_last(), "text")
+        .repartitionById(len(cuts) + 2, "part").sortWithinPartitions("part", "borrowed", F.col("doc_id").asc_nulls_last(), "text")
         .mapInArrow(_pairs, SCHEMA)
     )

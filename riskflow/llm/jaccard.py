@@ -226,6 +226,8 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = T
         "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
         F.col("first.doc_id").alias("key_id"), F.col("first.th").alias("key_th"))
     texts = keyed.join(members, F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("th") == F.col("key_th")))
+    # A row that repeats as a whole brings its text as often: one is kept, by task before they meet.
+    texts = texts.groupBy("node").agg(*[F.first(c).alias(c) for c in ("root", "blocks", "block", "text")])
     sets = texts.select("node", "root", "blocks", "block", "text").mapInArrow(
         _with_sets, "node binary, root binary, blocks int, block int, shingles binary")
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(

@@ -228,6 +228,29 @@ def test_license_places(spark, none):
     assert license.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e200, 1e-170, 1.0])
+def test_search_finds_rows_of_any_size(size):
+    hits = 0
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=(300, 32)) * (1e-175 if size == 1e-170 else 1.0)
+        q = rng.normal(size=32)
+        x[7] = q * size if size != 1e-170 else q / np.abs(q).max() * size
+        codes, length, fit = ann.encode(x)
+        found, score = ann.nearest(q, -1, np.arange(300), x, codes, length, fit, 5, ann.BOUND)
+        best = np.lexsort((np.arange(300), -(x * q).sum(axis=1)))[:5]
+        hits += len(set(found) & set(best))
+        assert found[0] == 7 and np.array_equal(score, (x[found] * q).sum(axis=1))
+    assert hits >= 95
+
+
+def test_rows_that_repeat_go_to_different_blocks(spark):
+    rows = [(1, [1.0, float(i)]) for i in range(3000)] + [(20, [0.0, 1.0])] + [(3, [0.0, 9000.0])] * 3
+    coded = ann.index(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4))
+    got = ann.search(coded, coded.filter("vec_id = 20"), 4, row_block=100).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(3, 9000.0)] * 3 + [(1, 2999.0)]
+
+
 def plain_share(words, template, slack):
     """Largest share of the template's pairs in a window of diagonals, in the template's order."""
     pairs = list(zip(template, template[1:]))

@@ -27,7 +27,7 @@ def _now():
 
 
 # ---- models ----
-def _bundle(spark, sf):
+def model_bundle(spark, sf):
     def build(path):
         bundles.save_bundle(training.train(training_set(spark, sf), "1.0.0"), spark, path)
 
@@ -49,7 +49,7 @@ def i1(spark, sf):
 
 @query("i3_training_metrics")
 def i3(spark, sf):
-    m = _bundle(spark, sf).metrics
+    m = model_bundle(spark, sf).metrics
     c = m["confusion_matrix"]
     return spark.createDataFrame(
         [(m["threshold"], m["average_precision"], m["accuracy"], m["precision"], m["recall"], m["f1_score"], c["tp"], c["fp"], c["tn"], c["fn"])],
@@ -59,12 +59,12 @@ def i3(spark, sf):
 @query("i4_search_trials")
 def i4(spark, sf):
     """The best point of the search, which the trained model takes."""
-    return spark.createDataFrame([(n, float(v)) for n, v in sorted(_bundle(spark, sf).params.items())], "parameter string, value double")
+    return spark.createDataFrame([(n, float(v)) for n, v in sorted(model_bundle(spark, sf).params.items())], "parameter string, value double")
 
 
 @query("i5_calibration_is_monotone", "SELECT true AS monotone, true AS in_unit_range")
 def i5(spark, sf):
-    scored = training.score(feature_table(spark, sf), _bundle(spark, sf))
+    scored = training.score(feature_table(spark, sf), model_bundle(spark, sf))
     steps = scored.groupBy(F.round("raw_probability", 3).alias("raw")).agg(
         F.min("fraud_probability").alias("low"), F.max("fraud_probability").alias("high"))
     # At most 1,001 rounded scores.
@@ -78,13 +78,13 @@ def i5(spark, sf):
 
 @query("i6_scored_transactions")
 def i6(spark, sf):
-    return training.score(feature_table(spark, sf), _bundle(spark, sf)).select(
+    return training.score(feature_table(spark, sf), model_bundle(spark, sf)).select(
         "transaction_id", "raw_probability", "fraud_probability", "risk_level", "model_version")
 
 
 @query("i7_contributions_add_up", "SELECT transaction_id, true AS adds_up FROM transactions", ("transactions",))
 def i7(spark, sf):
-    b = _bundle(spark, sf)
+    b = model_bundle(spark, sf)
     df = feature_table(spark, sf)
     raw = training.raw_scores(df, b.model, b.feature_names, b.feature_caps).select("transaction_id", "raw_probability")
     total = F.aggregate("phi", F.col("base"), lambda a, x: a + x)
@@ -95,14 +95,14 @@ def i7(spark, sf):
 
 @query("i7_explained_transactions")
 def i7_explained(spark, sf):
-    b = _bundle(spark, sf)
+    b = model_bundle(spark, sf)
     return explaining.explain(training.score(feature_table(spark, sf), b), b).select(
         "transaction_id", "fraud_probability", "risk_level", F.to_json("contributions").alias("contributions"))
 
 
 @query("i9_bundle_round_trip", "SELECT transaction_id, true AS same FROM transactions", ("transactions",))
 def i9(spark, sf):
-    b = _bundle(spark, sf)
+    b = model_bundle(spark, sf)
     again = bundles.load_bundle(spark, bundles.save_bundle(b, spark, shared_dir(spark, "again")))
     df = feature_table(spark, sf)
     first = training.score(df, b).select("transaction_id", F.col("fraud_probability").alias("p"))
@@ -112,7 +112,7 @@ def i9(spark, sf):
 
 @query("g2_top_importances")
 def g2(spark, sf):
-    return training.feature_importances(_bundle(spark, sf), spark)
+    return training.feature_importances(model_bundle(spark, sf), spark)
 
 
 # ---- streams ----
@@ -176,7 +176,7 @@ def _scoring(spark, sf) -> BatchStore:
     second delivery, and one that does not load."""
 
     def build(path):
-        b = _bundle(spark, sf)
+        b = model_bundle(spark, sf)
         root, registry = path + "-models", path + "-registry"
         for version, day, loads in (("1.0.0", "2023-12-31 00:00:00", True), ("2.0.0", _SWAP, True), ("3.0.0", "2024-01-25 00:00:00", False)):
             if loads:
@@ -338,7 +338,7 @@ def h4_stream(spark, sf):
 def h9(spark, sf):
     """Two releases: the second takes over, a broken third leaves it in force."""
     root, registry = shared_dir(spark, "swap"), shared_dir(spark, "registry")
-    first = _bundle(spark, sf)
+    first = model_bundle(spark, sf)
     bundles.save_bundle(first, spark, root)
     bundles.publish_release(spark, registry, "lgbm_1.0.0", "models", 1_704_067_200)
     active = bundles.ActiveModel(spark, registry, root)

@@ -12,6 +12,7 @@ from riskflow.catalog.registry import query
 from riskflow.ml import bundle as bundles
 from riskflow.ml import contributions as explaining
 from riskflow.ml import training
+from riskflow.ml.calibration import fit_isotonic
 from riskflow.operators import messages
 from riskflow.operators.history import risk_points
 from riskflow.operators.velocity import VELOCITY_COLUMNS
@@ -76,6 +77,28 @@ def i5(spark, sf):
                    F.every((F.col("low") >= 0) & (F.col("high") <= 1)).alias("in_unit_range"))
 
 
+add_block("percents", ("transactions", "predictions"), """
+    SELECT CAST(floor(fraud_probability * 100) AS INT) AS percent, sum(CAST(is_fraud AS INT)) AS y, count(*) AS n
+    FROM transactions JOIN predictions USING (transaction_id) GROUP BY 1""")
+add_block("percent_sums", ("percents",), "SELECT *, sum(y) OVER (ORDER BY percent) AS ys, sum(n) OVER (ORDER BY percent) AS ns FROM percents")
+add_block("percent_spans", ("percent_sums",), """
+    SELECT a.percent AS first, b.percent AS last, CAST(b.ys - a.ys + a.y AS DOUBLE) / (b.ns - a.ns + a.n) AS mean
+    FROM percent_sums a JOIN percent_sums b ON b.percent >= a.percent""")
+
+
+@query("i5_isotonic_fit", """
+    SELECT percent, n, round(max(low), 6) AS fraud_rate
+    FROM (SELECT percent, n, first, min(mean) AS low FROM percents JOIN percent_spans ON percent BETWEEN first AND last GROUP BY 1, 2, 3)
+    GROUP BY 1, 2""", ("percents", "percent_spans"))
+def i5_fit(spark, sf):
+    """The isotonic fraud rate of each percent of predicted probability; SQL states it as the largest of the least means."""
+    percent = F.floor(F.col("fraud_probability") * 100).cast("int")
+    rows = transactions(spark, sf).join(predictions(spark, sf), "transaction_id").select(
+        percent.alias("percent"), percent.cast("double").alias("raw_probability"), "is_fraud")
+    model = fit_isotonic(rows, to="fraud_rate")
+    return rounded(model.transform(rows.groupBy("percent", "raw_probability").agg(F.count("*").alias("n"))).drop("raw_probability"))
+
+
 @query("i6_scored_transactions")
 def i6(spark, sf):
     return training.score(feature_table(spark, sf), model_bundle(spark, sf)).select(

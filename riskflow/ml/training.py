@@ -10,12 +10,13 @@ import math
 import random
 from dataclasses import dataclass, field
 
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
 from riskflow import schemas as S
 from riskflow.functions.scalar import at_most, encode_card_type, encode_category, hashed_uniform, risk_level
 from riskflow.ml import boosting
+from riskflow.ml.calibration import fit_isotonic
 from riskflow.operators import evaluate
 from riskflow.operators.quantiles import fit_caps
 from riskflow.operators.validate import check_contract
@@ -93,14 +94,6 @@ def raw_scores(df: DataFrame, model: boosting.Ensemble, names: list[str], caps:
     return boosting.scored(model_inputs(df, names, caps), model).drop(*[f"x_{n}" for n in names])
 
 
-def fit_calibrator(scores: DataFrame, label: str = "is_fraud") -> IsotonicRegressionModel:
-    """Isotonic map from raw to observed probability, on the exact scores: equal ones are one weighted point."""
-    points = scores.groupBy("raw_probability").agg(
-        F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
-    return IsotonicRegression(
-        featuresCol="raw_probability", labelCol="label", weightCol="weight", predictionCol="fraud_probability").fit(points)
-
-
 def calibrated(df: DataFrame, calibrator: IsotonicRegressionModel | None) -> DataFrame:
     """Adds fraud_probability in [0, 1]; raw where there is no calibrator."""
     if calibrator is None:
@@ -155,7 +148,7 @@ def train(
     model = boosting.fit(fitting, names, NOMINAL, [params], n_estimators, early_stopping_rounds, seed, local_rows)[0].ensemble
 
     calibration = raw_scores(ready.filter("part = 'calibration'"), model, names, caps)
-    calibrator = fit_calibrator(calibration, label)
+    calibrator = fit_isotonic(calibration, label)
     threshold = evaluate.fbeta_threshold(calibrated(calibration, calibrator), "fraud_probability", label, beta).first().threshold
     bundle = Bundle(version, model, calibrator, float(threshold), names, caps, {}, {**params, "n_estimators": n_estimators})
     test = score(ready.filter("part = 'test'"), bundle)

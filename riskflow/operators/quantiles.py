@@ -1,8 +1,9 @@
-"""Exact quantiles of columns of any size.
+"""Exact quantiles of columns of any size, in two readings of the input.
 
-All wanted ranks of all columns are narrowed together. Each round reads the input twice: once for approximate
-percentiles inside every open bracket, once for exact counts between them; only those reach the driver.
-A bracket of few values is settled by its sorted values, which are no more than SMALL_BRACKET.
+The first reading sketches every column. The sketch merges, and its values are off by at most a share of 1 / ACCURACY
+in rank, so two of them enclose the wanted ranks. The second reading counts the values below that bracket and adds up
+the equal ones inside it, map-side first. What is inside, about 10 / ACCURACY of the values, is written, and running
+sums over it give the value at each rank; only those reach the driver.
 """
 
 from __future__ import annotations
@@ -10,97 +11,105 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from riskflow.operators.ordered import MAX_GROUP_ROWS, Agg, running, written
+
+#: A column with no more values than this is its own bracket.
 SMALL_BRACKET = 100_000
-_CUTS = [i / 200 for i in range(201)]
+ACCURACY = 100_000
+#: On either side of the wanted share: the sketch's own error, and the ranks next to the share.
+_MARGIN = 4 / ACCURACY
 
 
-@dataclass(frozen=True)
+@dataclass
 class _Bracket:
-    """The values of a column strictly between low and high (None: open): `below` values lie under them."""
+    """The values of a column from low to high (None: open), and the place looked for: ranks on both its sides."""
 
     column: str
     low: float | None
     high: float | None
-    below: int
-    inside: int
+    place: float
+
+    @property
+    def ranks(self) -> set[int]:
+        return {math.floor(self.place), math.ceil(self.place)}
 
-    def value(self):
+    def cell(self, number: int) -> Column:
+        """Number and value of a value inside, number and null of one below, null of one above and of a null."""
         v = F.col(self.column)
-        inside = v.isNotNull()
-        if self.low is not None:
-            inside &= v > self.low
-        if self.high is not None:
-            inside &= v < self.high
-        return F.when(inside, v)
-
-
-def _counts(data: DataFrame, edges: dict[_Bracket, list[float]]) -> dict[_Bracket, dict[tuple[int, int], int]]:
-    """For each bracket: (edges below a value, edges at or below it) -> how many values."""
-    brackets = list(edges)
-    cells = [
-        F.struct(F.lit(i).alias("bracket"), b.value().alias("v"), F.array(*[F.lit(e) for e in edges[b]]).alias("edges"))
-        for i, b in enumerate(brackets)]
-    long = data.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter("v IS NOT NULL")
-    under = F.size(F.filter("edges", lambda e: e < F.col("v")))
-    upto = F.size(F.filter("edges", lambda e: e <= F.col("v")))
-    out: dict[_Bracket, dict[tuple[int, int], int]] = {b: {} for b in brackets}
-    for r in long.groupBy("bracket", under.alias("under"), upto.alias("upto")).count().collect():
-        out[brackets[r["bracket"]]][r["under"], r["upto"]] = r["count"]
+        inside = F.lit(True) if self.low is None else v >= self.low
+        taken = v.isNotNull() if self.high is None else v <= self.high
+        return F.when(taken, F.struct(F.lit(number).alias("bracket"), F.when(inside, v).alias("v")))
+
+
+def _sketched(data: DataFrame, wanted: dict[str, float]) -> list[_Bracket]:
+    """One reading: the bracket of each column that has values. NaN is sketched as infinity, below which it never lies."""
+    aggs = []
+    for i, (c, q) in enumerate(wanted.items()):
+        sides = [max(0.0, q - _MARGIN), min(1.0, q + _MARGIN)]
+        finite = F.when(F.isnan(c), F.lit(math.inf)).otherwise(F.col(c))
+        aggs += [F.count(c).alias(f"n{i}"), F.percentile_approx(finite, sides, ACCURACY).alias(f"s{i}")]
+    got = data.agg(*aggs).first()
+    out = []
+    for i, (c, q) in enumerate(wanted.items()):
+        n = got[f"n{i}"]
+        if n:
+            low, high = (None, None) if n <= SMALL_BRACKET else got[f"s{i}"]
+            out.append(_Bracket(c, low, None if high == math.inf else high, q * (n - 1)))
     return out
 
 
-def _narrowed(bracket: _Bracket, edges: list[float], counts: dict[tuple[int, int], int], rank: int) -> float | _Bracket:
-    """The edge that has the rank, or the gap between two edges that holds it."""
-    below = bracket.below
-    for (under, upto), n in sorted(counts.items()):
-        if rank < below + n:
-            if upto > under:
-                return edges[under]
-            low = edges[under - 1] if under else bracket.low
-            high = edges[under] if under < len(edges) else bracket.high
-            return _Bracket(bracket.column, low, high, below, n)
-        below += n
-    raise AssertionError("a rank lies inside its bracket")
-
-
-def _at_ranks(data: DataFrame, sizes: dict[str, int], ranks: set[tuple[str, int]]) -> dict[tuple[str, int], float]:
-    """The value with `rank` values before it in ascending order, of every (column, rank)."""
-    found: dict[tuple[str, int], float] = {}
-    where = {(c, r): _Bracket(c, None, None, 0, sizes[c]) for c, r in ranks}
-    while where:
-        brackets = sorted(set(where.values()), key=repr)
-        small = [b.inside <= SMALL_BRACKET for b in brackets]
-        got = data.agg(*[
-            (F.sort_array(F.collect_list(b.value())) if s else F.percentile_approx(b.value(), _CUTS, 100_000)).alias(f"b{i}")
-            for i, (b, s) in enumerate(zip(brackets, small))]).first()
-        values = dict(zip(brackets, got))
-        edges = {b: sorted(set(values[b])) for b, s in zip(brackets, small) if not s}
-        counts = _counts(data, edges) if edges else {}
-        for key, b in list(where.items()):
-            step = _narrowed(b, edges[b], counts[b], key[1]) if b in edges else values[b][key[1] - b.below]
-            if isinstance(step, _Bracket):
-                where[key] = step
-            else:
-                found[key] = step
-                del where[key]
-    return found
+def _settled(data: DataFrame, brackets: list[_Bracket]) -> tuple[dict[tuple[str, int], float], list[_Bracket]]:
+    """One reading: the values at the ranks, and brackets opened on the side where they missed a rank."""
+    cells = data.select(F.explode(F.array(*[b.cell(i) for i, b in enumerate(brackets)])).alias("c")).filter("c IS NOT NULL")
+    values = written(cells.select("c.*").groupBy("bracket", "v").agg(F.count("*").alias("n")), "brackets")
+    below, inside, distinct = {}, {}, {}
+    for r in values.groupBy("bracket").agg(
+            F.sum(F.when(F.col("v").isNull(), F.col("n"))).alias("below"),
+            F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("inside"), F.count("v").alias("distinct")).collect():
+        below[r.bracket], inside[r.bracket], distinct[r.bracket] = r.below or 0, r.inside or 0, r.distinct
+    hits, missed = [], []
+    for i, b in enumerate(brackets):
+        under, upto = below.get(i, 0), below.get(i, 0) + inside.get(i, 0)
+        hits += [(i, r - under) for r in sorted(b.ranks) if under <= r < upto]
+        lost = {r for r in b.ranks if not under <= r < upto}
+        if lost:
+            missed.append(_Bracket(
+                b.column, None if min(lost) < under else b.low, None if max(lost) >= upto else b.high, b.place))
+    found = {}
+    if hits:
+        large = None if max(distinct.values()) <= MAX_GROUP_ROWS else "measure"
+        start = F.coalesce("_before", F.lit(0))
+        at = running(
+            values.filter("v IS NOT NULL"), ["bracket"], ["v"], {"_before": Agg("sum", F.col("n"))}, large=large, max_rows=MAX_GROUP_ROWS)
+        here = F.array(*[F.struct(F.lit(i).alias("bracket"), F.lit(r).alias("rank")) for i, r in hits])
+        mine = F.filter(here, lambda h: (h["bracket"] == F.col("bracket")) & (h["rank"] >= start) & (h["rank"] < start + F.col("n")))
+        for r in at.select("v", F.explode(mine).alias("h")).collect():
+            b = brackets[r.h.bracket]
+            found[b.column, r.h.rank + below[r.h.bracket]] = r.v
+    return found, missed
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, float]) -> dict[str, float | None]:
     """The wanted quantile of each column, with linear interpolation between neighbouring values; nulls are
-    left out, a column without values has none."""
+    left out, NaN is above all numbers, a column without values has none.
+
+    Should a sketch break its bound, the bracket is opened and the input read once more.
+    """
     if not wanted:
         return {}
     data = df.select(*[F.col(c).cast("double").alias(c) for c in wanted])
-    sizes = data.agg(*[F.count(c).alias(c) for c in wanted]).first().asDict()
-    places = {c: q * (sizes[c] - 1) for c, q in wanted.items() if sizes[c]}
-    at = _at_ranks(data, sizes, {(c, r) for c, p in places.items() for r in (math.floor(p), math.ceil(p))})
+    brackets = _sketched(data, wanted)
+    places = {b.column: b.place for b in brackets}
+    at: dict[tuple[str, int], float] = {}
+    while brackets:
+        found, brackets = _settled(data, brackets)
+        at |= found
     out: dict[str, float | None] = dict.fromkeys(wanted)
-    for c, p in places.items():
-        a, b = at[c, math.floor(p)], at[c, math.ceil(p)]
-        out[c] = a if p == math.floor(p) else a + (b - a) * (p - math.floor(p))
+    for c, place in places.items():
+        a, b = at[c, math.floor(place)], at[c, math.ceil(place)]
+        out[c] = a if a == b else a + (b - a) * (place - math.floor(place))
     return out
 
 

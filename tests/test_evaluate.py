@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskflow import schemas as S
-from riskflow.operators import evaluate, quality, quantiles
+from riskflow.operators import evaluate, ordered, quality, quantiles
 from riskflow.sources import files
 
 
@@ -84,6 +84,48 @@ def test_quantile_of_one_repeated_value(spark, monkeypatch):
     assert quantiles.exact_quantile(spark.range(5).select(F.lit(None).cast("double").alias("x")), "x", 0.9) is None
 
 
+def test_quantiles_take_two_readings_and_know_ties_and_nan(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SMALL_BRACKET", 1_000)
+    monkeypatch.setattr(quantiles, "ACCURACY", 1_000)
+    monkeypatch.setattr(quantiles, "_MARGIN", 4 / 1_000)
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(20_000).selectExpr(
+        "double((id * 7919) % 20011) / 7 AS a", "if(id % 5 < 2, 3.0D, double(id % 1000)) AS b",
+        "if(id % 10 = 0, double('NaN'), -double(id)) AS c", "if(id % 2 = 0, double('NaN'), double(id)) AS d",
+        "if(id % 3 = 0, double('Infinity'), double('-Infinity')) AS e")
+    frame = rows.toPandas()
+    wanted = {"a": 0.9, "b": 0.25, "c": 0.37, "d": 0.75, "e": 0.99}
+    got = quantiles.exact_quantiles(rows.mapInArrow(passed, rows.schema), wanted)  # pandas would make NaN null
+    assert read.value == 2 * 20_000
+    for c in "abc":
+        values = np.sort(frame[c].to_numpy())  # NaN last
+        place = wanted[c] * 19_999
+        low, high = values[int(place)], values[int(np.ceil(place))]
+        assert got[c] == pytest.approx(low + (high - low) * (place - int(place)), rel=1e-12)
+    assert np.isnan(got["d"]) and got["e"] == np.inf
+
+
+def test_many_values_in_a_bracket_are_summed_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MAX_GROUP_ROWS", 100)
+    monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", 100)
+    df = spark.range(3_000).selectExpr("double((id * 7919) % 3001) AS a")
+    assert quantiles.exact_quantile(df, "a", 0.5) == pytest.approx(float(np.quantile(df.toPandas()["a"], 0.5)), rel=1e-12)
+
+
+def test_a_bracket_that_misses_its_rank_is_opened(spark, monkeypatch):
+    rows = spark.range(100).selectExpr("double(id) AS x")
+    monkeypatch.setattr(quantiles, "_sketched", lambda data, wanted: [quantiles._Bracket("x", 10.0, 20.0, 49.5)])
+    assert quantiles.exact_quantile(rows, "x", 0.5) == 49.5
+    monkeypatch.setattr(quantiles, "_sketched", lambda data, wanted: [quantiles._Bracket("x", 80.0, 90.0, 49.5)])
+    assert quantiles.exact_quantile(rows, "x", 0.5) == 49.5
+
+
 def test_overlap_equals_histogram_overlap(spark):
     rng = np.random.default_rng(2)
     y = rng.random(2000) < 0.4

@@ -17,8 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: How many distinct pieces a task remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: How many distinct pieces a task remembers, and how long a remembered piece may be; beyond that it starts anew.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 #: Split of a text before the merges, as the byte-level vocabularies define it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -119,10 +119,12 @@ class Codec:
 
     def look(self, piece: str) -> tuple[list[int], str]:
         """(ids, the ids in decimal joined by commas) of one piece."""
-        if len(self.memory) >= REMEMBERED:
-            self.memory.clear()
         ids = self.merged(piece.encode("utf-8", "surrogatepass"))
-        self.memory[piece] = found = (ids, ",".join(map(str, ids)))
+        found = (ids, ",".join(map(str, ids)))
+        if len(piece) <= REMEMBERED_CHARS:
+            if len(self.memory) >= REMEMBERED:
+                self.memory.clear()
+            self.memory[piece] = found
         return found
 
     def parts(self, text: str) -> list[tuple[list[int], str]]:

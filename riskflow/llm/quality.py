@@ -8,12 +8,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from riskflow.llm.common import held_out
+from riskflow.llm.common import held_out, materialize
 
-#: Bound of the labelled rows that a fit takes.
+#: Bounds of the labelled rows that a fit takes: how many, and the bytes of their texts together. A text of more than
+#: MAX_BYTES / MOST_OF_BYTES isn't learnt from.
 MAX_LABELLED = 6000
+MAX_BYTES, MOST_OF_BYTES = 1 << 26, 512
 BUCKET_BITS = 16
 GRAMS = (3, 4, 5)
 #: Features of a pair of neighbouring tokens: equal or not. Hashes of the tokens can't tell that.
@@ -94,22 +96,28 @@ def counted_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 "counts": pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())})
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(doc_id, text, lang, label): about `most` labelled rows at most, by a hash of the id; held-out rows never.
 
-    Of the rows that repeat a sampled id the one with the smallest hash of its text stays.
+    Of the rows that repeat a sampled id the one with the smallest hash of its text stays. Texts of more than
+    max_bytes / MOST_OF_BYTES bytes are left out; of the others come as many as max_bytes holds, in the order of a hash.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     share = min(1.0, most / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 62)) < int(share * (1 << 62)))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     # The sample is bounded by `most`, so its ids may be sent to every task.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(
         F.broadcast(known), "doc_id")
     one = F.min(F.struct(F.xxhash64("text").alias("_hash"), "text", "lang")).alias("_row")
-    return rows.groupBy("doc_id", "label").agg(one).select("doc_id", "_row.text", "_row.lang", "label")
+    sample = materialize(rows.groupBy("doc_id", "label").agg(one).select("doc_id", "_row.text", "_row.lang", "label"), "labelled")
+    sized = sample.select("doc_id", F.octet_length("text").cast("long").alias("bytes")).filter(F.col("bytes") <= max_bytes // MOST_OF_BYTES)
+    # About `most` ids and sizes: one task orders them.
+    upto = F.sum("bytes").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id"))
+    taken = sized.withColumn("_upto", upto).filter(F.col("_upto") <= max_bytes).select("doc_id")
+    return sample.join(F.broadcast(taken), "doc_id", "left_semi").select("doc_id", "text", "lang", "label")
 
 
 def in_order(rows: pa.Table, *columns: str):

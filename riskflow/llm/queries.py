@@ -23,8 +23,9 @@ def register(sql: str | None = None):
     return add
 
 
-def _judged(scored: DataFrame, least: float) -> DataFrame:
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+def _judged(scored: DataFrame, least: float, *more: str) -> DataFrame:
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *more)
 
 
 # The rules of the URL query.
@@ -75,7 +76,8 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return _judged(toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"))), 0.3)
+    scored = toxicity.judged(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return _judged(scored, 0.3, "threshold", "toxic")
 
 
 @register()

@@ -115,6 +115,25 @@ def ip_history(tx: DataFrame, predictions: DataFrame, *, max_group_rows: int = M
     return out.select("transaction_id", F.coalesce(F.col("_points") / F.col("_n"), F.lit(0.0)).alias("ip_risk_score"))
 
 
+def address_key() -> Column:
+    """The address, or where it or the time is missing a key of the row's own."""
+    missing = is_blank(F.col("ip_address")) | F.col("creation_date_time").isNull()
+    return F.when(missing, F.concat(F.lit("-"), F.col("transaction_id"))).otherwise(F.concat(F.lit("+"), F.col("ip_address")))
+
+
+def with_address_risk(rows: DataFrame, large: DataFrame | None, *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """rows, which hold `_address` (see `address_key`) and risk_level, with the risk `ip_history` gives; 0 without one.
+
+    `large` is the measurement of `_address` by `large_groups`.
+    """
+    out = running(
+        rows.withColumn("_sec", epoch_seconds(F.col("creation_date_time"))), ["_address"], ["_sec", "transaction_id"],
+        {"_n": Agg("sum", F.lit(1)), "_points": Agg("sum", risk_points(F.col("risk_level")))},
+        large=large, max_rows=max_group_rows,
+    )
+    return out.select(*rows.columns, F.coalesce(F.col("_points") / F.col("_n"), F.lit(0.0)).alias("ip_risk_score"))
+
+
 def previous_transaction(tx: DataFrame, *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """transaction_id with the id and time of the user's latest earlier row; nulls for a row without user or time."""
     rows = tx.select("transaction_id", "user_id", epoch_seconds(F.col("creation_date_time")).alias("sec"))

@@ -136,7 +136,7 @@ def velocity_features(
         .filter("own AND n > 0")
         .drop("own")
     )
-    if ttl_seconds is None:
+    if ttl_seconds is None or ttl_seconds > _HOUR:
         # Beyond the bucket only the last second of the latest earlier active hour matters.
         by_hour = Window.partitionBy(*keys).orderBy("bucket")
         earlier = (

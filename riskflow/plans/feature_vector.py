@@ -11,9 +11,9 @@ from riskflow.functions.scalar import (
     amount_to_average_ratio, engineered, hour_of_day, iso_weekday, whole_days,
 )
 from riskflow.operators.enrich import enrich
-from riskflow.operators.history import ip_history, user_history
+from riskflow.operators.history import address_key, with_address_risk, with_predictions
 from riskflow.operators.ordered import MAX_GROUP_ROWS, large_groups
-from riskflow.operators.velocity import velocity_features
+from riskflow.operators.user_windows import USER_COLUMNS, user_features
 
 
 @dataclass(frozen=True)
@@ -30,18 +30,24 @@ def base_features(
 ) -> DataFrame:
     """The nineteen base features next to the transaction's own columns.
 
-    Each history comes as a narrow table keyed by transaction_id, so the wide rows move once.
-    Windows, ages and histories use event time. Every row of tx comes back; what a row lacks the keys
-    for is null. Ids are expected to be unique (`validate.deduplicate`).
+    The histories are one narrow table: predictions are joined to it by id, it moves once by user and once by
+    address and meets the wide rows by id, so those move once. Windows, ages and histories use event time. Every
+    row of tx comes back; what a row lacks the keys for is null. Ids are expected to be unique
+    (`validate.deduplicate`).
     """
-    sizes = dict(max_group_rows=max_group_rows, large_users=large_groups(tx, ["user_id"], max_group_rows))
-    velocity = velocity_features(tx, ttl_seconds=ttl_seconds, **sizes)
-    history = user_history(tx, predictions, safe_only=safe_only, **sizes)
-    address = ip_history(tx, predictions, max_group_rows=max_group_rows)
+    narrow = tx.select("transaction_id", "user_id", "merchant_id", "amount", "ip_address", "creation_date_time")
+    addresses = narrow.withColumn("_address", address_key()).filter("startswith(_address, '+')")
+    large_addresses = large_groups(addresses, ["_address"], max_group_rows)
+    by_user = user_features(
+        with_predictions(narrow, predictions.select("transaction_id", "risk_level", "is_marked_as_safe")),
+        ttl_seconds=ttl_seconds, safe_only=safe_only, max_group_rows=max_group_rows,
+        large_users=large_groups(tx, ["user_id"], max_group_rows))
+    histories = with_address_risk(
+        by_user.withColumn("_address", address_key()), large_addresses, max_group_rows=max_group_rows)
     rows = enrich(tx, dims.users, dims.merchants, dims.cards, dims.devices)
     ts = F.col("creation_date_time")
     return (
-        rows.join(velocity, "transaction_id", "left").join(history, "transaction_id", "left").join(address, "transaction_id", "left")
+        rows.join(histories.select("transaction_id", *USER_COLUMNS, "ip_risk_score"), "transaction_id", "left")
         .withColumns({
             "ip_risk_score": F.coalesce("ip_risk_score", F.lit(0.0)),
             "amount_to_average_ratio": amount_to_average_ratio(F.col("amount"), F.col("user_average_amount")),

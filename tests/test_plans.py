@@ -52,3 +52,24 @@ def test_the_curve_reads_its_input_once_and_needs_no_ceiling(spark, monkeypatch)
         tp, fp = tp + r.p, fp + r.n
         want.append((tp, fp))
     assert got == want and len(got) == 4_200
+
+
+def test_the_feature_vector_moves_its_rows_six_times(spark):
+    """Ids twice for predictions, user, address, ids twice for the wide rows; lookups are broadcast as their size allows."""
+    from pyspark.sql import functions as F
+    from riskflow.catalog.inputs import dimensions, transaction_table
+    from riskflow.plans.feature_vector import Dimensions, feature_vector
+
+    d = dimensions(spark, SF)
+    dims = Dimensions(*(F.broadcast(t) for t in (d.users, d.merchants, d.cards, d.devices)))
+    tx, scored = transaction_table(spark, SF), predictions(spark, SF)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for modes in ({}, {"ttl_seconds": 600, "safe_only": True}):
+            text = plan(feature_vector(tx, dims, scored, **modes))
+            moved = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", text)
+            assert len([m for m in moved if "_known" not in m and "device_id" not in m]) <= 6, moved
+            assert "CartesianProduct" not in text and "Python" not in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

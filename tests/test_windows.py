@@ -160,3 +160,62 @@ def test_rows_without_user_or_time_have_no_history_and_are_in_none(spark):
     before = {r.transaction_id: r.previous_transaction_id for r in previous_transaction(tx).collect()}
     assert before == {**dict.fromkeys("abcde"), "f": "e"}
     assert {r.transaction_id for r in ip_history(tx, spark.createDataFrame([], PRED)).collect()} == {"e", "f"}
+
+
+def _incomplete(rows):
+    """Some rows without user, merchant, time, address, amount; some with a blank user."""
+    gone = {3: 1, 4: 2, 5: 4, 6: 5, 7: 3}
+    out = []
+    for i, r in enumerate(rows):
+        r = list(r)
+        if i % 17 in gone:
+            r[gone[i % 17]] = None
+        elif i % 17 == 8:
+            r[1] = " "
+        out.append(tuple(r))
+    return out
+
+
+@pytest.mark.parametrize("ttl, limit, safe_only", [
+    (None, 2_000_000, True), (5000, 2_000_000, False), (None, 100, False), (600, 100, True), (5000, 5, True)])
+def test_one_layout_equals_the_single_operators(spark, ttl, limit, safe_only):
+    """At 100 the hot user alone takes the operators that cut by the hour, at 5 every user does."""
+    from riskflow.operators.user_windows import USER_COLUMNS, user_features
+
+    tx = spark.createDataFrame(_incomplete(make_rows(500, 11)), SCHEMA)
+    pred = tx.select("transaction_id", (F.crc32(F.encode("transaction_id", "utf-8")) % 3 > 0).alias("is_marked_as_safe")).filter(
+        F.crc32(F.encode("transaction_id", "utf-8")) % 10 > 0)
+    got = user_features(tx.join(pred, "transaction_id", "left").withColumn("carried", F.lit(7)),
+                        ttl_seconds=ttl, safe_only=safe_only, max_group_rows=limit)
+    want = velocity_features(tx, ttl_seconds=ttl).join(user_history(tx, pred, safe_only=safe_only), "transaction_id")
+    assert [f.dataType for f in got.select(*USER_COLUMNS).schema] == [f.dataType for f in want.select(*USER_COLUMNS).schema]
+    found = got.select("transaction_id", *USER_COLUMNS, "carried").collect()
+    assert len(found) == 500 and {r.carried for r in found} == {7}
+    assert {r.transaction_id: tuple(r)[1:-1] for r in found} == {
+        r.transaction_id: tuple(r)[1:] for r in want.select("transaction_id", *USER_COLUMNS).collect()}
+
+
+def test_one_layout_equals_brute_force(spark):
+    from riskflow.operators.user_windows import user_features
+    from riskflow.operators.velocity import VELOCITY_COLUMNS
+
+    rows = make_rows(400, 23)
+    for ttl in (None, 600, 5000):
+        got = user_features(spark.createDataFrame(rows, SCHEMA), ttl_seconds=ttl).select("transaction_id", *VELOCITY_COLUMNS)
+        assert {r.transaction_id: tuple(r)[1:] for r in got.collect()} == brute(rows, ttl)
+    empty = user_features(spark.createDataFrame([], SCHEMA))
+    assert empty.collect() == []
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 20])
+def test_address_risk_on_the_carried_rows(spark, limit):
+    from riskflow.operators.history import address_key, with_address_risk, with_predictions
+
+    tx = spark.createDataFrame(_incomplete(make_rows(300, 9)), SCHEMA)
+    pred = tx.select("transaction_id", F.element_at(F.array(*map(F.lit, ["LOW", "MEDIUM", "HIGH"])), (F.crc32(F.encode("transaction_id", "utf-8")) % 3 + 1).cast("int")).alias("risk_level"))
+    want = {r.transaction_id: r.ip_risk_score for r in ip_history(tx, pred).collect()}
+    keyed = with_predictions(tx, pred).withColumn("_address", address_key())
+    large = large_groups(keyed.filter("startswith(_address, '+')"), ["_address"], limit)
+    got = {r.transaction_id: r.ip_risk_score for r in with_address_risk(keyed, large, max_group_rows=limit).collect()}
+    assert (large is None) == (limit > 20)
+    assert got == pytest.approx({r.transaction_id: want.get(r.transaction_id, 0.0) for r in tx.collect()})

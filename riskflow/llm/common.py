@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 import numpy as np
@@ -23,10 +25,38 @@ _FACTORS = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | n
 _BASE = 0x9E3779B97F4A7C15
 
 
+#: Paths that `materialize` wrote inside the innermost `scratch`; None outside of any.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `materialize` writes inside are removed at the end, also after an error.
+
+    What is to outlive them must be written inside by other means, since plans over these tables can't run later.
+    """
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        remove(spark, paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes written tables, on whatever file system the shared folder is; one that is gone already is no error."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = shared_dir(spark, f"llm-{name}")
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

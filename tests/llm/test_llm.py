@@ -1,6 +1,7 @@
 """Operators against brute force and the public libraries, and the cases each of them defines."""
 
 import hashlib
+import os
 import re
 import zlib
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from riskflow.llm import ann, bpe, fingerprint, jaccard, license, packing, quality, toxicity, url_filter, warc
-from riskflow.llm.common import cut_points, held_out, range_of
+from riskflow.llm.common import cut_points, held_out, materialize, range_of, remove, scratch
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -364,9 +365,34 @@ def test_pipeline_keeps_columns_and_runs_on_nothing(spark, table, none):
         assert stage(spark, none, SF).count() == 0
 
 
+def test_pipeline_leaves_the_last_input_and_the_tables_its_rows_are_read_from(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    packed = corpus_pipeline.run(spark, SF)
+    rows = packed.count()
+    left = sorted(re.sub(r"-[0-9a-f]{8}-.*", "", n) for n in set(os.listdir(base)) - before)
+    assert [n for n in left if n.startswith("pipeline-")] == ["pipeline-ngram_jaccard"]
+    assert {n for n in left if n.startswith("llm-")} <= {"llm-pieces"} and len(left) == 2
+    assert rows > 0 and packed.agg(F.sum("length")).first()[0] == packed.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_scratch_removes_tables_also_after_an_error(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    outside = materialize(spark.range(3), "outside")
+    with pytest.raises(ValueError), scratch(spark):
+        assert materialize(spark.range(5), "inside").count() == 5
+        with scratch(spark):
+            materialize(spark.range(7), "innermost")
+        assert not [n for n in os.listdir(base) if n.startswith("llm-innermost")]
+        raise ValueError
+    assert [n.startswith("llm-outside") for n in set(os.listdir(base)) - before] == [True] and outside.count() == 3
+    remove(spark, [f"{base}/never-written"])
+
+
 def test_every_operator_has_a_query():
     names = entry.queries()
-    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(i) for i in range(1, 11)} and "pipeline" in names
+    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(i) for i in range(1, 14)} and "pipeline" in names
 
 
 def test_archive_of_many_members_is_read_in_steps():

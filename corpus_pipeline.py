@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskflow.llm import jaccard, packing, quality, toxicity
-from riskflow.llm.common import materialize, read
+from riskflow.llm.common import read, remove, scratch
+from riskflow.session import shared_dir
 
 #: A document whose probability of good quality is below this goes.
 LEAST_QUALITY = 0.5
@@ -44,7 +45,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The stages over all documents. A stage's working tables go when its result is written, and that when the next
+    one's is; the input and the working tables of the last stage stay, as its rows are read from them."""
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = shared_dir(spark, f"pipeline-{name}")
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if last:
+            remove(spark, [last])
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

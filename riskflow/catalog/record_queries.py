@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -235,11 +236,10 @@ def b12(spark, sf):
     SELECT transaction_id, 31 AS n, round(CAST(amount AS DOUBLE) + hour_of_day + CASE WHEN is_night THEN 1 ELSE 0 END, 6) AS checked
     FROM features""", ("features",))
 def b14(spark, sf):
-    from riskflow.ml.training import assembler
-
     v = vector_to_array("features")
     at = {n: v[i] for i, n in enumerate(S.FEATURES)}
-    df = assembler(S.FEATURES).transform(numeric_features(feature_table(spark, sf)))
+    assembler = VectorAssembler(inputCols=list(S.FEATURES), outputCol="features", handleInvalid="keep")
+    df = assembler.transform(numeric_features(feature_table(spark, sf)))
     return rounded(df.select(
         "transaction_id", F.size(v).alias("n"), (at["amount"] + at["hour_of_day"] + at["is_night"]).alias("checked")))
 

@@ -236,3 +236,23 @@ def test_first_release_must_load(spark, tmp_path):
     bundles.publish_release(spark, registry, "lgbm_x", "models", 100)
     with pytest.raises(bundles.ModelLoadError):
         bundles.ActiveModel(spark, registry, str(tmp_path)).current()
+
+
+def test_a_level_in_a_task_adds_up_at_most_half_of_the_rows(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, width = 4000, 6
+    codes = np.column_stack([rng.integers(0, size, n) for size in (64, 3, 8, 64, 2, 25)]).astype(np.uint8)
+    label = rng.random(n) < codes[:, 0] / 64
+    block = lambda: boosting.Block(codes, label, np.ones(n), np.arange(n) % 10 == 0, np.arange(n, dtype=np.uint64), np.zeros((1, n)))
+    point = dict(training.DEFAULT_PARAMS, max_depth=4, min_child_samples=5, subsample=1.0, colsample_bytree=1.0)
+    nominal, added, bincount = np.array([False, True, False, False, False, False]), [], np.bincount
+    monkeypatch.setattr(boosting.np, "bincount", lambda key, *a, **k: added.append(len(key)) or bincount(key, *a, **k))
+    model = boosting.Growing(point)
+    boosting.grow([model], boosting.InMemory(block(), nominal, 1), 3, 9, width, nominal, 1)
+    grown = int((~block().judging).sum())
+    assert len(model.trees) == 3 and sum(added) <= 3 * 3 * width * grown * (1 + 3 / 2)
+    # The sums are those of the whole walk, so the trees are too.
+    for tree in model.trees[:1]:
+        whole = block().histogram(0, boosting.Tree([-1], [0], [-1], [-1], [0.0], [0.0], [0.0]), [0], np.arange(width), np.flatnonzero(~block().judging))
+        gain, feature, bins = boosting.best_splits(whole, np.arange(width), nominal, point)[0][:3]
+        assert (tree.gain[0], tree.feature[0], tree.bins[0]) == (gain, feature, bins)

@@ -96,15 +96,20 @@ def counted_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 "counts": pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())})
 
 
+def learnable(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of every labelled id that may be learnt from, one row an id; held-out ones never."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
+    return known.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(doc_id, text, lang, label): about `most` labelled rows at most, by a hash of the id; held-out rows never.
 
     Of the rows that repeat a sampled id the one with the smallest hash of its text stays. Texts of more than
     max_bytes / MOST_OF_BYTES bytes are left out; of the others come as many as max_bytes holds, in the order of a hash.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = learnable(labels, label)
     share = min(1.0, most / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 62)) < int(share * (1 << 62)))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")

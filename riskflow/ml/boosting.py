@@ -32,6 +32,8 @@ REFRESH = 10
 #: A model is sent to tasks in pieces of at most so many bytes.
 MOST_PIECE_BYTES = 64 << 20
 GRID = float(1 << 24)
+#: Sums on the grid are exact below.
+MOST_EXACT = float(1 << 53) / GRID
 LEAST_HESSIAN = 1e-3
 #: Cells of several features that rows are added up by at once.
 JOINT_CELLS = (4096, 512)
@@ -344,6 +346,8 @@ class _Round:
 
     number: int
     grads: tuple[np.ndarray, np.ndarray]
+    #: Whether a parent less a child is the other child: not with gradients that are not finite (rows without a weight).
+    exact: bool
     #: Of every node that was not split: rows the tree is grown on, and all others.
     grown: dict[int, np.ndarray]
     others: dict[int, np.ndarray]
@@ -372,7 +376,8 @@ class InMemory:
         left_out[grown] = False
         p = 1 / (1 + np.exp(-block.margins[model]))
         grads = on_grid(block.weight * (p - block.label)), on_grid(block.weight * p * (1 - p))
-        return _Round(number, grads, {0: grown}, {0: np.flatnonzero(left_out).astype(np.int32)})
+        exact = bool(np.abs(grads[0][grown]).sum() + grads[1][grown].sum() < MOST_EXACT)
+        return _Round(number, grads, exact, {0: grown}, {0: np.flatnonzero(left_out).astype(np.int32)})
 
     def _parted(self, now: _Round, tree: Tree) -> None:
         """Hands the rows of nodes that were split to their children."""
@@ -435,6 +440,9 @@ class InMemory:
             if now is None or now.number != number:
                 now = self.rounds[k] = self._started(k, m.params, number)
                 hist = self._summed(now, m.open, features[k])
+            elif not now.exact:
+                self._parted(now, m.tree)
+                hist = self._summed(now, m.open, features[k])
             else:
                 self._parted(now, m.tree)
                 pairs = [(m.open[i], m.open[i + 1]) for i in range(0, len(m.open), 2)]

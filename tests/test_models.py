@@ -256,3 +256,23 @@ def test_a_level_in_a_task_adds_up_at_most_half_of_the_rows(monkeypatch):
         whole = block().histogram(0, boosting.Tree([-1], [0], [-1], [-1], [0.0], [0.0], [0.0]), [0], np.arange(width), np.flatnonzero(~block().judging))
         gain, feature, bins = boosting.best_splits(whole, np.arange(width), nominal, point)[0][:3]
         assert (tree.gain[0], tree.feature[0], tree.bins[0]) == (gain, feature, bins)
+
+
+def test_rows_without_a_weight_spoil_only_the_sums_they_are_in():
+    rng = np.random.default_rng(6)
+    n, width = 3000, 4
+    codes = rng.integers(0, 20, (n, width)).astype(np.uint8)
+    label, weight = rng.random(n) < codes[:, 0] / 20, np.where(np.arange(n) % 500 == 0, np.nan, 1.0)
+    block = boosting.Block(codes, label, weight, np.zeros(n, bool), np.arange(n, dtype=np.uint64), np.zeros((1, n)))
+    point = dict(training.DEFAULT_PARAMS, max_depth=4, min_child_samples=5, subsample=1.0, colsample_bytree=1.0)
+    nominal, checked = np.zeros(width, bool), []
+
+    class Compared(boosting.InMemory):
+        def splits(self, models, level, features, number):
+            out = super().splits(models, level, features, number)
+            whole = self.block.histogram(0, models[0].tree, models[0].open, features[0], np.arange(n))
+            checked.append(np.array_equal(np.stack([self.rounds[0].hist[node] for node in models[0].open]), whole, equal_nan=True))
+            return out
+
+    boosting.grow([boosting.Growing(point)], Compared(block, nominal, 1), 1, 9, width, nominal, 1)
+    assert checked and all(checked)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskflow import schemas as S
 from riskflow.functions.scalar import hashed_uniform
-from riskflow.operators.ordered import MAX_GROUP_ROWS, Agg, running
+from riskflow.operators.ordered import MAX_GROUP_ROWS, Agg, running, written
 from riskflow.operators.quantiles import exact_quantiles
 
 # --- fixed values: columns of each report ------------------------------------------------------
@@ -34,9 +34,10 @@ MISSING_RATE, OUTLIER_RATE, NOISE_SCALE = 0.01, 0.002, 0.01
 MIN_VALID = 100
 
 
-def long_form(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """(feature, value, positive) without nulls and NaN: all columns in one pass over the rows."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+def long_form(df: DataFrame, columns: list[str], label: str, numbered: bool = False) -> DataFrame:
+    """(feature, value, positive) without nulls and NaN: all columns in one pass over the rows. `numbered`: a feature is
+    its place among the columns, a fixed four bytes where rows of many values move."""
+    pairs = F.array(*[F.struct(F.lit(i if numbered else c).alias("feature"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])
     return (
         df.select(F.col(label).cast("boolean").alias("positive"), F.explode(pairs).alias("_p"))
         .select("_p.feature", "_p.value", "positive").filter("value IS NOT NULL AND NOT isnan(value)")
@@ -107,20 +108,19 @@ def single_feature_auc(df: DataFrame, columns: list[str] = AUC_FEATURES, label:
                        max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """feature, auc: rank AUC with ties, folded above one half; 0.5 below 100 valid values.
 
-    Rows collapse to distinct values; the running sums over those are chunked, since a continuous
-    feature may have as many values as rows.
+    Rows collapse to distinct values, which are written: they are measured first and read twice where a
+    feature is large. The running sums over them are chunked, since a continuous feature may have as many values as rows.
     """
-    values = (
-        long_form(df, columns, label).groupBy("feature", "value")
-        .agg(F.count_if("positive").alias("_pos"), F.count_if(~F.col("positive")).alias("_neg"))
-    )
+    values = written(
+        long_form(df, columns, label, numbered=True).groupBy("feature", "value")
+        .agg(F.count_if("positive").alias("_pos"), F.count_if(~F.col("positive")).alias("_neg")), "values")
     below = running(values, ["feature"], ["value"], {"_below": Agg("sum", F.col("_neg"))}, max_rows=max_group_rows)
     wins = F.col("_pos") * (F.coalesce("_below", F.lit(0)) + F.col("_neg") / 2)
     auc = F.col("_w") / (F.col("_p").cast("double") * F.col("_n"))
     found = (
         below.groupBy("feature").agg(F.sum(wins).alias("_w"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
         .select(
-            "feature",
+            F.array(*[F.lit(c) for c in columns])[F.col("feature")].alias("feature"),
             F.when((F.col("_p") + F.col("_n") < MIN_VALID) | (F.col("_p") == 0) | (F.col("_n") == 0), 0.5)
             .otherwise(F.round(F.greatest(auc, 1 - auc), 4)).alias("auc"),
         )

@@ -181,3 +181,15 @@ def test_features_without_values_are_listed(spark):
     assert {r.feature: r.overlap for r in quality.categorical_overlap(df, ["b", "c"]).collect()}["b"] == 0.0
     clean = {r.feature: r.auc for r in quality.single_feature_auc(df.filter("NOT isnan(c)"), ["c"]).collect()}
     assert aucs["c"] == clean["c"]
+
+
+def test_distinct_values_are_written_once_and_hold_no_names(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(quality, "written", lambda df, name: kept.append(df) or ordered.written(df, name))
+    rows = [(float(i % 50), float(i), i % 3 == 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, is_fraud boolean")
+    for limit in (2_000_000, 100):
+        found = quality.single_feature_auc(df, ["a", "b"], max_group_rows=limit)
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.feature for r in found.collect()} == {"a", "b"}
+    assert len(kept) == 2 and "string" not in dict(kept[0].dtypes).values()

@@ -219,3 +219,11 @@ def test_address_risk_on_the_carried_rows(spark, limit):
     got = {r.transaction_id: r.ip_risk_score for r in with_address_risk(keyed, large, max_group_rows=limit).collect()}
     assert (large is None) == (limit > 20)
     assert got == pytest.approx({r.transaction_id: want.get(r.transaction_id, 0.0) for r in tx.collect()})
+
+
+def test_one_layout_sorts_twice_without_sessions(spark):
+    from riskflow.operators.user_windows import user_features
+
+    found = user_features(spark.createDataFrame(make_rows(20), SCHEMA), large_users=None)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert len(re.findall(r"\bSort \[", plan)) == 2

@@ -26,6 +26,7 @@ from riskflow.operators.enrich import enrich
 from riskflow.operators.history import risk_points
 from riskflow.operators.messages import parsed, scored_records
 from riskflow.operators.ordered import Agg, running
+from riskflow.operators.user_windows import HISTORY_COLUMNS, user_features
 from riskflow.operators.velocity import VELOCITY_COLUMNS, velocity_features
 from riskflow.plans.feature_vector import Dimensions, engineer_features
 from riskflow.streaming.state import Buckets, KeyedTotals, RecentRows
@@ -286,8 +287,10 @@ def velocity_stream(
         fresh = store.write(
             rows.filter("NOT is_late").join(recent.select("transaction_id"), "transaction_id", "left_anti").select(*_RECENT.names)
             .sortWithinPartitions("sec"), "transactions", batch)
-        out = velocity_features(recent.unionByName(fresh), ttl_seconds=ttl_seconds).join(
-            fresh.select("transaction_id", "user_id", "sec"), "transaction_id")
+        # One layout: rows at hand and new ones move once, and the new ones are known by a mark, not by a join.
+        at_hand = recent.withColumn("_fresh", F.lit(False)).unionByName(fresh.withColumn("_fresh", F.lit(True)))
+        out = user_features(at_hand, ttl_seconds=ttl_seconds).filter("_fresh AND transaction_id IS NOT NULL").select(
+            "transaction_id", *VELOCITY_COLUMNS, "user_id", "sec")
         if ttl_seconds is None:
             seen = settings.totals(settings.users, progress, fresh).select("user_id", "last_sec")
             since = F.col("seconds_since_last_transaction")
@@ -328,14 +331,19 @@ def replay(store: BatchStore, published: str, ttl_seconds: int | None, whole: Ca
     near = store.write(near, "replay_rows", number)
     older = mine.filter(~context).groupBy("user_id").agg(
         F.count("*").alias("_older"), F.max("sec").alias("_last"), F.sum("amount").alias("_older_amount"))
-    counted = running(near, ["user_id"], ["sec", "transaction_id"], {"_before": Agg("sum", F.lit(1)), "_sum": Agg("sum", F.col("amount"))})
+    if whole is None:
+        # Windows alone: one layout, on which the rows carry what follows.
+        windows = user_features(near, ttl_seconds=ttl_seconds).filter("transaction_id IS NOT NULL").drop(*HISTORY_COLUMNS).withColumns(
+            {c: F.lit(0) for c in ("_before", "_sum")})
+    else:
+        counted = running(near, ["user_id"], ["sec", "transaction_id"], {"_before": Agg("sum", F.lit(1)), "_sum": Agg("sum", F.col("amount"))})
+        windows = velocity_features(near.drop("_late", "sec"), ttl_seconds=ttl_seconds).join(
+            counted.select("transaction_id", "user_id", "sec", "_late", "_before", "_sum"), "transaction_id")
     since, count = F.col("seconds_since_last_transaction"), F.coalesce("_older", F.lit(0)) + F.coalesce("_before", F.lit(0))
     amount = F.coalesce(F.col("_older_amount"), F.lit(0)) + F.coalesce(F.col("_sum"), F.lit(0))
     average = amount.cast("double") / F.nullif(count, F.lit(0))
     found = (
-        velocity_features(near.drop("_late", "sec"), ttl_seconds=ttl_seconds)
-        .join(counted.select("transaction_id", "user_id", "sec", "_late", "_before", "_sum"), "transaction_id")
-        .join(older, "user_id", "left").join(first, "user_id").filter(F.col("sec") >= F.col("_first"))
+        windows.join(older, "user_id", "left").join(first, "user_id").filter(F.col("sec") >= F.col("_first"))
         .withColumns({
             "seconds_since_last_transaction": F.when(
                 (since == S.NO_PREVIOUS_SECONDS) & F.col("_last").isNotNull() & F.lit(ttl_seconds is None), F.col("sec") - F.col("_last")).otherwise(since),

@@ -238,3 +238,26 @@ def test_empty_batch(settings):
     run(settings, 1)
     run(settings, 2, message(2, at=10))
     assert {r.transaction_id: r.user_transaction_count_5min for r in settings.store.committed("scored").collect()} == {"t1": 0, "t2": 1}
+
+
+def test_streamed_windows_and_replayed_ones_lie_on_one_layout(spark, tmp_path, monkeypatch):
+    from riskflow.operators.velocity import VELOCITY_COLUMNS
+
+    def refuse(*a, **k):
+        raise AssertionError("windows by the hour")
+
+    monkeypatch.setattr(scoring, "velocity_features", refuse)
+    files, store = str(tmp_path / "in"), BatchStore(spark, str(tmp_path / "store"))
+    at = lambda s: datetime(2024, 1, 2, 10) + timedelta(seconds=s)
+    row = lambda i, s: (f"t{i}", "u1", "c1", f"m{i % 2}", None, Decimal("5.00"), "DE", None, at(s))
+    names = ["transaction_id", "user_id", "card_id", "merchant_id", "device_id", "amount", "country_code", "ip_address", "creation_date_time"]
+    every = [row(0, 0), row(1, 60), row(2, 1800), row(3, 9000), row(4, 9060), row(5, 900)]
+    for part in (every[:3], every[3:]):
+        df = spark.createDataFrame([tuple(dict(zip(names, r))[n] for n in S.TRANSACTION_SCHEMA.names) for r in part], S.TRANSACTION_SCHEMA)
+        df.coalesce(1).write.mode("append").parquet(files)
+        scoring.velocity_stream(spark.readStream.schema(S.TRANSACTION_SCHEMA).parquet(files), store, str(tmp_path / "state")).awaitTermination()
+    assert [r.transaction_id for r in store.committed("late").collect()] == ["t5"]
+    assert scoring.replay(store, "velocity", None) == 2  # the late row, and the one behind it that it enters
+    df = spark.createDataFrame([tuple(dict(zip(names, r))[n] for n in S.TRANSACTION_SCHEMA.names) for r in every], S.TRANSACTION_SCHEMA)
+    want = {tuple(r) for r in velocity_features(df).select("transaction_id", *VELOCITY_COLUMNS).collect()}
+    assert {tuple(r) for r in scoring.corrected(store, "velocity", VELOCITY_COLUMNS).collect()} == want

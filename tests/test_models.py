@@ -276,3 +276,47 @@ def test_rows_without_a_weight_spoil_only_the_sums_they_are_in():
 
     boosting.grow([boosting.Growing(point)], Compared(block, nominal, 1), 1, 9, width, nominal, 1)
     assert checked and all(checked)
+
+
+def test_no_level_is_summed_when_no_leaf_is_left():
+    rng = np.random.default_rng(7)
+    n, width = 3000, 4
+    codes = rng.integers(0, 40, (n, width)).astype(np.uint8)
+    block = boosting.Block(codes, rng.random(n) < codes[:, 0] / 40, np.ones(n), np.arange(n) % 9 == 0, np.arange(n, dtype=np.uint64), np.zeros((1, n)))
+    point = dict(training.DEFAULT_PARAMS, max_depth=8, num_leaves=4, min_child_samples=5, subsample=0.8, colsample_bytree=1.0)
+    nominal, levels = np.zeros(width, bool), []
+
+    class Counted(boosting.InMemory):
+        def splits(self, models, level, features, number):
+            levels.append((number, len(models[0].open)))
+            return super().splits(models, level, features, number)
+
+    model = boosting.Growing(point)
+    boosting.grow([model], Counted(block, nominal, 1), 3, 9, width, nominal, 1)
+    assert [sum(f < 0 for f in t.feature) for t in model.trees] == [4] * 3
+    assert levels == [(r, k) for r in range(3) for k in (1, 2)]
+
+
+def test_held_margins_are_those_of_the_kept_trees():
+    rng = np.random.default_rng(8)
+    n, width = 2000, 3
+    codes = rng.integers(0, 64, (n, width)).astype(np.uint8)
+    nominal = np.array([False, True, False])
+    point = dict(training.DEFAULT_PARAMS, max_depth=6, learning_rate=0.9, min_child_samples=2, subsample=0.7, colsample_bytree=1.0, reg_alpha=0.0, reg_lambda=0.1)
+    for judging in (np.arange(n) % 4 == 0, np.zeros(n, bool)):
+        block = boosting.Block(codes, rng.random(n) < 0.3 + codes[:, 1] / 200, np.ones(n), judging, np.arange(n, dtype=np.uint64), np.zeros((1, n)))
+        model, passes = boosting.Growing(point), boosting.InMemory(block, nominal, 1)
+        boosting.grow([model], passes, 12, 5, width, nominal, 1)
+        ensemble = boosting.Ensemble(boosting.Binning(list("abc"), nominal.tolist(), [[]] * width), 0.0, model.trees)
+        assert np.array_equal(passes.held_margins(0, model), ensemble.margins(codes[judging]))
+        assert (len(model.trees) < len(model.losses)) == judging.any()
+
+
+def test_training_walks_the_trees_once_for_each_part(data, monkeypatch):
+    read, plans = [], {name: getattr(training.evaluate, name) for name in ("average_precision", "fbeta_threshold", "confusion", "classification_report")}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name, evaluated in plans.items():
+        monkeypatch.setattr(training.evaluate, name, lambda df, *a, _n=name, _f=evaluated, **k: read.append((_n, plan(df))) or _f(df, *a, **k))
+    training.train(data, "1", n_estimators=3, max_depth=3, skip_tuning=True)
+    assert {name for name, _ in read} == set(plans)
+    assert not any("ArrowEvalPython" in p for _, p in read)

@@ -320,3 +320,13 @@ def test_training_walks_the_trees_once_for_each_part(data, monkeypatch):
     training.train(data, "1", n_estimators=3, max_depth=3, skip_tuning=True)
     assert {name for name, _ in read} == set(plans)
     assert not any("ArrowEvalPython" in p for _, p in read)
+
+
+def test_a_batch_is_explained_in_one_walk_and_its_rows_on_their_own(monkeypatch):
+    rng, walk, walks = np.random.default_rng(9), contributions.add_tree, []
+    model = boosting.Ensemble(boosting.Binning(list("abcd"), [True] * 4, [[]] * 4), 0.2, [_random_tree(rng, 4, 4) for _ in range(2)])
+    x = rng.integers(0, 60, (8000, 4)).astype(float)
+    monkeypatch.setattr(contributions, "add_tree", lambda tree, codes, out: walks.append(len(codes)) or walk(tree, codes, out))
+    whole = contributions.shapley_values(x, model)
+    assert walks == [8000, 8000] and whole.flags.c_contiguous
+    assert all(np.array_equal(whole[i:i + 1], contributions.shapley_values(x[i:i + 1], model)) for i in range(0, 8000, 997))

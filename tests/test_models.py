@@ -1,5 +1,6 @@
 """Training, explanation, probes, bundles and the model swap."""
 
+import multiprocessing
 from itertools import combinations
 from math import factorial
 
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskflow import schemas as S
-from riskflow.ml import boosting, bundle as bundles, contributions, probes, training
+from riskflow.ml import boosting, bundle as bundles, contributions, probes, team as team_module, training
+from riskflow.ml.team import together
 
 
 @pytest.fixture(scope="module")
@@ -330,3 +332,62 @@ def test_a_batch_is_explained_in_one_walk_and_its_rows_on_their_own(monkeypatch)
     whole = contributions.shapley_values(x, model)
     assert walks == [8000, 8000] and whole.flags.c_contiguous
     assert all(np.array_equal(whole[i:i + 1], contributions.shapley_values(x[i:i + 1], model)) for i in range(0, 8000, 997))
+
+
+def _noise(seed, n=6000, width=5, weight=None):
+    rng = np.random.default_rng(seed)
+    codes = np.column_stack([rng.integers(0, size, n) for size in (64, 3, 8, 40, 25)]).astype(np.uint8)
+    return boosting.Block(codes, rng.random(n) < codes[:, 0] / 64, np.ones(n) if weight is None else weight, np.arange(n) % 7 == 0,
+                          np.arange(n, dtype=np.uint64), np.zeros((1, n)))
+
+
+@pytest.mark.parametrize("spoilt", [False, True])
+def test_processes_of_a_task_grow_the_trees_of_one(spoilt):
+    weight = np.where(np.arange(6000) % 500 == 0, np.nan, 1.0) if spoilt else None
+    block, nominal = _noise(11, weight=weight), np.array([False, True, False, False, False])
+    point = dict(training.DEFAULT_PARAMS, max_depth=6, min_child_samples=3, subsample=0.7, colsample_bytree=0.8)
+
+    def grown(team):
+        mine = block.part(team.place, team.size)
+        model, passes = boosting.Growing(point), boosting.InMemory(mine, nominal, 1, team)
+        boosting.grow([model], passes, 8, 4, 5, nominal, 1)
+        return model.trees, model.losses, None if spoilt else passes.held_margins(0, model), team.gather((len(mine.label), len(passes.columns[0])))
+
+    one, three = together(1, grown), together(3, grown)
+    # repr, as a NaN isn't equal to itself.
+    assert repr(one[0]) == repr(three[0]) and (spoilt or max(len(t.feature) for t in one[0]) > 20)
+    assert np.array_equal(one[1], three[1], equal_nan=True) and (spoilt or np.array_equal(one[2], three[2]))
+    assert one[3] == [(6000, 6000)] and three[3] == [(2000, 2000)] * 3
+
+
+def test_large_arrays_meet_in_turns(monkeypatch):
+    monkeypatch.setattr(team_module, "TURN", 64)
+    sums = together(3, lambda team: [team.sum(np.arange(n, dtype=float).reshape(1, -1) * (team.place + 1)) for n in (1, 64, 65, 1000)])
+    assert all(np.array_equal(s, np.arange(s.size)[None] * 6.0) for s in sums)
+
+
+@pytest.mark.parametrize("place", [0, 2])
+def test_a_process_that_fails_ends_the_others(place):
+    def work(team):
+        for turn in range(3):
+            if turn == 2 and team.place == place:
+                raise ValueError("broken")
+            team.sum(np.ones(3))
+
+    with pytest.raises(ValueError if place == 0 else RuntimeError):
+        together(3, work)
+    assert not multiprocessing.active_children()
+
+
+def test_a_model_alone_has_the_cores_and_many_share_them(spark, fitting, monkeypatch):
+    cores = team_module.free_cores(spark, 1)
+    assert 1 <= cores <= team_module.MOST_PROCESSES and team_module.free_cores(spark, 1000) == 1
+    asked = []
+    monkeypatch.setattr(boosting, "LEAST_SHARE", 100)
+    monkeypatch.setattr(boosting, "with_cores", lambda spark, n: asked.append(n))
+    points = [dict(training.DEFAULT_PARAMS, max_depth=4, min_child_samples=20)]
+    fit = lambda: boosting.fit(fitting, list(S.FEATURES), training.NOMINAL, points, 6, 3)[0]
+    together_grown = fit()
+    monkeypatch.setattr(boosting, "free_cores", lambda spark, n: 1)
+    alone = fit()
+    assert asked == [cores, 1] and together_grown == alone

@@ -391,3 +391,20 @@ def test_a_model_alone_has_the_cores_and_many_share_them(spark, fitting, monkeyp
     monkeypatch.setattr(boosting, "free_cores", lambda spark, n: 1)
     alone = fit()
     assert asked == [cores, 1] and together_grown == alone
+
+
+def test_readers_of_blocks_hold_a_few_of_them(spark, fitting, monkeypatch, tmp_path):
+    import pyarrow.dataset as ds
+
+    paths, records = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(boosting, "GROUP_BYTES", 1 << 12, raising=False)
+    monkeypatch.setattr(boosting, "shared_dir", lambda spark, name: paths.append(str(tmp_path / f"{name}-{len(paths)}")) or paths[-1])
+    spark.conf.set(records, 50)
+    try:
+        boosting.fit(fitting.coalesce(1), list(S.FEATURES), training.NOMINAL, [dict(training.DEFAULT_PARAMS, max_depth=2, min_child_samples=20)] * 2, 2, 2, local_rows=1)
+    finally:
+        spark.conf.unset(records)
+    assert [p.rsplit("/", 1)[1][:4] for p in paths] == ["binn", "boos"]
+    for path in paths:
+        groups = [piece.num_rows for fragment in ds.dataset(path, format="parquet").get_fragments() for piece in fragment.row_groups]
+        assert sum(groups) > 10 and max(groups) <= 2

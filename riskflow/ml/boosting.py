@@ -4,10 +4,11 @@ Columns are binned at quantiles once; bin 0 holds missing values. A split sends
 bins up to one for numbers, any set of categories for nominal features, whose bins each node orders by their
 gradient. Trees grow level by level, the best splits first while leaves are left.
 
-All models of a search grow in lockstep, so a level is one pass over the rows whatever their number. Rows up to
-LOCAL_ROWS lie whole in a task (a broadcast of known size), and models are spread over tasks; more rows lie in a
-written table, every level is a Spark job that sums histograms, and margins are written every REFRESH rounds. Gradients
-are rounded to a fixed grid, so their sums don't depend on the order: both ways grow the same trees.
+Rows up to LOCAL_ROWS lie whole in a task (a broadcast of known size), and models are spread over tasks. Up to SHARES
+times as many a process, a task takes an executor's cores and its processes share the rows, which come from the written
+table: a job a model, as many at once as the cores allow. Still more rows stay in the table, all models grow in lockstep,
+every level is a Spark job that sums histograms, and margins are written every REFRESH rounds. Gradients are rounded to
+a fixed grid, so their sums don't depend on the order: all ways grow the same trees.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ import json
 import math
 import pickle
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from riskflow.ml.team import Team, free_cores, together, with_cores
+from riskflow.ml.team import Team, free_cores, teams_at_once, together, with_cores
 from riskflow.session import shared_dir
 
 BINS = 64
@@ -31,6 +34,8 @@ BINS = 64
 LOCAL_ROWS = 500_000
 #: Rows that are worth a process of a task.
 LEAST_SHARE = 20_000
+#: A process that shares a task's rows may have so many times the rows that a task may hold whole: about 300 bytes each.
+SHARES = 4
 #: A row group of the tables of blocks. Readers and writers hold one, and 100 blocks at least if nobody says otherwise.
 GROUP_BYTES = 16 << 20
 #: Rounds after which margins of a large table are written anew.
@@ -419,7 +424,7 @@ class InMemory:
 
     def __init__(self, block: Block, nominal: np.ndarray, seed: int, team: Team | None = None):
         self.block, self.nominal, self.seed, self.team = block, nominal, seed, team or Team()
-        self.columns = np.ascontiguousarray(block.codes.T)
+        self.columns = [np.ascontiguousarray(column) for column in block.codes.T]
         self.sizes = [int(c.max(initial=0)) + 1 for c in self.columns]
         self.judging = np.flatnonzero(block.judging)
         self.judged = block.weight[self.judging], block.label[self.judging]
@@ -465,7 +470,8 @@ class InMemory:
                 sizes[at] *= sized[j]
             found = []
             for group in groups:
-                cell = now.columns[int(now.features[group[0]])].astype(np.uint16)
+                cell = now.columns[int(now.features[group[0]])]
+                cell = cell.astype(np.uint16) if len(group) > 1 else cell
                 for j in group[1:]:
                     cell *= np.uint16(sized[j])
                     cell += now.columns[int(now.features[j])]
@@ -516,6 +522,8 @@ class InMemory:
             m = models[k]
             now = self.rounds.get(k)
             if now is None or now.number != number:
+                now = None  # of the round before
+                self.rounds.pop(k, None)
                 now = self.rounds[k] = self._started(k, m.params, number, features[k])
                 hist = self._summed(now, m.open)
             elif not now.exact:
@@ -575,6 +583,21 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int, models: int) -> Itera
         yield Block(codes.reshape(-1, width), label, weight, judging, ids, margins.reshape(models, -1).copy())
 
 
+def _whole(batches: Iterator[pa.RecordBatch], width: int, total: int, base: float) -> Block:
+    """All rows of the table as one block, whose codes lie by feature."""
+    columns, flat = np.empty((width, total), np.uint8), [np.empty(total, t) for t in _KINDS[1:5]]
+    at = 0
+    for codes, *others in _arrays(batches):
+        cut = slice(at, at + len(others[0]))
+        columns[:, cut] = codes.reshape(-1, width).T
+        for out, own in zip(flat, others):
+            out[cut] = own
+        at = cut.stop
+    if at != total:
+        raise RuntimeError(f"{at} rows of {total}")
+    return Block(columns.T, *flat, np.broadcast_to(base, (1, total)))
+
+
 def _stored(blocks: DataFrame, path: str) -> DataFrame:
     """The blocks as a table in groups of GROUP_BYTES, a block at least."""
     (blocks.write.option("parquet.block.size", GROUP_BYTES).option("parquet.block.size.row.check.min", 1)
@@ -724,7 +747,34 @@ def fit(fitting: DataFrame, names: list[str], nominal: set[str], points: list[di
     total = packed.agg(F.sum(size)).first()[0] or 0
     if not total:
         return [Fitted(Ensemble(binning, base, []), [], 0.0) for _ in points]
+    # The longest first, so that none of them is left for the end.
+    order = sorted(range(len(points)), key=lambda k: -points[k]["num_leaves"] * points[k]["subsample"] * points[k]["colsample_bytree"])
+
+    def fitted(k: int, block: Block, processes: int) -> pa.RecordBatch:
+        def grown(team: Team) -> tuple[Growing, np.ndarray]:
+            model, passes = Growing(points[k]), InMemory(block.part(team.place, team.size), flags, seed, team)
+            grow([model], passes, rounds, patience, width, flags, seed)
+            return model, passes.held_margins(0, model) if block.judging.any() else np.empty(0)
+
+        model, held = together(processes, grown)
+        ap = average_precision(block.label[block.judging], held)
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pickle.dumps(Fitted(Ensemble(binning, base, model.trees), model.losses, ap))], pa.binary())],
+                                          ["model", "fitted"])
+
+    out = "model long, fitted binary"
     if total > local_rows:
+        processes = max(1, min(free_cores(spark, 1), total // LEAST_SHARE))
+        if total <= SHARES * local_rows * processes:
+            profile = with_cores(spark, processes)
+
+            def alone(k: int) -> Fitted:
+                rows = packed.coalesce(1).mapInArrow(lambda batches: iter([fitted(k, _whole(batches, width, total, base), processes)]), out, profile=profile)
+                return pickle.loads(rows.collect()[0]["fitted"])
+
+            with ThreadPoolExecutor(min(len(points), teams_at_once(spark, processes))) as pool:
+                found = dict(zip(order, pool.map(inheritable_thread_target(spark)(alone), order)))
+            return [found[k] for k in range(len(points))]
+
         models = [Growing(p) for p in points]
         grow(models, InTable(packed, len(points), base, binning, seed), rounds, patience, width, flags, seed)
         return [_judged(fitting, Fitted(Ensemble(binning, base, m.trees), m.losses, 0.0)) for m in models]
@@ -734,30 +784,18 @@ def fit(fitting: DataFrame, names: list[str], nominal: set[str], points: list[di
 
     # A model that has an executor's cores to itself uses them all.
     processes = max(1, min(free_cores(spark, len(points)), total // LEAST_SHARE))
-    # The longest first, so that none of them is left for the end.
-    order = sorted(range(len(points)), key=lambda k: -points[k]["num_leaves"] * points[k]["subsample"] * points[k]["colsample_bytree"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in (order[i] for i in batch.column(0).to_pylist()):
                 row = [*joined.value, np.full(len(joined.value[1]), base).tobytes()]
                 data = pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in row], list("abcdef"))
-                block = next(_blocks(iter([data]), width, 1))
-
-                def grown(team: Team) -> tuple[Growing, np.ndarray]:
-                    model, passes = Growing(points[k]), InMemory(block.part(team.place, team.size), flags, seed, team)
-                    grow([model], passes, rounds, patience, width, flags, seed)
-                    return model, passes.held_margins(0, model) if block.judging.any() else np.empty(0)
-
-                model, held = together(processes, grown)
-                ap = average_precision(block.label[block.judging], held)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pickle.dumps(Fitted(Ensemble(binning, base, model.trees), model.losses, ap))], pa.binary())],
-                                                 ["model", "fitted"])
+                yield fitted(k, next(_blocks(iter([data]), width, 1)), processes)
 
     todo = spark.range(0, len(points), 1, max(1, len(points)))
-    fitted = todo.mapInArrow(run, "model long, fitted binary", profile=with_cores(spark, processes)).collect()  # a row a model
+    models = todo.mapInArrow(run, out, profile=with_cores(spark, processes)).collect()  # a row a model
     joined.unpersist()
-    return [pickle.loads(r["fitted"]) for r in sorted(fitted, key=lambda r: r["model"])]
+    return [pickle.loads(r["fitted"]) for r in sorted(models, key=lambda r: r["model"])]
 
 
 def margin(columns: list[Column], ensemble: Ensemble, spark: SparkSession, most: int = MOST_PIECE_BYTES) -> Column:

@@ -88,8 +88,8 @@ def together(size: int, work: Callable[[Team], T]) -> T:
             helper.join()
 
 
-def free_cores(spark: SparkSession, tasks: int) -> int:
-    """Cores that each of so many tasks has if nothing else runs."""
+def _executors(spark: SparkSession) -> tuple[int, int]:
+    """(how many there are, cores of each)."""
     sc = spark.sparkContext
     conf, executors = sc.getConf(), max(1, sc._jsc.sc().getExecutorMemoryStatus().size() - 1)
     local = re.match(r"local\[(\d+|\*)", sc.master)
@@ -99,9 +99,21 @@ def free_cores(spark: SparkSession, tasks: int) -> int:
         cores = int(conf.get("spark.executor.cores"))
     else:
         cores = 1 if conf.contains("spark.default.parallelism") else sc.defaultParallelism // executors
+    return executors, cores
+
+
+def free_cores(spark: SparkSession, tasks: int) -> int:
+    """Cores that each of so many tasks has if nothing else runs."""
+    executors, cores = _executors(spark)
     return max(1, min(MOST_PROCESSES, cores // -(-tasks // executors)))
 
 
+def teams_at_once(spark: SparkSession, cores: int) -> int:
+    """Tasks of so many cores that run beside each other."""
+    executors, own = _executors(spark)
+    return executors * max(1, own // cores)
+
+
 def with_cores(spark: SparkSession, cores: int) -> ResourceProfile | None:
     """The profile of tasks that hold so many cores. A local master has none, nor need of one: its only executor is idle beside."""
     if cores == 1 or re.match(r"local(\[|$)", spark.sparkContext.master):

@@ -408,3 +408,23 @@ def test_readers_of_blocks_hold_a_few_of_them(spark, fitting, monkeypatch, tmp_p
     for path in paths:
         groups = [piece.num_rows for fragment in ds.dataset(path, format="parquet").get_fragments() for piece in fragment.row_groups]
         assert sum(groups) > 10 and max(groups) <= 2
+
+
+def test_more_rows_than_a_task_may_hold_are_shared_by_its_processes(spark, fitting, monkeypatch):
+    points = [dict(training.DEFAULT_PARAMS, max_depth=4, num_leaves=9, min_child_samples=15, subsample=s) for s in (0.6, 1.0, 0.8)]
+    fit = lambda df=fitting, **kw: boosting.fit(df, list(S.FEATURES), training.NOMINAL, points, 6, 3, **kw)
+    whole, total = fit(), fitting.count()
+    monkeypatch.setattr(boosting, "LEAST_SHARE", 100)
+    monkeypatch.setattr(boosting, "InTable", lambda *a: pytest.fail("a job a level"))
+    shared = fit(fitting.repartition(5), local_rows=total - 1)
+    assert shared == whole and all(len(f.ensemble.trees) > 1 for f in shared)
+    # Still more rows stay in the table.
+    monkeypatch.undo()
+    lockstep = fit(local_rows=10)
+    assert [f.ensemble.trees for f in lockstep] == [f.ensemble.trees for f in whole]
+
+
+def test_teams_fill_the_cores(spark, monkeypatch):
+    monkeypatch.setattr(team_module, "_executors", lambda spark: (3, 6))
+    assert [team_module.teams_at_once(spark, cores) for cores in (1, 2, 4, 6)] == [18, 9, 3, 3]
+    assert [team_module.free_cores(spark, tasks) for tasks in (1, 3, 4, 9, 50)] == [4, 4, 3, 2, 1]

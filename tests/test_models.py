@@ -1,6 +1,8 @@
 """Training, explanation, probes, bundles and the model swap."""
 
 import multiprocessing
+import pickle
+import tracemalloc
 from itertools import combinations
 from math import factorial
 
@@ -428,3 +430,20 @@ def test_teams_fill_the_cores(spark, monkeypatch):
     monkeypatch.setattr(team_module, "_executors", lambda spark: (3, 6))
     assert [team_module.teams_at_once(spark, cores) for cores in (1, 2, 4, 6)] == [18, 9, 3, 3]
     assert [team_module.free_cores(spark, tasks) for tasks in (1, 3, 4, 9, 50)] == [4, 4, 3, 2, 1]
+
+
+def test_a_task_holds_the_arrays_of_a_model_alone():
+    rng = np.random.default_rng(12)
+    trees = [_random_tree(rng, 4, 6) for _ in range(200)]
+    model = boosting.Ensemble(boosting.Binning(list("abcd"), [True] * 4, [[]] * 4), 0.2, trees)
+    sent, arrays = [pickle.dumps(piece) for piece in model.pieces()], sum(a.nbytes for tree in model.packed() for a in tree)
+    tracemalloc.start()
+    pieces = [pickle.loads(piece) for piece in sent]
+    packed = [tree for piece in pieces for tree in piece.packed()]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(packed) == 200 and held < 2 * (arrays + 200 * 6 * 150)
+    x = rng.integers(0, 60, (50, 4)).astype(float)
+    codes = model.binning.codes(x)
+    assert np.array_equal(model.margins(codes), pieces[0].margins(codes))
+    assert np.array_equal(contributions.shapley_values(x, model), contributions.shapley_values(x, pieces[0]))

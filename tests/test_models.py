@@ -447,3 +447,16 @@ def test_a_task_holds_the_arrays_of_a_model_alone():
     codes = model.binning.codes(x)
     assert np.array_equal(model.margins(codes), pieces[0].margins(codes))
     assert np.array_equal(contributions.shapley_values(x, model), contributions.shapley_values(x, pieces[0]))
+
+
+def test_rows_that_meet_the_same_conditions_are_walked_as_one(monkeypatch):
+    rng, widths, zeros = np.random.default_rng(13), [], np.zeros_like
+    trees = [_random_tree(rng, 4, 6) for _ in range(4)]  # features come back on a path
+    model = boosting.Ensemble(boosting.Binning(list("abcd"), [True] * 4, [[]] * 4), 0.2, trees)
+    x = rng.integers(0, 60, (8000, 4)).astype(float)
+    monkeypatch.setattr(contributions.np, "zeros_like", lambda a: widths.append(a.shape[1]) or zeros(a))
+    whole = contributions.shapley_values(x, model)
+    inner = sum(f >= 0 for tree in trees for f in tree.feature)
+    assert len(widths) == inner and sum(widths) < inner * len(x) / 2
+    # Each row on its own to the last bit.
+    assert all(np.array_equal(whole[i:i + 1], contributions.shapley_values(x[i:i + 1], model)) for i in range(0, 8000, 499))
